@@ -73,3 +73,9 @@ def mean_of(values: list[Column]) -> Column:
     for v in values[1:]:
         total = total + v
     return total / F.lit(float(len(values)))
+
+
+def round_half_even(c: Column, places: int = 0) -> Column:
+    """Python's round(): half-even, here applied to x * 10^places (rint)."""
+    scale = float(10 ** places)
+    return F.rint(c * scale) / scale

@@ -216,7 +216,7 @@ def removal_funnel(raw: DataFrame) -> DataFrame:
     s = s.join(kept, "match_id", "left")
     h, a = F.col("home_team_corner_count"), F.col("away_team_corner_count")
     later = (F.when(F.col("__first").isNull(), F.lit("duplicate"))
-             .when(~(h.between(0, 36) & a.between(0, 36)), F.lit("corner_outlier"))
+             .when(~F.coalesce(h.between(0, 36) & a.between(0, 36), F.lit(False)), F.lit("corner_outlier"))
              .when(~(possession_ok(s) & shots_ok(s)), F.lit("quality")))
     stage_of_removed = tagged.where(F.col("__pre").isNotNull()).select(F.col("__pre").alias("stage")) \
         .unionByName(s.select(later.alias("stage")))

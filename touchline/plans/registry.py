@@ -36,7 +36,8 @@ NOT_ROUNDED = {
     "match_id", "season", "home_team_name", "away_team_name", "date", "side", "team", "opponent",
     "corner_category", "season_period", "month", "day_of_week", "is_weekend", "high_scoring",
     "both_teams_scored", "home_win", "draw", "away_win", "over_9_corners", "over_11_corners",
-    "over_13_corners", "team_strength_diff", "home_advantage", "prior_matches", "odds_home_raw",
+    "over_13_corners", "team_strength_diff", "home_advantage", "prior_matches", "odds_home_raw", "date_raw", "stage", "step", "removed", "initial",
+    "column_name", "inf_count", "has_inf",
     *[Fe.line_name(L) for L in Fe.CORNER_LINES],
 }
 

@@ -22,7 +22,8 @@ NON_ESSENTIAL_NUM = [c for c in NUMERIC if c not in ESSENTIAL_NUM]
 
 def round6(expr: str) -> str:
     """Same arithmetic as the Spark side's round6."""
-    return f"(CAST(floor(({expr}) * 1000000.0 + 0.5) AS DOUBLE) / 1000000.0)"
+    return (f"(CASE WHEN isfinite({expr}) THEN CAST(floor(({expr}) * 1000000.0 + 0.5) AS DOUBLE) / 1000000.0 "
+            f"ELSE {expr} END)")
 
 
 def sdiv(n: str, d: str, default: float, bound: float | None = 100.0, eps: str = "1e-12",

@@ -45,5 +45,5 @@ def rules_values_sql() -> str:
     rows = []
     for rid, pattern, typ, mult, desc in ADJUSTMENT_RULES:
         esc = lambda s: s.replace("'", "''")
-        rows.append(f"({rid}, '{esc(pattern)}', '{typ}', {mult}, '{esc(desc)}')")
+        rows.append(f"({rid}, '{esc(pattern)}', '{typ}', CAST({mult} AS DOUBLE), '{esc(desc)}')")
     return "(VALUES " + ", ".join(rows) + ") AS r(rule_id, pattern, type, multiplier, description)"

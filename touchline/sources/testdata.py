@@ -121,7 +121,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def round6(c: Column) -> Column:
     """floor(x * 1e6 + 0.5) / 1e6: plain IEEE arithmetic, so any engine that
     rounds this way gets the same double from the same input."""
-    return F.floor(c * 1000000.0 + 0.5) / 1000000.0
+    finite = ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+    return F.when(finite, F.floor(c * 1000000.0 + 0.5) / 1000000.0).otherwise(c)
 
 
 def round_doubles(df: DataFrame) -> DataFrame:
