@@ -1,7 +1,8 @@
 """The reference's stages per variant, as lazy DataFrame plans.
 
 Variants: "v3" (= chatbot; v2 shares its cleaning and scalar features),
-"v1" and "tv" (the tuned alternative). Nothing here triggers an action.
+"v1" and "tv" (the tuned alternative). Plans are lazy except at `stage`
+boundaries, where a stage read several times downstream is checkpointed.
 """
 
 from __future__ import annotations
@@ -12,9 +13,22 @@ from pyspark.sql import functions as F
 from touchline.operators import clean as C
 from touchline.operators import features as Fe
 from touchline.operators import history as H
+from touchline.session import checkpoint_dir
 from touchline.sources.testdata import matches
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Materialise a stage that later plans read several times.
+
+    The statistics of a stage (medians, quantiles, counts) and its rows are
+    separate reads of the same input; writing the stage once to the cluster's
+    checkpoint folder (shared storage, so it survives losing an executor)
+    cuts the lineage and keeps every later read a plain scan.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(spark, sf_dir)
 
@@ -23,14 +37,14 @@ def clean_v3(df: DataFrame) -> DataFrame:
     """parse -> drop essential -> sentinels -> median impute -> dedup -> range [0, 25]."""
     out = C.drop_missing_essential(C.parse_dates(df))
     out = C.median_impute(C.sentinels_to_null(out))
-    return C.corner_range_filter(C.dedup_matches(out), 25.0)
+    return stage(C.corner_range_filter(C.dedup_matches(out), 25.0))
 
 
 def clean_v1(df: DataFrame) -> DataFrame:
     """parse (bad dates kept) -> drop essential (no date) -> two-pass median -> dedup."""
     out = C.parse_dates(df).withColumn("odds_home", C.coerce_numeric("odds_home"))
     out = C.drop_missing_essential(out, "v1")
-    return C.dedup_matches(C.median_impute_two_pass(out))
+    return stage(C.dedup_matches(C.median_impute_two_pass(out)))
 
 
 def clean_tv(df: DataFrame) -> DataFrame:
@@ -40,35 +54,35 @@ def clean_tv(df: DataFrame) -> DataFrame:
     out = C.scoreline_filter(C.red_card_filter(out))
     out = C.dedup_matches(C.sentinels_to_null(out))
     out = C.corner_range_filter(out, 36.0)
-    return C.shots_filter(C.possession_filter(out))
+    return stage(C.shots_filter(C.possession_filter(out)))
 
 
 def features_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Fe.engineer_features(clean_v3(raw(spark, sf_dir)))
+    return stage(Fe.engineer_features(clean_v3(raw(spark, sf_dir))))
 
 
 def features_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Fe.engineer_features_v1(clean_v1(raw(spark, sf_dir)))
+    return stage(Fe.engineer_features_v1(clean_v1(raw(spark, sf_dir))))
 
 
 def features_tv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Fe.engineer_features_tv(clean_tv(raw(spark, sf_dir)))
+    return stage(Fe.engineer_features_tv(clean_tv(raw(spark, sf_dir))))
 
 
 def history_v3(spark: SparkSession, sf_dir: str, chunk_rows: int = H.DEFAULT_CHUNK_ROWS) -> DataFrame:
-    return H.history_features_v3(features_v3(spark, sf_dir), chunk_rows)
+    return stage(H.history_features_v3(features_v3(spark, sf_dir), chunk_rows))
 
 
 def history_v2(spark: SparkSession, sf_dir: str, chunk_rows: int = H.DEFAULT_CHUNK_ROWS) -> DataFrame:
-    return H.history_features_v2(features_v3(spark, sf_dir), chunk_rows)
+    return stage(H.history_features_v2(features_v3(spark, sf_dir), chunk_rows))
 
 
 def history_v1(spark: SparkSession, sf_dir: str, chunk_rows: int = H.DEFAULT_CHUNK_ROWS) -> DataFrame:
-    return H.history_features_v1(features_v1(spark, sf_dir), chunk_rows)
+    return stage(H.history_features_v1(features_v1(spark, sf_dir), chunk_rows))
 
 
 def history_tv(spark: SparkSession, sf_dir: str, chunk_rows: int = H.DEFAULT_CHUNK_ROWS) -> DataFrame:
-    return H.history_features_tv(features_tv(spark, sf_dir), chunk_rows)
+    return stage(H.history_features_tv(features_tv(spark, sf_dir), chunk_rows))
 
 
 # The candidate feature list of the v3 / chatbot matrix, in the
@@ -118,7 +132,7 @@ def feature_matrix_v3(spark: SparkSession, sf_dir: str, warmup: int = 30) -> Dat
     feats = available(h, FEATURE_CANDIDATES_V3)
     body = C.skip_warmup(h, warmup)
     body = C.inf_to_null(body.select("match_id", "date_gmt", *feats, *TARGETS_V3), feats)
-    return C.iqr_winsorise(body, feats)
+    return stage(C.iqr_winsorise(body, feats))
 
 
 def feature_matrix_v1(spark: SparkSession, sf_dir: str, warmup: int = 50) -> DataFrame:
@@ -128,4 +142,4 @@ def feature_matrix_v1(spark: SparkSession, sf_dir: str, warmup: int = 50) -> Dat
     body = C.skip_warmup(h, warmup).select("match_id", "date_gmt", *feats, "total_corners",
                                            "over_9_corners", "over_11_corners", "over_13_corners")
     body = body.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats})
-    return C.pct_winsorise(body, feats)
+    return stage(C.pct_winsorise(body, feats))
