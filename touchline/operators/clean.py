@@ -51,28 +51,31 @@ def sentinels_to_null(df: DataFrame, columns: list[str] | None = None,
                       values=tuple(SENTINELS), infinities: bool = True) -> DataFrame:
     """Markers (and ±inf, NaN) -> NULL in every numeric column, one projection."""
     columns = numeric_columns(df) if columns is None else columns
-    vals = [F.lit(float(v)) for v in values]
+    vals = ", ".join(f"CAST({float(v)} AS DOUBLE)" for v in values)
 
-    def fix(name: str) -> Column:
-        c = F.col(name)
-        bad = c.isin(*vals)
+    def fix(name: str) -> str:
+        c = f"`{name}`"
+        bad = f"{c} IN ({vals})"
         if infinities:
-            bad = bad | ~is_finite(c)
-        return F.when(~F.coalesce(bad, F.lit(False)), c).alias(name)
+            bad += f" OR isnan({c}) OR abs({c}) = double('Infinity')"
+        return f"CASE WHEN {bad} THEN NULL ELSE {c} END AS {c}"
 
-    return df.select([fix(f) if f in columns else F.col(f) for f in df.columns])
+    return df.selectExpr(*[fix(f) if f in columns else f"`{f}`" for f in df.columns])
 
 
 def inf_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select([nonfinite_to_null(F.col(f)).alias(f) if f in columns else F.col(f)
-                      for f in df.columns])
+    def fix(name: str) -> str:
+        c = f"`{name}`"
+        return f"CASE WHEN isnan({c}) OR abs({c}) = double('Infinity') THEN NULL ELSE {c} END AS {c}"
+
+    return df.selectExpr(*[fix(f) if f in columns else f"`{f}`" for f in df.columns])
 
 
 # -- C3 / C4 / C18 ----------------------------------------------------------
 
 def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: the exact (interpolated) median of each column."""
-    return df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in columns])
+    return df.agg(*[F.expr(f"median(CAST(`{c}` AS DOUBLE)) AS `{c}`") for c in columns])
 
 
 def fill_from_row(df: DataFrame, stats: DataFrame, columns: list[str], fallback=0.0,
@@ -83,18 +86,16 @@ def fill_from_row(df: DataFrame, stats: DataFrame, columns: list[str], fallback=
     """
     if not columns:
         return df
-    renamed = stats.select([F.col(c).alias(prefix + c) for c in columns])
+    renamed = stats.selectExpr(*[f"`{c}` AS `{prefix}{c}`" for c in columns])
     joined = df.crossJoin(F.broadcast(renamed))
     out = []
     for f in df.columns:
         if f in columns:
-            filler = F.col(prefix + f)
-            if fallback is not None:
-                filler = F.coalesce(filler, F.lit(float(fallback)))
-            out.append(F.coalesce(F.col(f).cast("double"), filler).alias(f))
+            fb = "" if fallback is None else f", CAST({float(fallback)} AS DOUBLE)"
+            out.append(f"coalesce(CAST(`{f}` AS DOUBLE), `{prefix}{f}`{fb}) AS `{f}`")
         else:
-            out.append(F.col(f))
-    return joined.select(out)
+            out.append(f"`{f}`")
+    return joined.selectExpr(*out)
 
 
 def median_impute(df: DataFrame, columns: list[str] | None = None, exclude=tuple(ESSENTIAL)) -> DataFrame:
@@ -248,21 +249,21 @@ def iqr_winsorise(df: DataFrame, columns: list[str], k: float = 2.5) -> DataFram
     """
     if not columns:
         return df
-    q = df.agg(*[F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c)
-                 for c in columns])
-    stats = q.select(*[x for c in columns for x in (
-        (F.col(c)[0] - k * (F.col(c)[2] - F.col(c)[0])).alias(f"__lo_{c}"),
-        (F.col(c)[2] + k * (F.col(c)[2] - F.col(c)[0])).alias(f"__hi_{c}"),
-        F.col(c)[1].alias(f"__md_{c}"))])
+    q = df.agg(*[F.expr(f"percentile(`{c}`, array(0.25, 0.5, 0.75)) AS `{c}`") for c in columns])
+    stats = q.selectExpr(*[x for c in columns for x in (
+        f"`{c}`[0] - {k} * (`{c}`[2] - `{c}`[0]) AS `__lo_{c}`",
+        f"`{c}`[2] + {k} * (`{c}`[2] - `{c}`[0]) AS `__hi_{c}`",
+        f"`{c}`[1] AS `__md_{c}`")])
     joined = df.crossJoin(F.broadcast(stats))
     out = []
     for f in df.columns:
         if f in columns:
-            clipped = clip(F.col(f), F.col(f"__lo_{f}"), F.col(f"__hi_{f}"))
-            out.append(F.coalesce(clipped, F.col(f"__md_{f}"), F.lit(0.0)).alias(f))
+            c = f"`{f}`"
+            clipped = f"CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({c}, `__lo_{f}`), `__hi_{f}`) END"
+            out.append(f"coalesce({clipped}, `__md_{f}`, 0.0) AS {c}")
         else:
-            out.append(F.col(f))
-    return joined.select(out)
+            out.append(f"`{f}`")
+    return joined.selectExpr(*out)
 
 
 def pct_winsorise(df: DataFrame, columns: list[str]) -> DataFrame:

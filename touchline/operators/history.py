@@ -98,71 +98,76 @@ def with_halo_chunks(df: DataFrame, pos: str = "prior", chunk_rows: int = DEFAUL
         .withColumn("__chunk", F.col("__cp.c")).withColumn("__halo", F.col("__cp.h")).drop("__cp")
 
 
-def _frame(n_from: int, n_to: int = -1):
-    w = Window.partitionBy("team", "__chunk").orderBy("prior")
-    return w.rowsBetween(n_from, n_to)
+W_TEAM = "PARTITION BY team, __chunk ORDER BY prior"
 
 
-def _lag(c: str, k: int) -> Column:
-    return F.lag(c, k).over(Window.partitionBy("team", "__chunk").orderBy("prior"))
+def _fr(n: int, m: int = 1) -> str:
+    """SQL window over the team chunk: rows n..m before the current one."""
+    return f"OVER ({W_TEAM} ROWS BETWEEN {n} PRECEDING AND {m} PRECEDING)"
 
 
-def _guard(n: int, value: Column, default: float | None = 0.0) -> Column:
-    out = F.when(F.col("prior") >= n, value)
-    return out if default is None else out.otherwise(F.lit(default))
-
-
-def _avg_all_present(c: str, n: int) -> Column:
+def _all_present(c: str, n: int) -> str:
     """np.mean over the last n: NULL (NaN) if any of them is missing."""
-    w = _frame(-n)
-    return F.when(F.count(c).over(w) == n, F.avg(c).over(w))
+    return f"CASE WHEN count({c}) {_fr(n)} = {n} THEN avg({c}) {_fr(n)} END"
 
 
-def _var_pop(c: str, n: int) -> Column:
+def _var_pop(c: str, n: int) -> str:
     """Population variance of the last n as (sum(x^2) - sum(x)^2 / n) / n.
 
     For count data (corners) both sums are exact integers, so the result does
     not depend on the order in which an engine adds the frame up.
     """
-    w = _frame(-n)
-    s1 = F.sum(F.col(c)).over(w)
-    return (F.sum(F.col(c) * F.col(c)).over(w) - s1 * s1 / n) / n
+    return f"((sum({c} * {c}) {_fr(n)} - sum({c}) {_fr(n)} * sum({c}) {_fr(n)} / {n}) / {n})"
 
 
-def team_history(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """Per (match, side): every per-team history value used by any variant."""
-    long = sequence_position(team_long(df), ["team"])
-    t = with_halo_chunks(long, "prior", chunk_rows)
+def _lag(c: str, k: int) -> str:
+    return f"lag({c}, {k}) OVER ({W_TEAM})"
+
+
+# name -> (minimum prior matches, expression, value before that)
+def _side_expressions() -> dict[str, tuple[int, str, float]]:
     cf, ca = "corners_for", "corners_against"
-    feats = {}
+    out: dict[str, tuple[int, str, float]] = {}
     for n in (3, 5, 6, 10):
-        feats[f"cf_avg_{n}"] = _guard(n, F.avg(cf).over(_frame(-n)))
-        feats[f"ca_avg_{n}"] = _guard(n, F.avg(ca).over(_frame(-n)))
+        out[f"cf_avg_{n}"] = (n, f"avg({cf}) {_fr(n)}", 0.0)
+        out[f"ca_avg_{n}"] = (n, f"avg({ca}) {_fr(n)}", 0.0)
     for n in (3, 6, 10):
-        feats[f"gf_avg_{n}"] = _guard(n, _avg_all_present("goals_for", n))
-        feats[f"ga_avg_{n}"] = _guard(n, _avg_all_present("goals_against", n))
-    feats["trend"] = _guard(6, F.avg(cf).over(_frame(-3)) - F.avg(cf).over(_frame(-6, -4)))
-    feats["form_3"] = _guard(3, F.avg("result").over(_frame(-3)))
-    feats["form_tv_3"] = _guard(3, F.avg("result_tv").over(_frame(-3)))
-    feats["form_tv_6"] = _guard(6, F.avg("result_tv").over(_frame(-6)))
-    var5 = _var_pop(cf, 5)
-    feats["var_5"] = _guard(5, var5)
-    feats["var_6"] = _guard(6, _var_pop(cf, 6))
+        out[f"gf_avg_{n}"] = (n, _all_present("goals_for", n), 0.0)
+        out[f"ga_avg_{n}"] = (n, _all_present("goals_against", n), 0.0)
+    out["trend"] = (6, f"avg({cf}) {_fr(3)} - avg({cf}) {_fr(6, 4)}", 0.0)
+    out["form_3"] = (3, f"avg(result) {_fr(3)}", 0.0)
+    out["form_tv_3"] = (3, f"avg(result_tv) {_fr(3)}", 0.0)
+    out["form_tv_6"] = (6, f"avg(result_tv) {_fr(6)}", 0.0)
+    out["var_5"] = (5, _var_pop(cf, 5), 0.0)
+    out["var_6"] = (6, _var_pop(cf, 6), 0.0)
     # weights .4 .3 .2 .1 zipped with the last four, oldest first
-    feats["momentum"] = _guard(4, 0.4 * _lag(cf, 4) + 0.3 * _lag(cf, 3) + 0.2 * _lag(cf, 2) + 0.1 * _lag(cf, 1))
-    w8 = _frame(-8)
-    feats["high_rate_8"] = _guard(8, F.sum((F.col("match_total") >= 12).cast("int")).over(w8) / 8.0)
-    feats["low_rate_8"] = _guard(8, F.sum((F.col("match_total") <= 8).cast("int")).over(w8) / 8.0)
-    feats["consistency"] = _guard(6, 1.0 / (1.0 + var5))
-    feats["goal_diff_5"] = _guard(5, _avg_all_present("goals_for", 5) - _avg_all_present("goals_against", 5))
-    ca5 = F.avg(ca).over(_frame(-5))
-    feats["solidity"] = _guard(5, 1.0 / (1.0 + ca5), 0.5)
-    feats["solidity_tv"] = _guard(5, 1.0 / (1.0 + ca5))
-    feats["attacking_tendency"] = _guard(5, F.avg(cf).over(_frame(-5)))
-    feats["rest_days"] = _guard(1, F.least(F.datediff(F.col("date_gmt"), _lag("date_gmt", 1)), F.lit(30))
-                                .cast("double"))
-    return t.select("*", *[v.alias(k) for k, v in feats.items()]).where(~F.col("__halo")) \
-        .drop("__halo", "__chunk", "__d")
+    out["momentum"] = (4, f"0.4 * {_lag(cf, 4)} + 0.3 * {_lag(cf, 3)} + 0.2 * {_lag(cf, 2)} + 0.1 * {_lag(cf, 1)}",
+                       0.0)
+    out["high_rate_8"] = (8, f"sum(CASE WHEN match_total >= 12 THEN 1 ELSE 0 END) {_fr(8)} / 8.0D", 0.0)
+    out["low_rate_8"] = (8, f"sum(CASE WHEN match_total <= 8 THEN 1 ELSE 0 END) {_fr(8)} / 8.0D", 0.0)
+    out["consistency"] = (6, f"1.0 / (1.0 + {_var_pop(cf, 5)})", 0.0)
+    out["goal_diff_5"] = (5, f"({_all_present('goals_for', 5)}) - ({_all_present('goals_against', 5)})", 0.0)
+    out["solidity"] = (5, f"1.0 / (1.0 + avg({ca}) {_fr(5)})", 0.5)
+    out["solidity_tv"] = (5, f"1.0 / (1.0 + avg({ca}) {_fr(5)})", 0.0)
+    out["attacking_tendency"] = (5, f"avg({cf}) {_fr(5)}", 0.0)
+    out["rest_days"] = (1, f"CAST(least(datediff(date_gmt, {_lag('date_gmt', 1)}), 30) AS DOUBLE)", 0.0)
+    return out
+
+
+def team_history(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, features=None) -> DataFrame:
+    """Per (match, side): every per-team history value used by any variant.
+
+    All frames are bounded (at most HALO rows back) and share one window
+    partitioning (team, chunk) and order (prior), so Spark plans one sort and
+    one window pass over each chunk.
+    """
+    long = sequence_position(team_long(df), ["team"])
+    t = with_halo_chunks(long, "prior", chunk_rows)
+    exprs = _side_expressions()
+    wanted = list(exprs) if features is None else [f for f in features if f in exprs]
+    cols = [f"CASE WHEN prior >= {exprs[k][0]} THEN CAST({exprs[k][1]} AS DOUBLE) ELSE {exprs[k][2]}D END AS {k}"
+            for k in wanted]
+    return t.selectExpr("*", *cols).where(~F.col("__halo")).drop("__halo", "__chunk", "__d")
 
 
 SIDE_FEATURES = [

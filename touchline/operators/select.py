@@ -70,10 +70,11 @@ def binned(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     """Feature -> decile bin 0..9 (number of cut points below the value)."""
     cuts = decile_cuts(df, features)
     j = df.crossJoin(F.broadcast(cuts))
-    def below(f):
-        return lambda c: c < F.col(f)
-
-    return j.select(*keep, *[F.size(F.filter(F.col(f"cut_{f}"), below(f))).alias(f) for f in features])
+    # cut points and values are compared at 9 decimals, so an interpolated cut
+    # that lands on a data value gives the same bin whatever the engine's last bit
+    r9 = "floor({x} * 1000000000.0 + 0.5) / 1000000000.0"
+    return j.selectExpr(*[f"`{k}`" for k in keep], *[
+        f"size(filter(`cut_{f}`, c -> {r9.format(x='c')} < {r9.format(x=f'`{f}`')})) AS `{f}`" for f in features])
 
 
 def mutual_information(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:

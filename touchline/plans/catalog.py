@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from touchline.plans import registry
+from touchline.plans import queries_io  # noqa: F401
 from touchline.plans import queries_model  # noqa: F401
 from touchline.plans import queries_more  # noqa: F401
 

@@ -251,7 +251,9 @@ def _register_scores():
 
     m3 = matrix_v3_ctes()
     cuts = ", ".join(f"quantile_cont({f}, [{', '.join(str(p) for p in SE.DECILES)}]) AS c_{f}" for f in fs3)
-    bins = ", ".join(f"CAST(len(list_filter(c_{f}, lambda x: x < m3.{f})) AS INTEGER) AS {f}" for f in fs3)
+    r9 = "floor({x} * 1000000000.0 + 0.5) / 1000000000.0"
+    bins = ", ".join(f"CAST(len(list_filter(c_{f}, lambda x: {r9.format(x='x')} < {r9.format(x=f'm3.{f}')})) "
+                     f"AS INTEGER) AS {f}" for f in fs3)
 
     def mi_sql(targets):
         tcols = ", ".join(f"CAST({t} AS DOUBLE) AS {t}" for t in targets)
