@@ -205,7 +205,6 @@ def pair_history(df: DataFrame) -> DataFrame:
               "RANGE BETWEEN INTERVAL 5 YEARS PRECEDING AND CURRENT ROW)")
     s1 = base.select(
         "*",
-        (F.row_number().over(pair) - 1).cast("double").alias("familiarity"),
         F.avg("tot").over(same.rowsBetween(-3, -1)).alias("same_avg3"),
         F.avg("tot").over(same.rowsBetween(-2, 0)).alias("avg3_after"),
         F.expr(last5y).alias("len5"),
@@ -215,8 +214,10 @@ def pair_history(df: DataFrame) -> DataFrame:
     state = F.struct(F.col("len5").alias("n"), F.col("tot").alias("e0"),
                      F.when(F.col("len5") >= 2, F.col("t1")).alias("e1"),
                      F.when(F.col("len5") >= 3, F.col("t2")).alias("e2"))
+    # one exchange for the ordered-pair frames above, one for the unordered-pair frames below
     s2 = s1.select(
         "*",
+        (F.row_number().over(pair) - 1).cast("double").alias("familiarity"),
         F.last(F.when(F.col("o"), F.col("avg3_after")), ignorenulls=True).over(before).alias("last_o1"),
         F.last(F.when(~F.col("o"), F.col("avg3_after")), ignorenulls=True).over(before).alias("last_o0"),
         F.last(F.when(F.col("o"), state), ignorenulls=True).over(before).alias("st_o1"),

@@ -20,7 +20,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_ROWS = 100_000
+DEFAULT_BUCKET_ROWS = 1_000_000
 EPS = 1e-15
 
 

@@ -77,7 +77,7 @@ def binned(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
         f"size(filter(`cut_{f}`, c -> {r9.format(x='c')} < {r9.format(x=f'`{f}`')})) AS `{f}`" for f in features])
 
 
-def mutual_information(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
+def mutual_information(df: DataFrame, features: list[str], targets: list[str], binary: bool = False) -> DataFrame:
     """M3 / M4 (re-aimed): discrete MI between the decile bin of each feature
     and each target, sum p(b,y) ln(p(b,y) / (p(b) p(y))), one job for all targets.
 
@@ -85,9 +85,22 @@ def mutual_information(df: DataFrame, features: list[str], targets: list[str]) -
     counted there (partial aggregation); the shuffle carries counts.
     """
     b = binned(df, features, targets)
-    long_t = _stack(b, features, {t: f"CAST(`{t}` AS DOUBLE)" for t in targets}, ("target", "y"))
-    long = _stack(long_t, ["target", "y"], {f: f"`{f}`" for f in features}, ("feature", "bin"))
-    counts = long.groupBy("target", "feature", "bin", "y").agg(F.count(F.lit(1)).alias("n_by"))
+    if binary:
+        # 0/1 targets: one row per (feature, bin) carries every target's count of
+        # ones, so rows widen by the feature count only, not features x targets
+        long = _stack(b, targets, {f: f"`{f}`" for f in features}, ("feature", "bin"))
+        per_bin = long.groupBy("feature", "bin").agg(
+            F.count(F.lit(1)).alias("__n"), *[F.sum(F.col(t).cast("long")).alias(f"__p_{t}") for t in targets])
+        pairs = ", ".join(f"'{t}', `__p_{t}`" for t in targets)
+        ones = per_bin.selectExpr("feature", "bin", "__n", f"stack({len(targets)}, {pairs}) AS (target, ones)")
+        counts = ones.select("target", "feature", "bin", F.explode(F.array(
+            F.struct(F.lit(1.0).alias("y"), F.col("ones").alias("n_by")),
+            F.struct(F.lit(0.0).alias("y"), (F.col("__n") - F.col("ones")).alias("n_by")))).alias("c")) \
+            .select("target", "feature", "bin", "c.y", "c.n_by").where(F.col("n_by") > 0)
+    else:
+        long_t = _stack(b, features, {t: f"CAST(`{t}` AS DOUBLE)" for t in targets}, ("target", "y"))
+        long = _stack(long_t, ["target", "y"], {f: f"`{f}`" for f in features}, ("feature", "bin"))
+        counts = long.groupBy("target", "feature", "bin", "y").agg(F.count(F.lit(1)).alias("n_by"))
     w_tf = Window.partitionBy("target", "feature")
     w_b = Window.partitionBy("target", "feature", "bin")
     w_y = Window.partitionBy("target", "feature", "y")

@@ -47,21 +47,30 @@ def unmatched_messages(messages: DataFrame, rules: DataFrame) -> DataFrame:
     return text.join(hits, ["conv_id", "turn"], "left_anti")
 
 
-def session_segments(messages: DataFrame) -> DataFrame:
-    """Per turn: the command, the segment (turn of the last reset, -1 if none)
-    and whether the session is still open (no quit at an earlier turn).
+TURN_BUCKET = 100_000
 
-    A conversation's turns are bounded by what one person types in one session.
+
+def session_segments(messages: DataFrame, bucket_turns: int = TURN_BUCKET) -> DataFrame:
+    """Per turn: the command, the segment (turn of the last reset at or before
+    it, -1 if none), kept only while the session is open (before the first quit).
+
+    No window holds a whole conversation: the quit turn is a grouped minimum,
+    and the last reset is a running maximum inside buckets of `bucket_turns`
+    turns plus the maximum of all earlier buckets (a small per-bucket table).
     """
-    cmd = command_messages(messages)
-    w_before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return cmd.select(
+    cmd = command_messages(messages).withColumn("__b", (F.col("turn") / bucket_turns).cast("bigint"))
+    reset_turn = F.when(F.col("command") == "reset", F.col("turn"))
+    quits = cmd.groupBy("conv_id").agg(F.min(F.when(F.col("command") == "quit", F.col("turn"))).alias("quit_turn"))
+    per_bucket = cmd.groupBy("conv_id", "__b").agg(F.max(reset_turn).alias("__bmax"))
+    earlier = Window.partitionBy("conv_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_bucket.select("conv_id", "__b", F.max("__bmax").over(earlier).alias("__prev"))
+    in_bucket = Window.partitionBy("conv_id", "__b").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    seg = cmd.join(carried, ["conv_id", "__b"]).select(
         "conv_id", "turn", "command",
-        F.coalesce(F.last(F.when(F.col("command") == "reset", F.col("turn")), ignorenulls=True).over(w_before),
-                   F.lit(-1)).alias("segment"),
-        F.coalesce(F.min(F.when(F.col("command") == "quit", F.col("turn"))).over(
-            Window.partitionBy("conv_id")), F.lit(2 ** 62)).alias("quit_turn"),
-    ).where(F.col("turn") < F.col("quit_turn"))
+        F.coalesce(F.greatest(F.max(reset_turn).over(in_bucket), F.col("__prev")), F.lit(-1)).cast("bigint")
+        .alias("segment"))
+    return seg.join(quits, "conv_id").where(F.col("quit_turn").isNull() | (F.col("turn") < F.col("quit_turn"))) \
+        .drop("quit_turn")
 
 
 def active_adjustments(messages: DataFrame, rules: DataFrame) -> DataFrame:

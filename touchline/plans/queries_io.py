@@ -12,7 +12,7 @@ from touchline.sources.testdata import round_doubles
 
 NOT_ROUNDED.update({"n_files", "n_rows", "n_columns", "n_missing", "column_name"})
 
-SCAN_COLS = ["match_id", "season", "date_raw", "home_team_name", "home_team_corner_count", "odds_home",
+SCAN_COLS = ["match_id", "season", "date_raw", "home_team_name", "home_team_corner_count", "odds_home_raw",
              "odds_over25", "odds_btts_yes"]
 
 
@@ -31,10 +31,13 @@ def _scan(spark, sf):
 def _register():
     fx = SB.fixture_ctes()
     odd = {c: f"CASE WHEN season % 2 = 1 THEN {c} END" for c in FS.ODD_SEASON_ONLY}
-    register("scan_season_files", lambda s, d: round_doubles(_scan(s, d).select(*SCAN_COLS)),
+    odd["odds_home_raw"] = "odds_home"
+    register("scan_season_files",
+             lambda s, d: round_doubles(_scan(s, d).withColumnRenamed("odds_home", "odds_home_raw").select(*SCAN_COLS)),
              f"WITH {fx}\nSELECT {sql_select(SCAN_COLS, odd)} FROM raw")
     register("load_matches",
-             lambda s, d: round_doubles(_load_first(s, d).select(*SCAN_COLS)),
+             lambda s, d: round_doubles(_load_first(s, d).withColumnRenamed("odds_home", "odds_home_raw")
+                                        .select(*SCAN_COLS)),
              f"WITH {fx}\nSELECT {sql_select(SCAN_COLS, odd)} FROM raw WHERE season = (SELECT min(season) FROM raw)")
 
     def audit(s, d):

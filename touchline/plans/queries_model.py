@@ -273,10 +273,13 @@ mi AS (SELECT target, feature, sum((n_by / n) * ln(n_by * n / (n_b * n_y))) AS m
              q(lambda s, d: SE.mutual_information(P.feature_matrix_v3(s, d), fs3, ["total_corners"])),
              mi_sql(["total_corners"]))
     register("mi_classif_scores",
-             q(lambda s, d: SE.mutual_information(P.feature_matrix_v3(s, d), fs3, LINES)), mi_sql(LINES))
+             q(lambda s, d: SE.mutual_information(P.feature_matrix_v3(s, d), fs3, LINES, binary=True)),
+             mi_sql(LINES))
 
     def topk(s, d):
-        mi = SE.mutual_information(P.feature_matrix_v3(s, d), fs3, TARGETS_V3)
+        m = P.feature_matrix_v3(s, d)
+        mi = SE.mutual_information(m, fs3, ["total_corners"]).unionByName(
+            SE.mutual_information(m, fs3, LINES, binary=True))
         return SE.top_k_features(mi, K_BY_TARGET)
 
     kvals = " UNION ALL ".join(f"SELECT '{t}' AS target, {k} AS k" for t, k in K_BY_TARGET.items())
@@ -308,7 +311,7 @@ fd AS (SELECT pp.match_id, CAST(f.fold AS INTEGER) AS fold,
     register("time_series_folds", lambda s, d: M.time_series_folds(P.feature_matrix_v3(s, d)),
              sql(folds_sql, "SELECT match_id, fold, role FROM fd WHERE role IS NOT NULL"))
     register("chrono_holdout", lambda s, d: M.chrono_holdout(P.feature_matrix_v3(s, d)),
-             sql(f"{m3},\n{pos}", "SELECT match_id, position, CASE WHEN position < floor(n * 0.85) THEN 'train' "
+             sql(f"{m3},\n{pos}", "SELECT match_id, position, CASE WHEN position < floor(CAST(n AS DOUBLE) * 0.85::DOUBLE) THEN 'train' "
                                   "ELSE 'test' END AS role FROM pp"))
 
     def cv(s, d):
@@ -340,7 +343,7 @@ SELECT {SB.round6('avg(mae)')} AS mae_mean, {SB.round6('2 * stddev_pop(mae)')} A
 SELECT {SB.round6('avg(abs(total_corners - __etc))')} AS mae,
   {SB.round6('sqrt(avg((total_corners - __etc) * (total_corners - __etc)))')} AS rmse,
   {SB.round6('CASE WHEN sum(total_corners * total_corners) - sum(total_corners) * sum(total_corners) / count(*) > 0 THEN 1 - sum((total_corners - __etc) * (total_corners - __etc)) / (sum(total_corners * total_corners) - sum(total_corners) * sum(total_corners) / count(*)) END')} AS r2
-FROM pp JOIN m3 USING (match_id) WHERE position >= floor(n * 0.85)"""))
+FROM pp JOIN m3 USING (match_id) WHERE position >= floor(CAST(n AS DOUBLE) * 0.85::DOUBLE)"""))
 
     def line_pred(s, d):
         h = P.history_v3(s, d)
@@ -384,7 +387,7 @@ rep AS (
 
 def _selected(spark, sf, matrix: DataFrame, target: str) -> list[str]:
     """Top-k feature names for one target (k <= 40 names reach the driver)."""
-    mi = SE.mutual_information(matrix, feats_v3(), [target])
+    mi = SE.mutual_information(matrix, feats_v3(), [target], binary=target != "total_corners")
     top = SE.top_k_features(mi, {target: K_BY_TARGET[target]})
     return [r["feature"] for r in top.orderBy("rank").collect()]
 

@@ -303,3 +303,37 @@ FROM tiers WHERE tier IS NOT NULL"""))
 _register_reports()
 _register_text()
 _register_scoring()
+
+
+# -- variant keys where the variants differ ------------------------------------
+
+def _register_variants():
+    from touchline.plans.registry import ESSENTIAL_OUT, projection
+
+    def c1_v1(s, d):
+        return C.drop_missing_essential(C.parse_dates(P.raw(s, d)), "v1")
+
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in SB.ESSENTIAL if c != "date_gmt")
+    projection("drop_missing_essential_v1", c1_v1, ESSENTIAL_OUT, SB.fixture_ctes(), f"parsed WHERE {notnull}")
+    htv = f"{FTV},\n{SH.tv_history_ctes('ftv2')}"
+    avgs = [f"{s}_corners_avg_{n}" for s in ("home", "away") for n in (3, 6, 10)] + \
+           [f"{s}_corners_against_avg_{n}" for s in ("home", "away") for n in (3, 6, 10)]
+    projection("corner_avgs_tv", P.history_tv, ["match_id", *avgs], htv, "htv")
+    register("skip_warmup_tv", lambda s, d: C.skip_warmup(P.history_tv(s, d), 50).select("match_id"),
+             sql(htv, "SELECT match_id FROM htv QUALIFY row_number() OVER (ORDER BY date_gmt, match_id) > 50"))
+    from touchline.operators import model as M
+    register("chrono_holdout_tv",
+             lambda s, d: M.chrono_holdout(C.skip_warmup(P.history_tv(s, d), 50), 0.80),
+             sql(htv + ",\npp AS (SELECT match_id, row_number() OVER (ORDER BY date_gmt, match_id) - 1 AS position, "
+                       "count(*) OVER () AS n FROM htv QUALIFY row_number() OVER (ORDER BY date_gmt, match_id) > 50)",
+                 "SELECT match_id, position - 50 AS position, CASE WHEN position - 50 < floor(CAST(n - 50 AS DOUBLE) * 0.8::DOUBLE) "
+                 "THEN 'train' ELSE 'test' END AS role FROM pp"))
+    register("corner_stats_tv", q(lambda s, d: R.corner_stats(P.features_tv(s, d))), sql(FTV, f"""
+SELECT {sql_select(['mean', 'median', 'mode', 'std', 'min', 'max'], {
+        'mean': 'avg(total_corners)', 'median': 'median(total_corners)',
+        'mode': '(SELECT total_corners FROM ftv2 GROUP BY 1 ORDER BY count(*) DESC, 1 ASC LIMIT 1)',
+        'std': 'stddev_samp(total_corners)', 'min': 'min(total_corners)', 'max': 'max(total_corners)'})}
+FROM ftv2"""))
+
+
+_register_variants()
