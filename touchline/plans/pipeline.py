@@ -59,7 +59,10 @@ def shared_stage(spark: SparkSession, key: tuple, build) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(spark, sf_dir)
+    """The match table derived from the driver's tables, written once: every
+    cleaning plan reads it at least twice (statistics + rows), and the
+    lineitem aggregation behind it is the most expensive step at scale."""
+    return shared_stage(spark, ("raw", sf_dir), lambda: matches(spark, sf_dir))
 
 
 def clean_v3(df: DataFrame) -> DataFrame:
