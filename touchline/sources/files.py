@@ -27,16 +27,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 def write_season_files(raw: DataFrame, root: str) -> list[tuple[int, str]]:
     """One CSV folder per season (header on); even seasons lack ODD_SEASON_ONLY.
 
-    Returns (season, path) pairs; the season list is the only thing collected.
+    Two partitioned writes (odd seasons with every column, even seasons
+    without the odd-only ones), each one pass over the table. Returns
+    (season, path) pairs; the season list is the only thing collected.
     """
+    odd = F.col("season") % 2 == 1
+    even_cols = [c for c in raw.columns if c not in ODD_SEASON_ONLY]
+    (raw.where(odd).withColumn("__season", F.col("season")).write.mode("overwrite")
+     .partitionBy("__season").option("header", True).csv(f"{root}/odd"))
+    (raw.where(~odd).select(*even_cols).withColumn("__season", F.col("season")).write.mode("overwrite")
+     .partitionBy("__season").option("header", True).csv(f"{root}/even"))
     seasons = [r["season"] for r in raw.select("season").distinct().orderBy("season").collect()]
-    out = []
-    for s in seasons:
-        cols = [c for c in raw.columns if not (s % 2 == 0 and c in ODD_SEASON_ONLY)]
-        path = f"{root}/season={s}"
-        raw.where(F.col("season") == s).select(cols).write.mode("overwrite").option("header", True).csv(path)
-        out.append((s, path))
-    return out
+    return [(s, f"{root}/{'odd' if s % 2 == 1 else 'even'}/__season={s}") for s in seasons]
 
 
 def header_columns(spark: SparkSession, path: str) -> list[str]:
