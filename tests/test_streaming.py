@@ -16,9 +16,10 @@ def test_stream_matches_batch(spark, sf):
         (900001, 0, "rainy"), (900001, 1, "reset"), (900001, 2, "derby game"), (900001, 3, "windy too"),
         (900001, 4, "predict"), (900001, 5, "quit"), (900001, 6, "predict")], chat.MESSAGE_SCHEMA)
     msgs = messages(spark, sf).unionByName(handmade)
-    # two files, so the state has to carry over between micro-batches
-    msgs.where("turn < 3").write.parquet(os.path.join(src, "a"))
-    msgs.where("turn >= 3").write.parquet(os.path.join(src, "b"))
+    # two files written in turn order, so the state has to carry over between
+    # micro-batches (a conversation's turns arrive in order)
+    msgs.where("turn < 3").coalesce(1).write.parquet(os.path.join(src, "a"))
+    msgs.where("turn >= 3").coalesce(1).write.parquet(os.path.join(src, "b"))
     stream = spark.readStream.schema(chat.MESSAGE_SCHEMA).option("maxFilesPerTrigger", 1) \
         .parquet(os.path.join(src, "*"))
     q = (chat.session_multipliers(stream).writeStream.format("memory").queryName("chat_out")

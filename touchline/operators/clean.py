@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.columns import INF, clip, col, is_finite, nonfinite_to_null
+from touchline.functions.columns import INF, clip, nonfinite_to_null
 
 ESSENTIAL = [
     "home_team_goal_count", "away_team_goal_count", "home_team_name", "away_team_name",

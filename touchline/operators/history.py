@@ -25,15 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.columns import clip
 from touchline.operators.features import seasonal_factor_col
 
 HALO = 10  # the longest look-back of any team frame (rows)
 DEFAULT_CHUNK_ROWS = 1_000_000
 FAR_FUTURE = "9999-12-31 00:00:00"
 
-SIDE_KEYS = ("team",)
-
 
 # -- W0 ---------------------------------------------------------------------
 
@@ -363,5 +360,5 @@ def history_features_v1(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) ->
 
 __all__ = [
     "team_long", "sequence_position", "with_halo_chunks", "team_history", "sides_wide", "pair_history",
-    "history_features_v1", "history_features_v2", "history_features_v3", "history_features_tv", "clip",
+    "history_features_v1", "history_features_v2", "history_features_v3", "history_features_tv",
 ]

@@ -17,7 +17,6 @@ from touchline.plans import sqlbase as SB
 from touchline.plans import sqlhistory as SH
 from touchline.plans import sqlmore as SM
 from touchline.plans.registry import NOT_ROUNDED, register, sql_select
-from touchline.session import checkpoint_dir
 from touchline.sources.testdata import round_doubles
 
 NOT_ROUNDED.update({"label", "model", "trial", "max_depth", "min_instances", "n_folds", "used", "line_key",
@@ -165,13 +164,6 @@ def matrix_tv(spark: SparkSession, sf: str) -> DataFrame:
     return C.impute_before_encode(base, numeric, TV_CATEGORICAL)
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    """Cut the lineage before repeated model fits: an eager checkpoint into the
-    cluster's checkpoint folder (a shared path, reliable across executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 # -- registration ------------------------------------------------------------------------
 
 def _register_matrices():
@@ -393,7 +385,7 @@ def _selected(spark, sf, matrix: DataFrame, target: str) -> list[str]:
 
 
 def _train_test(spark, sf):
-    m = persisted(P.feature_matrix_v3(spark, sf))
+    m = P.feature_matrix_v3(spark, sf)  # a written stage: fits scan it, no lineage to replay
     h = M.chrono_holdout(m).select("match_id", "role")
     mm = m.join(h, "match_id")
     return m, mm.where(F.col("role") == "train"), mm.where(F.col("role") == "test")
@@ -474,7 +466,7 @@ def _register_training():
     register("top_n_importance", q(top_importance), None)
 
     def search(s, d):
-        m = persisted(P.feature_matrix_v3(s, d))
+        m = P.feature_matrix_v3(s, d)
         feats = _selected(s, d, m, line_name(10.5))
         return M.param_search(m, feats, line_name(10.5))
 

@@ -66,7 +66,12 @@ def _session(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
 
 
 def session_multipliers(messages: DataFrame) -> DataFrame:
-    """Streaming (or batch) messages -> one row per `predict`, in turn order per conversation."""
+    """Streaming (or batch) messages -> one row per `predict`.
+
+    A conversation's turns are expected to arrive in turn order across
+    micro-batches (one person types them one after another); inside a
+    micro-batch they are sorted by turn.
+    """
     return tagged(messages).groupBy("conv_id").applyInPandasWithState(
         _session, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
