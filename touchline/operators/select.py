@@ -18,7 +18,7 @@ DECILES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
 def _stack(df: DataFrame, keep: list[str], pairs: dict[str, str], names=("feature", "value")) -> DataFrame:
     body = ", ".join(f"'{k}', {v}" for k, v in pairs.items())
-    return df.selectExpr(*keep, f"stack({len(pairs)}, {body}) AS ({names[0]}, {names[1]})")
+    return df.selectExpr(*[f"`{k}`" for k in keep], f"stack({len(pairs)}, {body}) AS ({names[0]}, {names[1]})")
 
 
 def f_regression_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -66,15 +66,34 @@ def decile_cuts(df: DataFrame, features: list[str]) -> DataFrame:
     return df.agg(*[F.percentile(F.col(f), qs).alias(f"cut_{f}") for f in features])
 
 
-def binned(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    """Feature -> decile bin 0..9 (number of cut points below the value)."""
+R9 = "floor({x} * 1000000000.0 + 0.5) / 1000000000.0"
+
+
+def binned_long(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """(keep..., feature, bin): the decile bin 0..9 of every feature value.
+
+    Values are stacked to (feature, value) first and joined with the decile
+    cut points of their feature (a broadcast of one row per feature), so the
+    bin is one small expression. Cut points and values are compared at 9
+    decimals, so an interpolated cut that lands on a data value gives the
+    same bin whatever the engine's last bit.
+    """
+    n = len(DECILES)
     cuts = decile_cuts(df, features)
-    j = df.crossJoin(F.broadcast(cuts))
-    # cut points and values are compared at 9 decimals, so an interpolated cut
-    # that lands on a data value gives the same bin whatever the engine's last bit
-    r9 = "floor({x} * 1000000000.0 + 0.5) / 1000000000.0"
-    return j.selectExpr(*[f"`{k}`" for k in keep], *[
-        f"size(filter(`cut_{f}`, c -> {r9.format(x='c')} < {r9.format(x=f'`{f}`')})) AS `{f}`" for f in features])
+    cut_rows = cuts.selectExpr(
+        f"stack({len(features)}, {', '.join(f'{chr(39)}{f}{chr(39)}, `cut_{f}`' for f in features)}) AS (feature, c)")
+    cut_cols = cut_rows.selectExpr("feature", *[f"{R9.format(x=f'c[{k}]')} AS c{k}" for k in range(n)])
+    long = _stack(df, keep, {f: f"CAST(`{f}` AS DOUBLE)" for f in features}, ("feature", "value"))
+    x = R9.format(x="value")
+    terms = " + ".join(f"CASE WHEN c{k} < {x} THEN 1 ELSE 0 END" for k in range(n))
+    return long.join(F.broadcast(cut_cols), "feature").selectExpr(
+        *[f"`{k}`" for k in keep], "feature", f"CASE WHEN value IS NULL THEN 0 ELSE {terms} END AS bin")
+
+
+def binned(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """Wide form of `binned_long`: one bin column per feature (for inspection)."""
+    long = binned_long(df.withColumn("__row", F.monotonically_increasing_id()), features, [*keep, "__row"])
+    return long.groupBy("__row", *keep).pivot("feature", features).agg(F.first("bin")).drop("__row")
 
 
 def mutual_information(df: DataFrame, features: list[str], targets: list[str], binary: bool = False) -> DataFrame:
@@ -84,11 +103,10 @@ def mutual_information(df: DataFrame, features: list[str], targets: list[str], b
     Rows are widened to (target, feature, bin, y) only inside the map stage and
     counted there (partial aggregation); the shuffle carries counts.
     """
-    b = binned(df, features, targets)
     if binary:
         # 0/1 targets: one row per (feature, bin) carries every target's count of
         # ones, so rows widen by the feature count only, not features x targets
-        long = _stack(b, targets, {f: f"`{f}`" for f in features}, ("feature", "bin"))
+        long = binned_long(df, features, targets)
         per_bin = long.groupBy("feature", "bin").agg(
             F.count(F.lit(1)).alias("__n"), *[F.sum(F.col(t).cast("long")).alias(f"__p_{t}") for t in targets])
         pairs = ", ".join(f"'{t}', `__p_{t}`" for t in targets)
@@ -98,8 +116,8 @@ def mutual_information(df: DataFrame, features: list[str], targets: list[str], b
             F.struct(F.lit(0.0).alias("y"), (F.col("__n") - F.col("ones")).alias("n_by")))).alias("c")) \
             .select("target", "feature", "bin", "c.y", "c.n_by").where(F.col("n_by") > 0)
     else:
-        long_t = _stack(b, features, {t: f"CAST(`{t}` AS DOUBLE)" for t in targets}, ("target", "y"))
-        long = _stack(long_t, ["target", "y"], {f: f"`{f}`" for f in features}, ("feature", "bin"))
+        long = binned_long(df, features, targets)
+        long = _stack(long, ["feature", "bin"], {t: f"CAST(`{t}` AS DOUBLE)" for t in targets}, ("target", "y"))
         counts = long.groupBy("target", "feature", "bin", "y").agg(F.count(F.lit(1)).alias("n_by"))
     w_tf = Window.partitionBy("target", "feature")
     w_b = Window.partitionBy("target", "feature", "bin")
