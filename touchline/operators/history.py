@@ -177,13 +177,12 @@ SIDE_FEATURES = [
 
 def sides_wide(hist: DataFrame, features=tuple(SIDE_FEATURES)) -> DataFrame:
     """Team rows back to one row per match: columns h_<f>, a_<f>."""
-    aggs = []
-    for side, p in (("home", "h_"), ("away", "a_")):
-        st = F.max(F.when(F.col("side") == side, F.struct(*[F.col(f).alias(f) for f in features]))).alias(p)
-        aggs.append(st)
-    wide = hist.groupBy("match_id").agg(*aggs)
-    return wide.select("match_id", *[F.col(f"h_.{f}").alias(f"h_{f}") for f in features],
-                       *[F.col(f"a_.{f}").alias(f"a_{f}") for f in features])
+    fields = ", ".join(f"`{f}`" for f in features)
+    wide = hist.groupBy("match_id").agg(
+        F.expr(f"max(CASE WHEN side = 'home' THEN struct({fields}) END) AS h_"),
+        F.expr(f"max(CASE WHEN side = 'away' THEN struct({fields}) END) AS a_"))
+    return wide.selectExpr("match_id", *[f"h_.`{f}` AS `h_{f}`" for f in features],
+                           *[f"a_.`{f}` AS `a_{f}`" for f in features])
 
 
 # -- W10 / W11 / W12: head-to-head -------------------------------------------
