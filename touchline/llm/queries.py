@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import neardup
+from touchline.llm import dac, neardup, tokens
 from touchline.llm.common import table
 
 
@@ -14,7 +14,17 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.encode_and_read(table(spark, sf_dir, "documents"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op5_token_binary": op5_token_binary,
+    "op6_byte_bpe": op6_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
