@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import dac, neardup, tokens
+from touchline.llm import dac, langid, neardup, quality, tokens
 from touchline.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.encode_and_read(table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op3_language_id": op3_language_id,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_token_binary": op5_token_binary,
     "op6_byte_bpe": op6_byte_bpe,
 }
