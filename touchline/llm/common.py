@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.session import checkpoint_dir
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,10 +29,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bytes_of(col: Column | str) -> Column:
-    return F.col(col).cast("binary") if isinstance(col, str) else col.cast("binary")
-
-
 def fold(doc_id: Column | str, folds: int = 5) -> Column:
     """crc32 of the id's text modulo `folds`; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -44,6 +40,19 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
+def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+def columns_in_chunks(batches: Iterable[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """The columns of many small batches as arrays of about `rows` values."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+            held = []
+    if held:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]

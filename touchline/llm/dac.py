@@ -192,7 +192,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id
     A document is never split over files. Files are put in place under their
     final name in one step, so a task that runs again replaces them with the same bytes."""
     spark = docs.sparkSession
-    small_batches(spark, 256)
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import simhash
-from touchline.llm.common import small_batches, stage
+from touchline.llm.common import columns_in_chunks, small_batches, stage
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -37,8 +37,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
 def _keyed(fps: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
-            v = b.column(0).to_numpy(zero_copy_only=False)
+        for (v,) in columns_in_chunks(batches, 20_000):
             rows, keys = simhash.keys(v)
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(v[rows])], ["key", "fp"])
 
@@ -60,17 +59,46 @@ def _forest(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return links
 
 
-def _bucket_links(buckets: DataFrame, max_bits: int) -> DataFrame:
+def _run_links(keys: np.ndarray, fps: np.ndarray, max_bits: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each run of equal keys: all pairs of short runs, a spanning forest of the others."""
+    at = np.nonzero(np.r_[True, keys[1:] != keys[:-1], True])[0]
+    size = np.diff(at)
+    us, vs = [], []
+    short = np.repeat(size <= small, size)
+    for d in range(1, small):
+        if len(keys) <= d:
+            break
+        i = np.nonzero(short[:-d] & (keys[d:] == keys[:-d]))[0]
+        i = i[np.bitwise_count((fps[i] ^ fps[i + d]).view(np.uint64)) <= max_bits]
+        us.append(fps[i])
+        vs.append(fps[i + d])
+    for k in np.nonzero(size > small)[0]:
+        got = np.array(_forest(fps[at[k]:at[k + 1]], max_bits), np.int64).reshape(-1, 2)
+        us.append(got[:, 0])
+        vs.append(got[:, 1])
+    return np.concatenate(us or [fps[:0]]), np.concatenate(vs or [fps[:0]])
+
+
+def _bucket_links(members: DataFrame, max_bits: int) -> DataFrame:
+    """Links within the buckets of `members(key, fp)`, read as runs of a partition sorted by key."""
+
     def run(batches):
-        for b in batches:
-            values = b.column(0).values.to_numpy(zero_copy_only=False)
-            offsets = b.column(0).offsets.to_numpy()
-            out = [p for a, z in zip(offsets[:-1], offsets[1:]) for p in _forest(values[a:z], max_bits)]
-            if out:
-                u, v = np.array(out, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+        keys, fps = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+        def found(k, v):
+            a, b = _run_links(k, v, max_bits)
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
+
+        for k, v in columns_in_chunks(batches):
+            keys, fps = np.concatenate((keys, k)), np.concatenate((fps, v))
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last run may go on
+            if cut:
+                yield found(keys[:cut], fps[:cut])
+                keys, fps = keys[cut:], fps[cut:]
+        if len(keys):
+            yield found(keys, fps)
 
-    return buckets.mapInArrow(run, "u long, v long")
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def _ball_links(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -111,13 +139,12 @@ def links(fps: DataFrame, max_bits: int = 4, bucket_cap: int = 128) -> DataFrame
     relation "at most max_bits apart"; not every linked pair is listed."""
     if max_bits > 4:
         raise ValueError("the key pairs guarantee up to 4 differing bits")
-    keyed = _keyed(fps)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stage(keyed.join(shared, "key"), "simhash-buckets")
-    cold = members.where(F.col("n") <= bucket_cap).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    out = _bucket_links(cold.select("fps"), max_bits)
-    crowded = members.where(F.col("n") > bucket_cap).select("fp").distinct()
-    return out.unionByName(_ball_links(crowded, max_bits)).distinct()
+    keyed = stage(_keyed(fps), "simhash-keys")
+    crowded = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_cap).select("key"),
+                    "simhash-crowded")
+    out = _bucket_links(keyed.join(crowded, "key", "left_anti"), max_bits)
+    members = keyed.join(crowded, "key", "left_semi").select("fp").distinct()
+    return out.unionByName(_ball_links(members, max_bits)).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
