@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import dac, langid, neardup, quality, tokens
+from touchline.llm import dac, decontam, langid, neardup, quality, tokens
 from touchline.llm.common import table
 
 
@@ -30,11 +30,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 QUERIES = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op3_language_id": op3_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_binary": op5_token_binary,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_decontamination": op7_decontamination,
 }
 ORACLES: dict[str, str] = {}
