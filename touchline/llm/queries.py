@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import dac, decontam, langid, neardup, quality, tokens
+from touchline.llm import dac, decontam, fertility, hosts, langid, neardup, pii, quality, tokens
 from touchline.llm.common import table
 
 
@@ -35,6 +35,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(table(spark, sf_dir, "documents"))
+
+
+# The rules of the contract (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
+             ("allow", "org", "/fr/")]
+
+
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op3_language_id": op3_language_id,
@@ -42,5 +59,8 @@ QUERIES = {
     "op5_token_binary": op5_token_binary,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_decontamination": op7_decontamination,
+    "op8_fertility_rules": op8_fertility_rules,
+    "op9_host_reputation": op9_host_reputation,
+    "op10_pii_skip_chain": op10_pii_skip_chain,
 }
 ORACLES: dict[str, str] = {}
