@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import dac, decontam, fertility, hosts, langid, neardup, pii, quality, tokens
+from touchline.llm import dac, decontam, fertility, hosts, langid, neardup, pii, quality, reshard, tokens
 from touchline.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard.by_bytes(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op2_resharding": op2_resharding,
     "op3_language_id": op3_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_binary": op5_token_binary,
