@@ -69,3 +69,30 @@ def round_trip_digests(docs: DataFrame, path: str = RANKS, pattern: str = PATTER
 
     return docs.select("doc_id", F.col("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def with_ids(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """All columns of `docs`, with `ids` and `n_tokens` after them; `text` is decoded from the ids again.
+
+    A null text stays null and has no ids. Columns of these names in `docs` are replaced."""
+    small_batches(docs.sparkSession)
+    names = [n for n in docs.columns if n not in ("ids", "n_tokens")]
+    own = docs.select(F.struct(*[F.col(f"`{n}`") for n in names if n != "text"]).alias("row"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = bpe.codec(path, pattern)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            found = [codec.encode(t) if t else b"" for t in texts]
+            back = [t if t is None else codec.decode(np.frombuffer(x, "<u4").tolist()).decode()
+                    for t, x in zip(texts, found)]
+            ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
+            ids = pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(back, pa.string()), pa.ListArray.from_arrays(pa.array(ends), ids),
+                 pa.array(np.diff(ends).astype(np.int64))], ["row", "text", "ids", "n_tokens"])
+
+    kind = own.schema["row"].dataType.simpleString()
+    out = own.mapInArrow(run, f"row {kind}, text string, ids array<int>, n_tokens bigint")
+    return out.select(*[F.col("text") if n == "text" else F.col(f"row.`{n}`").alias(n) for n in names],
+                      "ids", "n_tokens")
