@@ -72,7 +72,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, question: f
 
 def without_leaks(docs: DataFrame, items: DataFrame, **limits: float) -> DataFrame:
     """The rows of `docs` that hold no item; rows are told apart by id and text, so a null id is fine."""
-    bad = leaks(docs, items, **limits).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    own = docs.withColumn("_th", F.xxhash64("text"))
-    clean = own.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_anti")
-    return clean.select(*docs.columns)
+    bad = leaks(docs, items, **limits).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    clean = own.join(bad.distinct(), F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_hash") == F.col("bad_hash")),
+                     "left_anti")
+    return clean.select("row.*")

@@ -165,7 +165,7 @@ def judge(docs: DataFrame, vocabulary: str = VOCABULARY, reach: float = 3.0, lea
     measured = stage(measure(docs, vocabulary).withColumn("base_failed", failed), "fertility")
     out = measured.join(bands(measured, reach, least_docs), "grp", "left")
     # few words give noisy measures: below `steady_words` the band widens with the standard error
-    slack = F.greatest(F.lit(1.0), F.sqrt(steady_words / F.col("n_words")))
+    slack = F.greatest(F.lit(1.0), F.sqrt(steady_words / F.greatest(F.col("n_words"), F.lit(1))))
     inside = F.lit(True)
     for m in MEASURES:
         reached = slack * F.col(f"{m}_wide")

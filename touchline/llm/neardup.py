@@ -172,36 +172,35 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, bucket_cap: int = 128) -> DataFrame:
-    """One row per row of `docs(doc_id, text, ...)`: doc_id, text_hash, fp, component_id.
+    """One row per row of `docs(doc_id, text, ...)`: doc_id, text_hash, fp, root, component_id.
 
-    component_id: smallest doc_id reachable over links, itself included (null
-    only where no document of the class has an id). Repeated rows stay repeated;
-    an empty table gives an empty result; other columns are ignored."""
+    component_id: smallest doc_id reachable over links, itself included (null only where no document of
+    the class has an id); root: the class's least fingerprint. Repeated rows stay
+    repeated; an empty table gives an empty result; other columns are ignored."""
     own = stage(fingerprints(docs, width), "simhash-fps")
     least = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     root = components(links(least.select("fp"), max_bits, bucket_cap))
     linked = least.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = linked.join(named, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    by_fp = linked.join(named, "root").select("fp", "root", "component_id")
+    return own.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 4, max_bits: int = 4, bucket_cap: int = 128) -> DataFrame:
-    """The rows of `docs` with one row of each near-duplicate class: its smallest
-    doc_id (ids before nulls, then the smallest text hash)."""
+    """The rows of `docs` with one row of each near-duplicate class: its smallest doc_id (a null id
+    only where the class has no other, then the smallest text hash). Rows equal in id and text count once.
+
+    Null and empty texts are one class. All columns of `docs` are returned, whatever their names."""
     found = stage(near_duplicates(docs, width, max_bits, bucket_cap), "neardup")
-    # Classes have one component_id each; classes without any id are told apart by their fingerprints' root,
-    # which near_duplicates does not return, so such rows stay as one row per text.
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(
-        F.min(rank).alias("best"))
-    copies = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_copies"))
-    best = best.select(F.col("best.d").alias("_d"), F.col("best.h").alias("_h")).distinct()
-    best = best.join(copies, best["_d"].eqNullSafe(copies["doc_id"]) & (best["_h"] == copies["text_hash"])).select(
-        "_d", "_h", "_copies")
-    kept = docs.withColumn("_th", F.xxhash64("text")).join(
-        best, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")))
-    once = kept.where("_copies = 1")
-    more = kept.where("_copies > 1").dropDuplicates(["_d", "_h"])
-    return once.unionByName(more).select(*docs.columns)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
+    best = found.groupBy("root").agg(F.min(rank).alias("best")).select(
+        F.col("best.id").alias("best_id"), F.col("best.h").alias("best_hash"))
+    copies = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    best = best.join(copies, best["best_id"].eqNullSafe(copies["doc_id"]) & (best["best_hash"] == copies["text_hash"])
+                     ).select("best_id", "best_hash", "copies")
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    kept = own.join(best, own["own_id"].eqNullSafe(best["best_id"]) & (own["own_hash"] == best["best_hash"]))
+    once = kept.where("copies = 1")
+    more = kept.where("copies > 1").dropDuplicates(["own_id", "own_hash"])
+    return once.unionByName(more).select("row.*")
