@@ -37,7 +37,8 @@ def test_session_state_reset_quit(spark):
         (7, 0, "rainy"), (7, 1, "reset"), (7, 2, "derby game"), (7, 3, "derby again"), (7, 4, "PREDICT "),
         (7, 5, "quit"), (7, 6, "windy"), (7, 7, "predict")], "conv_id BIGINT, turn BIGINT, text STRING")
     act = T.active_adjustments(msgs, adjustment_rules(spark)).collect()
-    assert sorted((r["predict_turn"], r["turn"], r["rule_id"]) for r in act) == [(4, 2, 13), (4, 3, 13)]
+    assert sorted((r["turn"], r["rule_id"], r["until_turn"] or 0, r["n_predicts"]) for r in act) == [
+        (0, 7, 1, 0), (2, 13, 0, 1), (3, 13, 0, 1)]
     m = T.total_multiplier(msgs, adjustment_rules(spark)).collect()
     assert len(m) == 1 and abs(m[0]["total_multiplier"] - 1.2) < 1e-12 and m[0]["n_active"] == 2
 

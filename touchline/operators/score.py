@@ -25,6 +25,10 @@ FORM_DEFAULTS = {
     "away_recent_form": 0.33,
 }
 
+# What the form's defaults give for the expected total: all four six-match averages, halved.
+DEFAULT_EXPECTED_TOTAL = sum(FORM_DEFAULTS[c] for c in (
+    "home_corners_avg_6", "away_corners_avg_6", "home_corners_against_avg_6", "away_corners_against_avg_6")) / 2
+
 
 def line_scores(features: DataFrame, lines=tuple(CORNER_LINES)) -> DataFrame:
     """Model-free member probabilities per (match, line), FIXTURES.md §4."""

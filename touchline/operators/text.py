@@ -4,8 +4,8 @@ of messages `(conv_id, turn, text)`; all state is scoped per conversation.
 Tagging joins the messages with the 19-row rule table (fixed size, so it is
 broadcast) and keeps the pairs whose pattern occurs in the lower-cased text.
 Session state (reset, quit, what is in force at a `predict`) is a running
-`last(... ignore nulls)` over the conversation's turns, then an equi-join on
-(conversation, segment) - no range join over a whole conversation.
+maximum and running sums inside buckets of turns - no join of predicts with
+hits, and no window or list over a whole conversation.
 """
 
 from __future__ import annotations
@@ -73,14 +73,42 @@ def session_segments(messages: DataFrame, bucket_turns: int = TURN_BUCKET) -> Da
         .drop("quit_turn")
 
 
+def segment_totals(messages: DataFrame, rules: DataFrame, bucket_turns: int = TURN_BUCKET) -> DataFrame:
+    """Per turn of an open session, over the earlier turns of its segment: rule hits (n_active), the sum of
+    the logs of their multipliers (sum_ln), and predicts (n_predicts).
+
+    Hits are first summed per turn (19 at most). Running sums go over buckets of `bucket_turns` turns plus
+    the totals of earlier buckets, so a conversation of any length is split and the output is linear."""
+    per_turn = tag_messages(messages, rules).groupBy("conv_id", "turn").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(F.ln("multiplier")).alias("__s"))
+    turns = session_segments(messages, bucket_turns).join(per_turn, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", "command", "segment", (F.col("turn") / bucket_turns).cast("bigint").alias("__b"),
+        F.coalesce("__n", F.lit(0)).alias("__n"), F.coalesce("__s", F.lit(0.0)).alias("__s"),
+        (F.col("command") == "predict").cast("bigint").alias("__p"))
+    names = {"__n": "n_active", "__s": "sum_ln", "__p": "n_predicts"}
+    earlier = Window.partitionBy("conv_id", "segment").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = turns.groupBy("conv_id", "segment", "__b").agg(*[F.sum(c).alias(c) for c in names])
+    totals = totals.select("conv_id", "segment", "__b", *[F.sum(c).over(earlier).alias(f"{c}_before") for c in names])
+    inside = Window.partitionBy("conv_id", "segment", "__b").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return turns.join(totals, ["conv_id", "segment", "__b"]).select(
+        "conv_id", "turn", "command", "segment",
+        *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.coalesce(f"{c}_before", F.lit(0))).alias(name)
+          for c, name in names.items()])
+
+
 def active_adjustments(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    """T4: for each `predict` turn, every rule hit since the last reset (repeats accumulate)."""
-    seg = session_segments(messages)
-    predicts = seg.where(F.col("command") == "predict").select(
-        "conv_id", "segment", F.col("turn").alias("predict_turn"))
-    tags = tag_messages(messages, rules).join(seg.select("conv_id", "turn", "segment"), ["conv_id", "turn"])
-    return predicts.join(tags, ["conv_id", "segment"]).where(F.col("turn") < F.col("predict_turn")) \
-        .select("conv_id", "predict_turn", "turn", "rule_id", "type", "multiplier", "description")
+    """T4: one row per rule hit of an open session: the turn until which it is in force (the next reset; null if none
+    follows) and the number of `predict` turns that see it. Repeats accumulate, so each is a row."""
+    seg = segment_totals(messages, rules)
+    ends = seg.groupBy("conv_id", "segment").agg(F.sum((F.col("command") == "predict").cast("bigint")).alias("__all"))
+    starts = seg.select("conv_id", "segment").distinct()
+    following = Window.partitionBy("conv_id").orderBy("segment")
+    starts = starts.withColumn("until_turn", F.lead("segment").over(following))
+    hits = tag_messages(messages, rules).join(seg.select("conv_id", "turn", "segment", "n_predicts"),
+                                              ["conv_id", "turn"])
+    return hits.join(ends, ["conv_id", "segment"]).join(starts, ["conv_id", "segment"]).select(
+        "conv_id", "turn", "rule_id", "type", "multiplier", "description", "segment", "until_turn",
+        (F.col("__all") - F.col("n_predicts")).alias("n_predicts"))
 
 
 def current_adjustments(messages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -92,31 +120,32 @@ def current_adjustments(messages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def adjustments_by_type(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    """T5: per conversation and type: count, descriptions in turn order, up / down."""
-    cur = current_adjustments(messages, rules)
-    return cur.groupBy("conv_id", "type").agg(
-        F.count(F.lit(1)).alias("n"),
+    """T5: per conversation and type: hits, up / down, and each rule once with its number of hits, in the order of
+    its first turn. Hits are counted per rule first, so a list holds 19 entries at most."""
+    per_rule = current_adjustments(messages, rules).groupBy("conv_id", "type", "rule_id", "description").agg(
+        F.count(F.lit(1)).alias("k"), F.min("turn").alias("first_turn"), F.max("multiplier").alias("multiplier"))
+    up = F.col("multiplier") > 1
+    return per_rule.groupBy("conv_id", "type").agg(
+        F.sum("k").alias("n"),
         F.concat_ws("; ", F.transform(
-            F.array_sort(F.collect_list(F.struct("turn", "rule_id", "description"))),
-            lambda s: s["description"])).alias("descriptions"),
-        F.sum(F.when(F.col("multiplier") > 1, 1).otherwise(0)).cast("bigint").alias("n_up"),
-        F.sum(F.when(F.col("multiplier") > 1, 0).otherwise(1)).cast("bigint").alias("n_down"),
+            F.array_sort(F.collect_list(F.struct("first_turn", "rule_id", "description", "k"))),
+            lambda s: F.concat(s["description"], F.lit(" x"), s["k"].cast("string")))).alias("descriptions"),
+        F.sum(F.when(up, F.col("k")).otherwise(0)).cast("bigint").alias("n_up"),
+        F.sum(F.when(up, 0).otherwise(F.col("k"))).cast("bigint").alias("n_down"),
     )
 
 
-def _geo_mean_clipped(m):
-    return F.least(F.greatest(F.exp(F.avg(F.ln(m))), F.lit(0.6)), F.lit(1.5))
+def clipped_geo_mean(n, sum_ln):
+    """exp(sum_ln / n) clipped to [0.6, 1.5]; 1.0 for no hits."""
+    mean = F.exp(sum_ln / F.greatest(n, F.lit(1)))
+    return F.when(n > 0, F.least(F.greatest(mean, F.lit(0.6)), F.lit(1.5))).otherwise(F.lit(1.0))
 
 
 def total_multiplier(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Geometric mean of the active multipliers, clipped to [0.6, 1.5]; 1.0 if none."""
-    seg = session_segments(messages)
-    predicts = seg.where(F.col("command") == "predict").select("conv_id", F.col("turn").alias("predict_turn"))
-    active = active_adjustments(messages, rules).groupBy("conv_id", "predict_turn").agg(
-        F.count(F.lit(1)).alias("n_active"), _geo_mean_clipped(F.col("multiplier")).alias("m"))
-    return predicts.join(active, ["conv_id", "predict_turn"], "left").select(
-        "conv_id", "predict_turn", F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"),
-        F.coalesce("m", F.lit(1.0)).alias("total_multiplier"))
+    """Geometric mean of the multipliers in force at each predict, clipped to [0.6, 1.5]; 1.0 if none."""
+    seg = segment_totals(messages, rules).where(F.col("command") == "predict")
+    return seg.select("conv_id", F.col("turn").alias("predict_turn"), "n_active",
+                      clipped_geo_mean(F.col("n_active"), F.col("sum_ln")).alias("total_multiplier"))
 
 
 def impact_pct(mult: DataFrame) -> DataFrame:

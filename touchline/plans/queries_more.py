@@ -20,7 +20,7 @@ from touchline.sources.testdata import messages, round_doubles
 NOT_ROUNDED.update({
     "n_matches", "first_date", "last_date", "n_teams", "range_label", "low", "high", "n", "target",
     "n_classes", "trainable", "home_team_group", "away_team_group", "n_features", "n_rows", "home_more",
-    "away_more", "equal", "conv_id", "turn", "predict_turn", "command", "rule_id", "type", "description",
+    "away_more", "equal", "conv_id", "turn", "predict_turn", "until_turn", "n_predicts", "command", "rule_id", "type", "description",
     "text", "n_active", "n_up", "n_down", "descriptions", "impact_label", "adjusted_prediction_label",
     "recommended", "prediction", "special_info", "consensus", "is_hard_line", "tier", "rank",
     "lines_analysed", "hard_lines", "high_confidence_bets", "change_label", "recommendation",
@@ -141,8 +141,17 @@ def _mult(s, d):
     return T.total_multiplier(messages(s, d), adjustment_rules(s))
 
 
+def _asked(s, d):
+    """The match that each predicting conversation asks about: its features, or the form's defaults where the
+    match is not in the cleaned table."""
+    asked = messages(s, d).where(T.command_of() == "predict").select(F.col("conv_id").alias("match_id")).distinct()
+    known = P.history_v3(s, d).select("match_id", "expected_total_corners")
+    return asked.join(known, "match_id", "left").select(
+        "match_id", F.coalesce("expected_total_corners", F.lit(S.DEFAULT_EXPECTED_TOTAL)).alias("expected_total_corners"))
+
+
 def _line_probs(s, d):
-    dec = S.all_lines(S.line_scores(P.history_v3(s, d)))
+    dec = S.all_lines(S.line_scores(_asked(s, d)))
     return dec.select(F.col("match_id").alias("conv_id"), "line", "over_probability")
 
 
@@ -157,17 +166,24 @@ def _register_text():
                      "(SELECT 1 FROM tags t WHERE t.conv_id = cmd.conv_id AND t.turn = cmd.turn)"))
     register("active_adjustments",
              q(lambda s, d: T.active_adjustments(_msgs(s, d), adjustment_rules(s))
-               .select("conv_id", "predict_turn", "turn", "rule_id")),
-             sql(tc, "SELECT conv_id, predict_turn, turn, rule_id FROM active"))
+               .select("conv_id", "turn", "rule_id", "until_turn", "n_predicts")),
+             sql(tc, """SELECT t.conv_id, t.turn, t.rule_id,
+  (SELECT min(r.turn) FROM seg r WHERE r.conv_id = t.conv_id AND r.turn > t.turn AND r.command = 'reset') AS until_turn,
+  (SELECT count(*) FROM active a WHERE a.conv_id = t.conv_id AND a.turn = t.turn AND a.rule_id = t.rule_id)
+    AS n_predicts
+FROM tags t JOIN seg s ON s.conv_id = t.conv_id AND s.turn = t.turn"""))
     register("adjustments_by_type", lambda s, d: T.adjustments_by_type(_msgs(s, d), adjustment_rules(s)),
              sql(tc + """,
 lastseg AS (SELECT conv_id, max(segment) AS segment FROM seg GROUP BY 1),
 cur AS (SELECT t.* FROM tags t JOIN seg s ON s.conv_id = t.conv_id AND s.turn = t.turn
-        JOIN lastseg l ON l.conv_id = s.conv_id AND l.segment = s.segment)""", """
-SELECT conv_id, type, count(*) AS n, string_agg(description, '; ' ORDER BY turn, rule_id) AS descriptions,
-  CAST(sum(CASE WHEN multiplier > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_up,
-  CAST(sum(CASE WHEN multiplier > 1 THEN 0 ELSE 1 END) AS BIGINT) AS n_down
-FROM cur GROUP BY conv_id, type"""))
+        JOIN lastseg l ON l.conv_id = s.conv_id AND l.segment = s.segment),
+per_rule AS (SELECT conv_id, type, rule_id, description, multiplier, count(*) AS k, min(turn) AS first_turn
+             FROM cur GROUP BY ALL)""", """
+SELECT conv_id, type, CAST(sum(k) AS BIGINT) AS n,
+  string_agg(description || ' x' || k, '; ' ORDER BY first_turn, rule_id) AS descriptions,
+  CAST(sum(CASE WHEN multiplier > 1 THEN k ELSE 0 END) AS BIGINT) AS n_up,
+  CAST(sum(CASE WHEN multiplier > 1 THEN 0 ELSE k END) AS BIGINT) AS n_down
+FROM per_rule GROUP BY conv_id, type"""))
     register("total_multiplier", q(_mult),
              sql(tc, f"SELECT conv_id, predict_turn, n_active, {SB.round6('total_multiplier')} AS total_multiplier "
                      "FROM mult"))
@@ -177,22 +193,25 @@ FROM cur GROUP BY conv_id, type"""))
                      "WHEN (total_multiplier - 1) * 100 > 0 THEN 'more' ELSE 'fewer' END AS impact_label FROM mult"))
 
     def adj_total(s, d):
-        base = P.history_v3(s, d).select(F.col("match_id").alias("conv_id"),
-                                         F.col("expected_total_corners").alias("original_prediction"))
+        base = _asked(s, d).select(F.col("match_id").alias("conv_id"),
+                                   F.col("expected_total_corners").alias("original_prediction"))
         return T.adjust_total(_mult(s, d), base)
 
-    h3t = f"{H3},\n{SM.text_ctes()}"
+    h3t = f"""{H3},
+{SM.text_ctes()},
+asked AS (SELECT DISTINCT m.conv_id AS match_id, COALESCE(h.expected_total_corners, (5.0 + 4.5 + 4.2 + 4.8) / 2)
+            AS expected_total_corners FROM mult m LEFT JOIN h3 h ON h.match_id = m.conv_id)"""
     register("adjust_total", q(adj_total), sql(h3t, f"""
 SELECT m.conv_id, m.predict_turn, {SB.round6('h.expected_total_corners')} AS original_prediction,
   {SB.round6('m.total_multiplier')} AS adjustment_factor,
   {SB.round6('round_even((h.expected_total_corners * m.total_multiplier) * 100.0, 0) / 100.0')} AS adjusted_prediction
-FROM mult m JOIN h3 h ON h.match_id = m.conv_id"""))
+FROM mult m LEFT JOIN asked h ON h.match_id = m.conv_id"""))
 
     def adj_lines(s, d):
         return T.adjust_line_probs(_mult(s, d), _line_probs(s, d))
 
     adj_sql = f"""{h3t},
-{SM.line_scores_cte('h3')},
+{SM.line_scores_cte('asked')},
 {SM.decisions_cte()},
 adj AS (SELECT m.conv_id, m.predict_turn, d.line, d.over_probability AS orig,
   CASE WHEN m.total_multiplier > 1 THEN LEAST(0.95, d.over_probability + LEAST(0.2, (m.total_multiplier - 1) * 0.5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from touchline.operators.features import CORNER_LINES, HARD_LINES
 from touchline.operators.score import MEMBER_ACCURACIES
 from touchline.sources.rules import COMMAND_WORDS, QUIT_WORDS, rules_values_sql
-from touchline.sources.testdata import INJECTED_PHRASES
+from touchline.sources.testdata import SCRIPT, SESSION_CONVERSATIONS, SESSION_TURNS
 
 
 def lines_values(lines=CORNER_LINES) -> str:
@@ -13,14 +13,11 @@ def lines_values(lines=CORNER_LINES) -> str:
 
 
 def messages_cte() -> str:
-    phrases = ", ".join("'" + p + "'" for p in INJECTED_PHRASES)
+    script = ", ".join("NULL" if p is None else f"'{p}'" for p in SCRIPT)
     return f"""msg AS (
-  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
-    CASE WHEN (conv_id * 7 + turn) % 23 <= 18 THEN ([{phrases}])[CAST((conv_id * 7 + turn) % 23 + 1 AS INTEGER)]
-         WHEN (conv_id * 7 + turn) % 23 = 19 THEN 'reset'
-         WHEN (conv_id * 7 + turn) % 23 = 20 THEN 'quit'
-         WHEN (conv_id * 7 + turn) % 23 = 21 THEN 'predict'
-         ELSE text END AS text
+  SELECT CAST(conv_id // {SESSION_CONVERSATIONS} AS BIGINT) AS conv_id,
+    CAST((conv_id % {SESSION_CONVERSATIONS}) * {SESSION_TURNS} + turn AS BIGINT) AS turn,
+    COALESCE(([{script}])[CAST((conv_id * 7 + turn * 5) % {len(SCRIPT)} + 1 AS INTEGER)], text) AS text
   FROM conversations WHERE role = 'user')"""
 
 

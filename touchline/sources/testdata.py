@@ -58,13 +58,17 @@ MATCH_COLUMNS = [
     ("away_team_shots", "CAST(CASE WHEN k % 59 = 0 THEN 0 ELSE 3 + (tp * 3) % 13 END AS DOUBLE)"),
 ]
 
-# The phrases injected into user turns, FIXTURES.md §3, in order.
-INJECTED_PHRASES = [
+# The texts of user turns by position, FIXTURES.md section 3, in order; None: the turn's own text.
+SCRIPT = [
     "reserves playing", "first team", "key players missing", "defensive setup", "all out attack",
     "counter attack", "rainy weather", "windy", "hot day", "freezing", "final match", "friendly game",
     "derby", "tired legs", "well rested", "strict referee", "lenient referee", "motivated side",
-    "unmotivated side",
+    "unmotivated side", "reset", "quit", "predict", "predict", "predict", "predict", "predict",
+    "Rain and wind at the derby final", "reserves, tired legs, friendly game, defensive setup",
+    "all out attack in the final, derby", "unmotivated youth side", None,
 ]
+# Conversations that make up one session, and the turns that each is given in it.
+SESSION_CONVERSATIONS, SESSION_TURNS = 5, 100
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,18 +108,15 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns of `conversations` with phrases injected by position (FIXTURES.md §3)."""
+    """User turns of `conversations`, five conversations to a session, with texts by position (FIXTURES.md section 3)."""
     conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    p = (F.col("conv_id") * 7 + F.col("turn")) % 23
-    phrases = F.array(*[F.lit(s) for s in INJECTED_PHRASES])
-    text = (
-        F.when(p <= 18, F.element_at(phrases, (p + 1).cast("int")))
-        .when(p == 19, F.lit("reset"))
-        .when(p == 20, F.lit("quit"))
-        .when(p == 21, F.lit("predict"))
-        .otherwise(F.col("text"))
-    )
-    return conv.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), text.alias("text"))
+    p = (F.col("conv_id") * 7 + F.col("turn") * 5) % len(SCRIPT)
+    script = F.array(*[F.lit(s) for s in SCRIPT])
+    text = F.coalesce(F.element_at(script, (p + 1).cast("int")), F.col("text"))
+    return conv.select(
+        F.floor(F.col("conv_id") / SESSION_CONVERSATIONS).cast("bigint").alias("conv_id"),
+        ((F.col("conv_id") % SESSION_CONVERSATIONS) * SESSION_TURNS + F.col("turn")).cast("bigint").alias("turn"),
+        text.alias("text"))
 
 
 def round6(c: Column) -> Column:

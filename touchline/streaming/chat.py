@@ -3,14 +3,15 @@
 Messages `(conv_id, turn, text)` arrive as files. Each message is classified
 (command or free text) and matched against the 19 rules with built-in
 expressions; a per-conversation state (`applyInPandasWithState`) keeps the
-multipliers in force - `reset` clears them, `quit` closes the session - and
-every `predict` emits the clipped geometric mean of what is in force. This is
+number and the log sum of the multipliers in force - `reset` clears them, `quit`
+closes the session - and every `predict` emits the clipped geometric mean of what is in force. This is
 the streaming form of the batch operators T2, T4 and T6.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,8 @@ from touchline.sources.rules import ADJUSTMENT_RULES
 
 MESSAGE_SCHEMA = "conv_id BIGINT, turn BIGINT, text STRING"
 OUTPUT_SCHEMA = "conv_id BIGINT, predict_turn BIGINT, n_active BIGINT, total_multiplier DOUBLE"
-STATE_SCHEMA = "closed BOOLEAN, multipliers ARRAY<DOUBLE>"
+STATE_SCHEMA = "closed BOOLEAN, n BIGINT, sum_ln DOUBLE"
+IDLE_MS = 24 * 3600 * 1000  # a conversation silent for so long leaves the state
 
 
 def _rules_literal() -> str:
@@ -34,46 +36,58 @@ def _rules_literal() -> str:
 
 
 def tagged(messages: DataFrame) -> DataFrame:
-    """Per message: its command and the multipliers of every rule it hits."""
-    hits = F.expr(f"transform(filter({_rules_literal()}, r -> lower(trim(text)) rlike r.pattern), r -> r.m)")
-    return messages.select("conv_id", "turn", command_of().alias("command"), hits.alias("hits"))
-
-
-def _session(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    closed, mults = False, []
-    if state.exists:
-        closed, stored = state.get
-        mults = list(stored) if stored is not None else []
-    out = []
+    """Per message: its command, the number of rules it hits and the sum of their multipliers' logs."""
+    hits = F.expr(f"transform(filter({_rules_literal()}, r -> lower(trim(text)) rlike r.pattern), r -> ln(r.m))")
+    out = messages.select("conv_id", "turn", command_of().alias("command"), hits.alias("hits"))
+    free = F.col("command") == "text"
+    total = F.aggregate("hits", F.lit(0.0), lambda a, x: a + x)
+    return out.select("conv_id", "turn", "command", F.when(free, F.size("hits")).otherwise(0).alias("n"),
+                      F.when(free, total).otherwise(0.0).alias("sum_ln"))
+
+
+def _session(key, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    """The state of a conversation is three numbers, whatever its length."""
+    columns = ["conv_id", "predict_turn", "n_active", "total_multiplier"]
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([], columns=columns)
+        return
+    closed, n, sum_ln = state.get if state.exists else (False, 0, 0.0)
     for pdf in batches:
-        for row in pdf.sort_values("turn").itertuples(index=False):
-            if closed:
-                break
-            if row.command == "quit":
-                closed = True
-            elif row.command == "reset":
-                mults = []
-            elif row.command == "predict":
-                if mults:
-                    m = float(np.clip(np.exp(np.mean(np.log(mults))), 0.6, 1.5))
-                else:
-                    m = 1.0
-                out.append((row.conv_id, row.turn, len(mults), m))
-            elif row.command == "text" and row.hits is not None:
-                mults.extend(float(x) for x in row.hits)
-    state.update((closed, mults))
-    yield pd.DataFrame(out, columns=["conv_id", "predict_turn", "n_active", "total_multiplier"])
-
-
-def session_multipliers(messages: DataFrame) -> DataFrame:
+        if closed:
+            continue
+        pdf = pdf.sort_values("turn", kind="stable")
+        quits = np.flatnonzero(pdf["command"] == "quit")
+        if len(quits):
+            pdf, closed = pdf.iloc[:quits[0]], True
+        if not len(pdf):
+            continue
+        # running totals, less what they were at the last reset
+        run_n, run_s = n + pdf["n"].cumsum().to_numpy(), sum_ln + pdf["sum_ln"].cumsum().to_numpy()
+        last = np.maximum.accumulate(np.where(pdf["command"] == "reset", np.arange(len(pdf)), -1))
+        run_n = run_n - np.where(last >= 0, run_n[last], 0)
+        run_s = run_s - np.where(last >= 0, run_s[last], 0.0)
+        n, sum_ln = int(run_n[-1]), float(run_s[-1])
+        ask = (pdf["command"] == "predict").to_numpy()
+        mean = np.where(run_n > 0, np.clip(np.exp(run_s / np.maximum(run_n, 1)), 0.6, 1.5), 1.0)
+        yield pd.DataFrame({"conv_id": pdf["conv_id"][ask], "predict_turn": pdf["turn"][ask],
+                            "n_active": run_n[ask], "total_multiplier": mean[ask]}, columns=columns)
+    state.update((closed, n, sum_ln))
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
+
+
+def session_multipliers(messages: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Streaming (or batch) messages -> one row per `predict`.
 
     A conversation's turns are expected to arrive in turn order across
     micro-batches (one person types them one after another); inside a
-    micro-batch they are sorted by turn.
+    micro-batch they are sorted by turn. With `idle_ms`, a conversation silent
+    for so long is forgotten, closed ones too.
     """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return tagged(messages).groupBy("conv_id").applyInPandasWithState(
-        _session, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        partial(_session, idle_ms=idle_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
 def run(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, available_now: bool = True):
@@ -82,7 +96,7 @@ def run(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, av
     `checkpoint` must be on shared storage (offsets and state survive a restart).
     """
     stream = spark.readStream.schema(MESSAGE_SCHEMA).parquet(source_dir)
-    writer = (session_multipliers(stream).writeStream.format("parquet").outputMode("append")
+    writer = (session_multipliers(stream, None if available_now else IDLE_MS).writeStream.format("parquet").outputMode("append")
               .option("path", sink_dir).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
