@@ -124,13 +124,12 @@ def impute_before_encode(df: DataFrame, numeric: list[str], categorical: list[st
 def dedup_matches(df: DataFrame, key=tuple(DEDUP_KEY), order: str = "match_id") -> DataFrame:
     """Keep the first row (smallest match_id) of each (date, home, away) group.
 
-    A group of copies can be huge; `min(struct)` is combined map-side before
-    the shuffle, so a hot group never lands whole in one task.
+    `order` is unique. The kept ids are found by a hash aggregate that is combined
+    map-side, so a hot group never lands whole in one task, and the rows are picked by a
+    semi-join on the id; the wide rows are not sorted or aggregated.
     """
-    key = list(key)
-    rest = [c for c in df.columns if c not in key and c != order]
-    best = F.min(F.struct(F.col(order), *[F.col(c) for c in rest])).alias("__row")
-    return df.groupBy(*key).agg(best).select(*key, "__row.*").select(df.columns)
+    kept = df.groupBy(*key).agg(F.min(order).alias(order)).select(order)
+    return df.join(kept, order, "left_semi").select(df.columns)
 
 
 # -- C6 - C10 ---------------------------------------------------------------
@@ -219,21 +218,15 @@ def removal_funnel(raw: DataFrame) -> DataFrame:
     later = (F.when(F.col("__first").isNull(), F.lit("duplicate"))
              .when(~F.coalesce(h.between(0, 36) & a.between(0, 36), F.lit(False)), F.lit("corner_outlier"))
              .when(~(possession_ok(s) & shots_ok(s)), F.lit("quality")))
-    stage_of_removed = tagged.where(F.col("__pre").isNotNull()).select(F.col("__pre").alias("stage")) \
+    stage_of_row = tagged.where(F.col("__pre").isNotNull()).select(F.col("__pre").alias("stage")) \
         .unionByName(s.select(later.alias("stage")))
-    counts = stage_of_removed.groupBy("stage").count()
-    initial = raw.agg(F.count(F.lit(1)).alias("initial"))
-    stages = raw.sparkSession.createDataFrame(
-        [(i + 1, s_) for i, s_ in enumerate(FUNNEL_STAGES)] + [(len(FUNNEL_STAGES) + 1, "total")],
-        "step INT, stage STRING")
-    per_stage = stages.join(counts.where(F.col("stage").isNotNull()), "stage", "left") \
-        .select("step", "stage", F.coalesce("count", F.lit(0)).cast("bigint").alias("removed"))
-    total = per_stage.where(F.col("stage") != "total").agg(F.sum("removed").alias("t"))
-    out = per_stage.crossJoin(F.broadcast(initial)).crossJoin(F.broadcast(total)).select(
-        "step", "stage",
-        F.when(F.col("stage") == "total", F.col("t")).otherwise(F.col("removed")).cast("bigint").alias("removed"),
-        F.col("initial").cast("bigint").alias("initial"),
-    )
+    # one pass: rows kept have a null stage, so the counts hold the initial number and the total as well
+    one = stage_of_row.agg(
+        F.count(F.lit(1)).alias("initial"), F.count("stage").alias("total"),
+        *[F.count_if(F.col("stage") == s_).alias(s_) for s_ in FUNNEL_STAGES])
+    stages = [*FUNNEL_STAGES, "total"]
+    out = one.selectExpr("initial", f"stack({len(stages)}, " + ", ".join(
+        f"{i + 1}, '{s_}', `{s_}`" for i, s_ in enumerate(stages)) + ") AS (step, stage, removed)")
     return out.select("step", "stage", "removed", "initial",
                       F.when(F.col("initial") > 0, F.col("removed") * 100.0 / F.col("initial"))
                       .otherwise(F.lit(0.0)).alias("removed_pct"))

@@ -147,7 +147,9 @@ def _side_expressions() -> dict[str, tuple[int, str, float]]:
     out["solidity"] = (5, f"1.0 / (1.0 + avg({ca}) {_fr(5)})", 0.5)
     out["solidity_tv"] = (5, f"1.0 / (1.0 + avg({ca}) {_fr(5)})", 0.0)
     out["attacking_tendency"] = (5, f"avg({cf}) {_fr(5)}", 0.0)
-    out["rest_days"] = (1, f"CAST(least(datediff(date_gmt, {_lag('date_gmt', 1)}), 30) AS DOUBLE)", 0.0)
+    # whole 24-hour days between kick-offs
+    out["rest_days"] = (1, f"CAST(least(timestampdiff(SECOND, {_lag('date_gmt', 1)}, date_gmt) DIV 86400, 30) AS DOUBLE)",
+                        0.0)
     return out
 
 
@@ -177,12 +179,10 @@ SIDE_FEATURES = [
 
 def sides_wide(hist: DataFrame, features=tuple(SIDE_FEATURES)) -> DataFrame:
     """Team rows back to one row per match: columns h_<f>, a_<f>."""
-    fields = ", ".join(f"`{f}`" for f in features)
-    wide = hist.groupBy("match_id").agg(
-        F.expr(f"max(CASE WHEN side = 'home' THEN struct({fields}) END) AS h_"),
-        F.expr(f"max(CASE WHEN side = 'away' THEN struct({fields}) END) AS a_"))
-    return wide.selectExpr("match_id", *[f"h_.`{f}` AS `h_{f}`" for f in features],
-                           *[f"a_.`{f}` AS `a_{f}`" for f in features])
+    # one primitive per aggregate, so the pivot is a hash aggregate
+    return hist.groupBy("match_id").agg(*[
+        F.expr(f"max(CASE WHEN side = '{side}' THEN `{f}` END) AS `{side[0]}_{f}`")
+        for side in ("home", "away") for f in features])
 
 
 # -- W10 / W11 / W12: head-to-head -------------------------------------------

@@ -1,9 +1,9 @@
 """Chronological splits, metrics, and model training as Spark jobs.
 
 Splits need each match's position in date order. `global_position` gets it
-without a global window or a full sort: rows are counted per (date, id
-bucket) - a small table - the running sum of those counts gives each bucket's
-offset, and a rank inside one bucket (at most `bucket_rows` rows) finishes it.
+without a global window or a full sort: rows are counted per day, kick-off and
+id bucket; a running sum over days (one row each) and one inside each day give a
+bucket's offset, and a rank inside the bucket (at most `bucket_rows` ids) finishes it.
 
 Training uses MLlib gradient-boosted trees in place of the reference's
 boosting library; fits are distributed by MLlib, only fitted models (trees,
@@ -26,15 +26,24 @@ EPS = 1e-15
 
 def global_position(df: DataFrame, date: str = "date_gmt", order: str = "match_id",
                     bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
-    """0-based position in (date, id) order, as column `position`."""
-    b = df.withColumn("__b", (F.col(order) / F.lit(bucket_rows)).cast("bigint"))
-    counts = b.groupBy(date, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy(date, "__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(date, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    in_bucket = Window.partitionBy(date, "__b").orderBy(order)
-    return (b.join(offsets, [date, "__b"])
+    """0-based position in (date, id) order, as column `position`; rows without a date come last.
+
+    Only the per-day totals go through a window of one task (a row per calendar
+    day, whatever the table's size); bucket offsets are summed per day."""
+    day = F.coalesce(F.to_date(date), F.lit("9999-12-31").cast("date"))
+    b = df.withColumns({"__d": day, "__b": (F.col(order) / F.lit(bucket_rows)).cast("bigint"),
+                        "__t": F.coalesce(F.col(date), F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))})
+    counts = b.groupBy("__d", "__t", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    so_far = Window.unboundedPreceding, -1
+    days = counts.groupBy("__d").agg(F.sum("__n").alias("__n")).select(
+        "__d", F.coalesce(F.sum("__n").over(Window.orderBy("__d").rowsBetween(*so_far)), F.lit(0)).alias("__day_off"))
+    within = Window.partitionBy("__d").orderBy("__t", "__b").rowsBetween(*so_far)
+    offsets = counts.select("__d", "__t", "__b", F.coalesce(F.sum("__n").over(within), F.lit(0)).alias("__in_off")) \
+        .join(days, "__d").select("__t", "__b", (F.col("__day_off") + F.col("__in_off")).alias("__off"))
+    in_bucket = Window.partitionBy("__t", "__b").orderBy(order)
+    return (b.drop("__d").join(offsets, ["__t", "__b"])
             .withColumn("position", (F.col("__off") + F.row_number().over(in_bucket) - 1).cast("bigint"))
-            .drop("__off", "__b"))
+            .drop("__off", "__b", "__t"))
 
 
 def time_series_folds(df: DataFrame, n_splits: int = 5) -> DataFrame:
@@ -68,12 +77,9 @@ def regression_metrics(pred: DataFrame, y: str = "y", p: str = "prediction", by:
     by = by or []
     err = F.col(y) - F.col(p)
     g = pred.groupBy(*by) if by else pred
-    s = g.agg(F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"), F.sum(err * err).alias("__ssr"),
-              F.sum(F.col(y)).alias("__sy"), F.sum(F.col(y) * F.col(y)).alias("__syy"),
-              F.count(F.lit(1)).alias("__n"))
-    sst = F.col("__syy") - F.col("__sy") * F.col("__sy") / F.col("__n")
+    s = g.agg(F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"), F.var_pop(F.col(y)).alias("__var"))
     return s.select(*by, "mae", F.sqrt("mse").alias("rmse"),
-                    F.when(sst > 0, 1 - F.col("__ssr") / sst).alias("r2"))
+                    F.when(F.col("__var") > 0, 1 - F.col("mse") / F.col("__var")).alias("r2"))
 
 
 def cv_scores(fold_pred: DataFrame) -> DataFrame:

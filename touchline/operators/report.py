@@ -83,7 +83,9 @@ def home_away_corners(df: DataFrame) -> DataFrame:
 def class_balance(df: DataFrame, targets: list[str]) -> DataFrame:
     """A7 + A8: positive rate, scale_pos_weight and class count per target flag."""
     one = df.agg(*[x for t in targets for x in (
-        F.avg(F.col(t).cast("double")).alias(f"p_{t}"), F.count_distinct(F.col(t)).alias(f"k_{t}"))])
+        F.avg(F.col(t).cast("double")).alias(f"p_{t}"),
+        # the flags are 0 / 1, so their classes are counted by their extremes
+        F.when(F.min(t) < F.max(t), 2).otherwise(F.least(F.count(t), F.lit(1))).cast("bigint").alias(f"k_{t}"))])
     stack = ", ".join(f"'{t}', p_{t}, k_{t}" for t in targets)
     out = one.selectExpr(f"stack({len(targets)}, {stack}) AS (target, positive_rate, n_classes)")
     p = F.col("positive_rate")

@@ -22,18 +22,10 @@ def _stack(df: DataFrame, keep: list[str], pairs: dict[str, str], names=("featur
 
 
 def f_regression_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """M1: F = r^2 / (1 - r^2) * (n - 2), r the Pearson correlation with the target."""
+    """M1: F = r^2 / (1 - r^2) * (n - 2), r the Pearson correlation with the target (NULL when a side is constant)."""
     y = F.col(target).cast("double")
-    n = F.count(F.lit(1)).cast("double")
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for f in features:
-        x = F.col(f)
-        cov = n * F.sum(x * y) - F.sum(x) * F.sum(y)
-        vx = n * F.sum(x * x) - F.sum(x) * F.sum(x)
-        vy = n * F.sum(y * y) - F.sum(y) * F.sum(y)
-        # Pearson r from plain sums; NULL when a side is constant
-        aggs.append(F.when((vx > 0) & (vy > 0), F.try_divide(cov, F.sqrt(vx * vy))).alias(f"r_{f}"))
-    one = df.agg(*aggs)
+    one = df.agg(F.count(F.lit(1)).alias("__n"), *[
+        F.when((F.var_pop(f) > 0) & (F.var_pop(y) > 0), F.corr(f, y)).alias(f"r_{f}") for f in features])
     long = _stack(one, ["__n"], {f: f"`r_{f}`" for f in features}, ("feature", "r"))
     r2 = F.col("r") * F.col("r")
     return long.select("feature", "r", F.when(r2 < 1, r2 / (1 - r2) * (F.col("__n") - 2)).alias("f_score"))
@@ -42,22 +34,19 @@ def f_regression_scores(df: DataFrame, features: list[str], target: str) -> Data
 def f_classif_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """M2: one-way ANOVA F of each feature across the two classes of `target`."""
     y = F.col(target)
-    aggs = [F.count(F.lit(1)).alias("__n"), F.sum(F.when(y == 1, 1).otherwise(0)).alias("__n1")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(y == 1).alias("n1")]
     for f in features:
-        x = F.col(f)
-        aggs += [F.sum(x).alias(f"s_{f}"), F.sum(x * x).alias(f"q_{f}"),
-                 F.sum(F.when(y == 1, x)).alias(f"s1_{f}"), F.sum(F.when(y == 1, x * x)).alias(f"q1_{f}")]
-    one = df.agg(*aggs)
-    body = ", ".join(f"'{f}', `s_{f}`, `q_{f}`, `s1_{f}`, `q1_{f}`" for f in features)
-    long = one.selectExpr("__n", "__n1", f"stack({len(features)}, {body}) AS (feature, s, q, s1, q1)")
-    n, n1 = F.col("__n").cast("double"), F.col("__n1").cast("double")
-    n0 = n - n1
-    s, q, s1, q1 = F.col("s"), F.col("q"), F.coalesce(F.col("s1"), F.lit(0.0)), F.coalesce(F.col("q1"), F.lit(0.0))
-    s0, q0 = s - s1, q - q1
-    ss_between = F.when(n1 > 0, s1 * s1 / n1).otherwise(0.0) + F.when(n0 > 0, s0 * s0 / n0).otherwise(0.0) - s * s / n
-    ss_within = q - F.when(n1 > 0, s1 * s1 / n1).otherwise(0.0) - F.when(n0 > 0, s0 * s0 / n0).otherwise(0.0)
-    f_score = F.when((ss_within > 0) & (n > 2), (ss_between / 1.0) / (ss_within / (n - 2)))
-    return long.select("feature", f_score.alias("f_score"))
+        one_x, zero_x = F.when(y == 1, F.col(f)), F.when(y != 1, F.col(f))
+        aggs += [F.avg(f).alias(f"m_{f}"), F.avg(one_x).alias(f"m1_{f}"), F.avg(zero_x).alias(f"m0_{f}"),
+                 F.var_pop(one_x).alias(f"v1_{f}"), F.var_pop(zero_x).alias(f"v0_{f}")]
+    body = ", ".join(f"'{f}', `m_{f}`, `m1_{f}`, `m0_{f}`, `v1_{f}`, `v0_{f}`" for f in features)
+    long = df.agg(*aggs).selectExpr("n", "n1", f"stack({len(features)}, {body}) AS (feature, m, m1, m0, v1, v0)")
+    n, n1 = F.col("n"), F.col("n1")
+    none = F.lit(0.0)
+    ss_between = (n1 * F.coalesce((F.col("m1") - F.col("m")) ** 2, none)
+                  + (n - n1) * F.coalesce((F.col("m0") - F.col("m")) ** 2, none))
+    ss_within = n1 * F.coalesce("v1", none) + (n - n1) * F.coalesce("v0", none)
+    return long.select("feature", F.when((ss_within > 0) & (n > 2), ss_between / (ss_within / (n - 2))).alias("f_score"))
 
 
 def decile_cuts(df: DataFrame, features: list[str]) -> DataFrame:

@@ -165,6 +165,18 @@ def available(df: DataFrame, candidates: list[str]) -> list[str]:
     return [c for c in candidates if c in present]
 
 
+def split_keys_v3(spark: SparkSession, sf_dir: str, warmup: int = 30) -> DataFrame:
+    """(match_id, date_gmt) of the rows of `feature_matrix_v3`: they depend on cleaning and the warm-up only."""
+    return C.skip_warmup(clean_v3(raw(spark, sf_dir)).select("match_id", "date_gmt"), warmup)
+
+
+def split_keys_v1(spark: SparkSession, sf_dir: str, warmup: int = 50) -> DataFrame:
+    """(match_id, date_gmt) of the rows of `feature_matrix_v1`; rows without a date are kept, at the end."""
+    body = clean_v1(raw(spark, sf_dir))
+    known = F.col("home_team_corner_count").isNotNull() & F.col("away_team_corner_count").isNotNull()
+    return C.skip_warmup(body.where(known).select("match_id", "date_gmt"), warmup)
+
+
 def feature_matrix_v3(spark: SparkSession, sf_dir: str, warmup: int = 30) -> DataFrame:
     """select_optimized_features: skip the warm-up rows, IQR-winsorise the candidates."""
     def build():

@@ -36,9 +36,9 @@ def _register():
              lambda s, d: round_doubles(_scan(s, d).withColumnRenamed("odds_home", "odds_home_raw").select(*SCAN_COLS)),
              f"WITH {fx}\nSELECT {sql_select(SCAN_COLS, odd)} FROM raw")
     register("load_matches",
-             lambda s, d: round_doubles(_load_first(s, d).withColumnRenamed("odds_home", "odds_home_raw")
-                                        .select(*SCAN_COLS)),
-             f"WITH {fx}\nSELECT {sql_select(SCAN_COLS, odd)} FROM raw WHERE season = (SELECT min(season) FROM raw)")
+             lambda s, d: round_doubles(FS.sink_combined(_scan(s, d), FS.scratch(s, "combined"))
+                                        .withColumnRenamed("odds_home", "odds_home_raw").select(*SCAN_COLS)),
+             f"WITH {fx}\nSELECT {sql_select(SCAN_COLS, odd)} FROM raw")
 
     def audit(s, d):
         files, _, _ = _files(s, d)
@@ -73,10 +73,4 @@ def _register():
              "count(DISTINCT season) AS n_files FROM raw")
 
 
-def _load_first(spark, sf):
-    files, types, _ = _files(spark, sf)
-    first = min(files)[1]
-    return FS.read_season(spark, first, types)
-
-
 _register()

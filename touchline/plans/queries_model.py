@@ -194,16 +194,6 @@ def _register_matrices():
     register("numeric_feature_list", numeric_list, None)
 
 
-def _cov(x: str, y: str) -> str:
-    n = "CAST(count(*) AS DOUBLE)"
-    return f"{n} * sum({x} * CAST({y} AS DOUBLE)) - sum({x}) * sum(CAST({y} AS DOUBLE))"
-
-
-def _vx(x: str) -> str:
-    n = "CAST(count(*) AS DOUBLE)"
-    return f"({n} * sum(CAST({x} AS DOUBLE) * CAST({x} AS DOUBLE)) - sum(CAST({x} AS DOUBLE)) * sum(CAST({x} AS DOUBLE)))"
-
-
 def _register_scores():
     fs1, fs3 = feats_v1(), feats_v3()
     m1 = matrix_v1_ctes()
@@ -211,8 +201,8 @@ def _register_scores():
              sql(m1, " UNION ALL ".join(
                  f"SELECT '{f}' AS feature, {SB.round6('r')} AS r, "
                  f"{SB.round6('CASE WHEN r * r < 1 THEN r * r / (1 - r * r) * (n - 2) END')} AS f_score FROM ("
-                 f"SELECT count(*) AS n, CASE WHEN {_vx(f)} > 0 AND {_vx('total_corners')} > 0 THEN "
-                 f"({_cov(f, 'total_corners')}) / sqrt(({_vx(f)}) * ({_vx('total_corners')})) END AS r FROM mx1)"
+                 f"SELECT count(*) AS n, CASE WHEN var_pop({f}) > 0 AND var_pop(total_corners) > 0 "
+                 f"THEN corr({f}, total_corners) END AS r FROM mx1)"
                  for f in fs1)))
 
     def fclassif(s, d):
@@ -226,19 +216,11 @@ def _register_scores():
     parts = []
     for t in V1_TARGETS:
         for f in fs1:
-            n1 = f"CAST(sum(CASE WHEN {t} = 1 THEN 1 ELSE 0 END) AS DOUBLE)"
-            n = "CAST(count(*) AS DOUBLE)"
-            s_, q_ = f"sum({f})", f"sum({f} * {f})"
-            s1 = f"COALESCE(sum(CASE WHEN {t} = 1 THEN {f} END), 0.0)"
-            q1 = f"COALESCE(sum(CASE WHEN {t} = 1 THEN {f} * {f} END), 0.0)"
-            n0 = f"({n} - {n1})"
-            s0, q0 = f"({s_} - {s1})", f"({q_} - {q1})"
-            t1 = f"(CASE WHEN {n1} > 0 THEN {s1} * {s1} / {n1} ELSE 0.0 END)"
-            t0 = f"(CASE WHEN {n0} > 0 THEN {s0} * {s0} / {n0} ELSE 0.0 END)"
-            ssb = f"({t1} + {t0} - {s_} * {s_} / {n})"
-            ssw = f"({q_} - {t1} - {t0})"
-            fs = f"CASE WHEN {ssw} > 0 AND {n} > 2 THEN ({ssb} / 1.0) / ({ssw} / ({n} - 2)) END"
-            parts.append(f"SELECT '{t}' AS target, '{f}' AS feature, {SB.round6(fs)} AS f_score FROM mx1")
+            grouped = (f"SELECT {t} AS y, count(*) AS k, avg({f}) AS m, var_pop({f}) AS v FROM mx1 GROUP BY {t}")
+            whole = f"(SELECT avg({f}) FROM mx1)"
+            fs = "CASE WHEN sum(k * v) > 0 AND sum(k) > 2 THEN sum(k * (m - g) * (m - g)) / (sum(k * v) / (sum(k) - 2)) END"
+            parts.append(f"SELECT '{t}' AS target, '{f}' AS feature, {SB.round6(fs)} AS f_score "
+                         f"FROM (SELECT *, {whole} AS g FROM ({grouped}))")
     register("f_classif_scores", q(fclassif), sql(m1, " UNION ALL ".join(parts)))
 
     m3 = matrix_v3_ctes()
@@ -300,12 +282,18 @@ fd AS (SELECT pp.match_id, CAST(f.fold AS INTEGER) AS fold,
     CASE WHEN position < n - (5 - f.fold) * (n // 6) THEN 'train'
          WHEN position < n - (5 - f.fold) * (n // 6) + n // 6 THEN 'test' END AS role
   FROM pp, range(5) AS f(fold))"""
-    register("time_series_folds", lambda s, d: M.time_series_folds(P.feature_matrix_v3(s, d)),
+    register("time_series_folds", lambda s, d: M.time_series_folds(P.split_keys_v3(s, d)),
              sql(folds_sql, "SELECT match_id, fold, role FROM fd WHERE role IS NOT NULL"))
-    register("chrono_holdout", lambda s, d: M.chrono_holdout(P.feature_matrix_v3(s, d)),
+    register("chrono_holdout", lambda s, d: M.chrono_holdout(P.split_keys_v3(s, d)),
              sql(f"{m3},\n{pos}", "SELECT match_id, position, CASE WHEN position < floor(CAST(n AS DOUBLE) * 0.85::DOUBLE) THEN 'train' "
                                   "ELSE 'test' END AS role FROM pp"))
 
+    register("chrono_holdout_v1", lambda s, d: M.chrono_holdout(P.split_keys_v1(s, d), 0.80),
+             sql(f"""{matrix_v1_ctes()},
+pp AS (SELECT match_id, row_number() OVER (ORDER BY date_gmt NULLS LAST, match_id) - 1 AS position, count(*) OVER () AS n
+  FROM mx1)""", "SELECT match_id, position, CASE WHEN position < floor(CAST(n AS DOUBLE) * 0.80::DOUBLE) THEN 'train' "
+                 "ELSE 'test' END AS role FROM pp"))
+
     def cv(s, d):
         m = matrix_v3(s, d)
         f = M.time_series_folds(m).where(F.col("role") == "test")

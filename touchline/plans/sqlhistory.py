@@ -37,7 +37,7 @@ SIDE_RAW = {
     "solidity": f"1.0 / (1.0 + avg(ca) {fr(5)})",
     "solidity_tv": f"1.0 / (1.0 + avg(ca) {fr(5)})",
     "attacking_tendency": f"avg(cf) {fr(5)}",
-    "rest_days": f"CAST(LEAST(date_diff('day', lag(date_gmt) OVER ({W}), date_gmt), 30) AS DOUBLE)",
+    "rest_days": f"CAST(LEAST(date_diff('second', lag(date_gmt) OVER ({W}), date_gmt) // 86400, 30) AS DOUBLE)",
 }
 MIN_PRIOR = {
     **{f"{p}_avg_{n}": n for p in ("cf", "ca") for n in (3, 5, 6, 10)},

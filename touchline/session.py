@@ -34,14 +34,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
-    The cluster setting wins; a folder of our own is made only when the
-    session has none (local tests).
+    The cluster setting wins. A folder of our own is made only in a local session
+    without one (tests, the bench), where the driver and the executor are one
+    process; anywhere else a missing setting is an error, since executors
+    could not read what others wrote to their own disks.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to storage that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="touchline-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
