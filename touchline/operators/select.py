@@ -25,7 +25,9 @@ def f_regression_scores(df: DataFrame, features: list[str], target: str) -> Data
     """M1: F = r^2 / (1 - r^2) * (n - 2), r the Pearson correlation with the target (NULL when a side is constant)."""
     y = F.col(target).cast("double")
     one = df.agg(F.count(F.lit(1)).alias("__n"), *[
-        F.when((F.var_pop(f) > 0) & (F.var_pop(y) > 0), F.corr(f, y)).alias(f"r_{f}") for f in features])
+        # not corr(), which fails on a constant side
+        F.try_divide(F.covar_pop(f, y), F.nullif(F.stddev_pop(f) * F.stddev_pop(y), F.lit(0.0))).alias(f"r_{f}")
+        for f in features])
     long = _stack(one, ["__n"], {f: f"`r_{f}`" for f in features}, ("feature", "r"))
     r2 = F.col("r") * F.col("r")
     return long.select("feature", "r", F.when(r2 < 1, r2 / (1 - r2) * (F.col("__n") - 2)).alias("f_score"))
