@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.columns import INF, clip, nonfinite_to_null
+from touchline.functions.columns import INF, nonfinite_to_null
+from touchline.functions.quantiles import exact_quantiles, literal
 
 ESSENTIAL = [
     "home_team_goal_count", "away_team_goal_count", "home_team_name", "away_team_name",
@@ -114,7 +115,7 @@ def median_impute_two_pass(df: DataFrame) -> DataFrame:
 
 def impute_before_encode(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """tv: numeric NULL -> median, category NULL -> 'Unknown'."""
-    out = median_impute(df, numeric, exclude=())
+    out = fill_medians(df, numeric)
     return out.select([F.coalesce(F.col(f), F.lit("Unknown")).alias(f) if f in categorical else F.col(f)
                        for f in out.columns])
 
@@ -237,38 +238,42 @@ def removal_funnel(raw: DataFrame) -> DataFrame:
 def iqr_winsorise(df: DataFrame, columns: list[str], k: float = 2.5) -> DataFrame:
     """Clip to [Q1 - k*IQR, Q3 + k*IQR], then NULL -> median (0 if all NULL).
 
-    One aggregate computes the three exact quantiles of every column; clipping
-    cannot move the median, so one pass is enough.
+    Clipping cannot move the median, so one set of quantiles is enough.
     """
     if not columns:
         return df
-    q = df.agg(*[F.expr(f"percentile(`{c}`, array(0.25, 0.5, 0.75)) AS `{c}`") for c in columns])
-    stats = q.selectExpr(*[x for c in columns for x in (
-        f"`{c}`[0] - {k} * (`{c}`[2] - `{c}`[0]) AS `__lo_{c}`",
-        f"`{c}`[2] + {k} * (`{c}`[2] - `{c}`[0]) AS `__hi_{c}`",
-        f"`{c}`[1] AS `__md_{c}`")])
-    joined = df.crossJoin(F.broadcast(stats))
+    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     out = []
     for f in df.columns:
-        if f in columns:
-            c = f"`{f}`"
-            clipped = f"CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({c}, `__lo_{f}`), `__hi_{f}`) END"
-            out.append(f"coalesce({clipped}, `__md_{f}`, 0.0) AS {c}")
-        else:
+        if f not in columns:
             out.append(f"`{f}`")
-    return joined.selectExpr(*out)
+        elif q[f][0] is None:
+            out.append(f"0.0D AS `{f}`")
+        else:
+            q1, median, q3 = q[f]
+            lo, hi = literal(q1 - k * (q3 - q1)), literal(q3 + k * (q3 - q1))
+            clipped = f"CASE WHEN `{f}` IS NOT NULL THEN least(greatest(`{f}`, {lo}), {hi}) END"
+            out.append(f"coalesce({clipped}, {literal(median)}) AS `{f}`")
+    return df.selectExpr(*out)
+
+
+def fill_medians(df: DataFrame, columns: list[str], fallback: float = 0.0) -> DataFrame:
+    """NULL -> the column's exact median (`fallback` if it has no value)."""
+    q = exact_quantiles(df, columns, [0.5])
+    return df.selectExpr(*[
+        f"coalesce(CAST(`{f}` AS DOUBLE), {literal(fallback if q[f][0] is None else q[f][0])}) AS `{f}`"
+        if f in q else f"`{f}`" for f in df.columns])
 
 
 def pct_winsorise(df: DataFrame, columns: list[str]) -> DataFrame:
     """v1: NULL -> median (0 if none), then clip to [P1, P99] of the filled column."""
     if not columns:
         return df
-    filled = fill_from_row(inf_to_null(df, columns), column_medians(inf_to_null(df, columns), columns), columns)
-    q = filled.agg(*[F.percentile(F.col(c), F.array(F.lit(0.01), F.lit(0.99))).alias(c) for c in columns])
-    stats = q.select(*[x for c in columns for x in (F.col(c)[0].alias(f"__lo_{c}"), F.col(c)[1].alias(f"__hi_{c}"))])
-    joined = filled.crossJoin(F.broadcast(stats))
-    return joined.select([clip(F.col(f), F.col(f"__lo_{f}"), F.col(f"__hi_{f}")).alias(f) if f in columns
-                          else F.col(f) for f in filled.columns])
+    filled = fill_medians(inf_to_null(df, columns), columns)
+    q = exact_quantiles(filled, columns, [0.01, 0.99])
+    return filled.selectExpr(*[
+        f"least(greatest(`{f}`, {literal(q[f][0])}), {literal(q[f][1])}) AS `{f}`"
+        if f in q and q[f][0] is not None else f"`{f}`" for f in filled.columns])
 
 
 def fill_zero(df: DataFrame, columns: list[str]) -> DataFrame:

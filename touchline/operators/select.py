@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions.quantiles import exact_quantiles
+
 DECILES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
 
@@ -51,12 +53,6 @@ def f_classif_scores(df: DataFrame, features: list[str], target: str) -> DataFra
     return long.select("feature", F.when((ss_within > 0) & (n > 2), ss_between / (ss_within / (n - 2))).alias("f_score"))
 
 
-def decile_cuts(df: DataFrame, features: list[str]) -> DataFrame:
-    """One row: the exact deciles of every feature (array per feature)."""
-    qs = F.array(*[F.lit(p) for p in DECILES])
-    return df.agg(*[F.percentile(F.col(f), qs).alias(f"cut_{f}") for f in features])
-
-
 R9 = "floor({x} * 1000000000.0 + 0.5) / 1000000000.0"
 
 
@@ -70,10 +66,11 @@ def binned_long(df: DataFrame, features: list[str], keep: list[str]) -> DataFram
     same bin whatever the engine's last bit.
     """
     n = len(DECILES)
-    cuts = decile_cuts(df, features)
-    cut_rows = cuts.selectExpr(
-        f"stack({len(features)}, {', '.join(f'{chr(39)}{f}{chr(39)}, `cut_{f}`' for f in features)}) AS (feature, c)")
-    cut_cols = cut_rows.selectExpr("feature", *[f"{R9.format(x=f'c[{k}]')} AS c{k}" for k in range(n)])
+    cuts = exact_quantiles(df, features, DECILES)
+    # one row per feature
+    cut_cols = df.sparkSession.createDataFrame(
+        [(f, *cuts[f]) for f in features], "feature STRING, " + ", ".join(f"c{k} DOUBLE" for k in range(n)))
+    cut_cols = cut_cols.selectExpr("feature", *[f"{R9.format(x=f'c{k}')} AS c{k}" for k in range(n)])
     long = _stack(df, keep, {f: f"CAST(`{f}` AS DOUBLE)" for f in features}, ("feature", "value"))
     x = R9.format(x="value")
     terms = " + ".join(f"CASE WHEN c{k} < {x} THEN 1 ELSE 0 END" for k in range(n))
