@@ -183,19 +183,20 @@ def slots(rows: DataFrame, buckets: int = 256) -> DataFrame:
         "slot", F.col("_first") + F.col("_k") - 1).drop("_bucket", "_k", "_first")
 
 
-def by_bytes(docs: DataFrame, old: int = 8, new: int = 8, block_bytes: int = 128 << 20,
-             least_blocks: int = 32) -> DataFrame:
+def by_bytes(docs: DataFrame, old: int = 8, new: int = 8, block_bytes: int = 64 << 20,
+             least_blocks: int = 64) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, block) per row of `docs(doc_id, text, source, ...)`.
 
-    Old shards: by the hash of `source` (a null source is one of its own), cut into blocks of about
-    `block_bytes`, at least `least_blocks` a shard. New shards: equal bytes, to about one document.
+    Old shards: by the hash of `source` (a null source is one of its own), each cut into as many
+    blocks: at least `least_blocks`, and so many that the largest shard's are of about `block_bytes`. New shards: equal bytes, to about one document.
     The law is `bytes`; rows of equal text are not kept together. A null text has size 1 and the
     crc32 of an empty one. Repeated rows stay repeated; an empty table gives none."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(size_of(F.col("text")))).first()[0] or 0
-    per_shard = max(least_blocks, -(-total // (old * block_bytes)))
-    path = scratch(spark, "layout")
     source = F.pmod(F.xxhash64(F.col("source").cast("string")), F.lit(old))
+    sizes = docs.groupBy(source.alias("shard")).agg(F.sum(size_of(F.col("text"))).alias("bytes")).collect()
+    total = sum(r["bytes"] for r in sizes)
+    per_shard = max(least_blocks, -(-max((r["bytes"] for r in sizes), default=0) // block_bytes))
+    path = scratch(spark, "layout")
     write_layout(docs.select("doc_id", "text", "source"), source, per_shard, path)
     if not total:
         placed = docs.select("doc_id", "text", F.lit(0).alias("shard"), F.lit(0).alias("block"))
