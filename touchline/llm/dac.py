@@ -14,6 +14,7 @@ u64[ceil(n / 512) * 8], directory u64[ceil(n / 512) + 1]."""
 from __future__ import annotations
 
 import io
+import os
 import struct
 import uuid
 import zlib
@@ -142,45 +143,53 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+class Library:
+    """Ids by the tokenizers library, each distinct unit (see `bpe.units`) encoded once while it is remembered."""
+
+    def __init__(self, path: str, memo: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.memo = bpe.Memo(memo)
+        # one character of a byte-level entry stands for one byte; an added token is its own text
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        size = max(self.tokenizer.get_vocab().values()) + 1
+        self.bytes_of = np.array([len(added[i].encode()) if i in added else len(self.tokenizer.id_to_token(i) or "")
+                                  for i in range(size)])
+
+    def _spaced(self, units: list[str], run: int = 1000) -> list[bytes]:
+        """Ids of units that follow a space or begin with a line feed. Runs of units are handed over as one text
+        (nothing is merged over their borders), and its ids are cut where the bytes of a unit end."""
+        out: list[bytes] = []
+        whole = [u if u[:1] == "\n" else " " + u for u in units]
+        runs = [whole[k:k + run] for k in range(0, len(whole), run)]
+        texts = ["".join(r) for r in runs]
+        for r, text, e in zip(runs, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum(self.bytes_of[ids])
+            wanted = np.cumsum([len(u.encode()) for u in r])
+            cut = np.searchsorted(ends, wanted) + 1
+            if not np.array_equal(ends[cut - 1], wanted):
+                raise ValueError("the vocabulary's entries do not keep the bytes of the text")
+            data = ids.tobytes()
+            at = [0, *(4 * cut).tolist()]
+            out += [data[a:z] for a, z in zip(at, at[1:])]
+        return out
+
+    def _others(self, units: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        return bpe.encode_texts(texts, self.memo, self._spaced, self._others)
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
-
-
-def _encode_batch(path: str, texts: list[str], memo_size: int = 300_000) -> list[bytes]:
-    """Ids of whole texts by the tokenizers library, as little-endian u32 bytes.
-
-    A text is handed over in the units of `bpe.units`, between which nothing is
-    merged; units met before are remembered in this worker."""
-    tokenizer, memo = _tokenizer(path)
-    if len(memo) > memo_size:
-        memo.clear()
-    split, new = [], {}
-    for t in texts:
-        parts, plain = bpe.units(t)
-        if plain:
-            parts[1:] = [" " + p for p in parts[1:]]
-        split.append(parts)
-        for p in parts:
-            if p not in memo and p not in new:
-                new[p] = None
-    if new:
-        for k, e in zip(new, tokenizer.encode_batch_fast(list(new), add_special_tokens=False)):
-            new[k] = np.array(e.ids, "<u4").tobytes()
-    get = memo.get
-    out = []
-    for parts in split:
-        ids = list(map(get, parts))
-        if None in ids:
-            ids = [new[p] if x is None else x for x, p in zip(ids, parts)]
-        out.append(b"".join(ids))
-    memo.update((k, v) for k, v in new.items() if len(k) <= 64)
-    return out
+def library(path: str) -> Library:
+    """One tokenizer for each Python worker."""
+    return Library(path)
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = 0, width: int = 8,
@@ -220,7 +229,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id
 
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            for key, x in zip(keys, _encode_batch(tokenizer, b.column(2).to_pylist())):
+            for key, x in zip(keys, library(tokenizer).encode_all(b.column(2).to_pylist())):
                 first = first or key
                 doc_ids.append(key[0])
                 ids.append(x + end)
@@ -254,8 +263,8 @@ def read_documents(files: DataFrame, folder: str) -> DataFrame:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with fs.open_input_file(path) as f:
                     r = Reader(f.read())
-                sums = [zlib.crc32(r.span(int(a), int(z)).astype("<u4").tobytes())
-                        for a, z in zip(r.first[:-1], r.first[1:])]
+                ids = memoryview(r.span(0, r.n_tokens).astype("<u4").tobytes())  # one file is bounded
+                sums = [zlib.crc32(ids[4 * a:4 * z]) for a, z in zip(r.first[:-1].tolist(), r.first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(r.doc_ids, pa.int64()), pa.array(r.first[:-1] + base), pa.array(np.diff(r.first)),
                      pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -28,7 +28,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec(path, pattern)
         for b in batches:
-            found = [codec.encode(t) if t else b"" for t in b.column(1).to_pylist()]
+            found = codec.encode_all([t or "" for t in b.column(1).to_pylist()])
             ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
             ids = pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), ids)],
@@ -58,8 +58,7 @@ def round_trip_digests(docs: DataFrame, path: str = RANKS, pattern: str = PATTER
         codec = bpe.codec(path, pattern)
         for b in batches:
             counts, of_ids, of_bytes = [], [], []
-            for t in b.column(1).to_pylist():
-                ids = codec.encode(t) if t else b""
+            for ids in codec.encode_all([t or "" for t in b.column(1).to_pylist()]):
                 counts.append(len(ids) // 4)
                 of_ids.append(hashlib.sha256(ids).hexdigest())
                 of_bytes.append(hashlib.sha256(codec.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
@@ -83,7 +82,7 @@ def with_ids(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> Data
         codec = bpe.codec(path, pattern)
         for b in batches:
             texts = b.column(1).to_pylist()
-            found = [codec.encode(t) if t else b"" for t in texts]
+            found = codec.encode_all([t or "" for t in texts])
             back = [t if t is None else codec.decode(np.frombuffer(x, "<u4").tolist()).decode()
                     for t, x in zip(texts, found)]
             ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
