@@ -29,6 +29,24 @@ FORM_DEFAULTS = {
 DEFAULT_EXPECTED_TOTAL = sum(FORM_DEFAULTS[c] for c in (
     "home_corners_avg_6", "away_corners_avg_6", "home_corners_against_avg_6", "away_corners_against_avg_6")) / 2
 
+# Defaults of the tuned variant's request (numeric, categorical); other numeric fields default to 0.
+TV_NUMERIC_DEFAULTS = {
+    "home_ppg": 1.2, "away_ppg": 1.1, "home_xg": 1.4, "away_xg": 1.3, "home_odds": 2.0, "draw_odds": 3.5,
+    "away_odds": 3.0, "avg_corners_historical": 10.0, "btts_pct": 0.55, "over25_pct": 0.60,
+}
+TV_CATEGORY_DEFAULTS = {"season_period": "mid_season", "home_team_name": "Unknown", "away_team_name": "Unknown"}
+
+
+def request_features_tv(requests: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """P1 (tuned): a field that the request lacks takes its default; one that it has but leaves empty, 0 or 'Unknown'."""
+    has = set(requests.columns)
+    return requests.select(
+        "match_id",
+        *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) if f in has
+          else F.lit(TV_NUMERIC_DEFAULTS.get(f, 0.0)).alias(f) for f in numeric],
+        *[F.coalesce(F.col(c), F.lit("Unknown")).alias(c) if c in has
+          else F.lit(TV_CATEGORY_DEFAULTS.get(c, "Unknown")).alias(c) for c in categorical])
+
 
 def line_scores(features: DataFrame, lines=tuple(CORNER_LINES)) -> DataFrame:
     """Model-free member probabilities per (match, line), FIXTURES.md §4."""

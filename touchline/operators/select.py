@@ -136,23 +136,45 @@ def recent_feature_subset(selected: DataFrame, min_count: int = 10) -> DataFrame
     return hits.select("target", "feature", (F.count(F.lit(1)).over(w) > min_count).cast("int").alias("used"))
 
 
-def standard_scale(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    """M5: (x - mean) / population std; a zero std divides by 1."""
-    stats = df.agg(*[x for f in features for x in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))])
+def fit_scale(train: DataFrame, features: list[str]) -> DataFrame:
+    """One row of means and population deviations (a zero deviation counts as 1)."""
+    return train.agg(*[x for f in features for x in (
+        F.avg(f).alias(f"m_{f}"), F.coalesce(F.nullif(F.stddev_pop(f), F.lit(0.0)), F.lit(1.0)).alias(f"s_{f}"))])
+
+
+def apply_scale(df: DataFrame, stats: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """(x - mean) / deviation with the fitted values; `stats` is one row, so the broadcast is of fixed size."""
     j = df.crossJoin(F.broadcast(stats))
-    return j.select(*keep, *[((F.col(f) - F.col(f"m_{f}")) /
-                              F.when(F.col(f"s_{f}") == 0, F.lit(1.0)).otherwise(F.col(f"s_{f}"))).alias(f)
-                             for f in features])
+    return j.select(*keep, *[((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")).alias(f) for f in features])
+
+
+def standard_scale(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """M5: (x - mean) / population std; a zero std divides by 1. Fitted on the frame itself."""
+    return apply_scale(df, fit_scale(df, features), features, keep)
+
+
+def _category_rows(df: DataFrame, categorical: list[str], keep: list[str]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("category")) for c in categorical])
+    return df.select(*keep, F.inline(pairs))
+
+
+def fit_one_hot(train: DataFrame, categorical: list[str]) -> DataFrame:
+    """(column_name, category) of the indicators: the categories of the training rows, the alphabetically first dropped."""
+    seen = _category_rows(train, categorical, []).distinct()
+    first = seen.groupBy("column_name").agg(F.min("category").alias("first"))
+    return seen.join(first, "column_name").where(F.col("category") != F.col("first")).drop("first")
+
+
+def apply_one_hot(df: DataFrame, fitted: DataFrame, categorical: list[str], key: str = "match_id") -> DataFrame:
+    """(key, feature) of the indicators that are 1; a category not seen in training has no row."""
+    rows = _category_rows(df, categorical, [key]).join(fitted, ["column_name", "category"], "left_semi")
+    return rows.select(key, F.concat_ws("_", "column_name", "category").alias("feature"))
 
 
 def one_hot(df: DataFrame, categorical: list[str], key: str = "match_id") -> DataFrame:
     """M6: one indicator per category, the alphabetically first dropped; long
-    form (key, feature) for the indicators that are 1. Unknown categories at
-    scoring time get no row (all zeros)."""
-    firsts = df.agg(*[F.min(c).alias(f"first_{c}") for c in categorical])
-    j = df.crossJoin(F.broadcast(firsts))
-    parts = [F.when(F.col(c) != F.col(f"first_{c}"), F.concat(F.lit(f"{c}_"), F.col(c))) for c in categorical]
-    return j.select(key, F.explode(F.array(*parts)).alias("feature")).where(F.col("feature").isNotNull())
+    form (key, feature) for the indicators that are 1. Fitted on the frame itself."""
+    return apply_one_hot(df, fit_one_hot(df, categorical), categorical, key)
 
 
 # Columns the tuned variant drops from its numeric list.

@@ -51,6 +51,8 @@ TV_NUMERIC = [
     "away_low_corner_rate_8", "away_attacking_tendency", "away_defensive_solidity", "away_rest_days",
     "h2h_avg_corners", "expected_corners_base",
 ]
+# The reference's own list (M7, not strict), with the post-match columns.
+TV_NUMERIC_ALL = [*TV_NUMERIC[:15], *SE.POST_MATCH[4:], *TV_NUMERIC[15:35], *SE.POST_MATCH[:4], *TV_NUMERIC[35:]]
 TV_CATEGORICAL = ["season_period", "home_team_name", "away_team_name"]
 
 
@@ -186,12 +188,65 @@ def _register_matrices():
                  " UNION ALL ".join(f"SELECT match_id, '{c}_' || {c} AS feature FROM mtv, firsts WHERE {c} <> f_{c}"
                                     for c in TV_CATEGORICAL)))
 
-    def numeric_list(s, d):
-        h = C.skip_warmup(P.history_tv(s, d), 50)
-        names = SE.numeric_feature_list(h, LINES)
-        return s.createDataFrame([(i, n) for i, n in enumerate(names)], "position INT, feature STRING")
-
-    register("numeric_feature_list", numeric_list, None)
+    ptv = matrix_tv_ctes() + """,
+ranked AS (SELECT *, row_number() OVER (ORDER BY date_gmt, match_id) - 1 AS position, count(*) OVER () AS n FROM mtv),
+tr AS (SELECT * FROM ranked WHERE position < floor(CAST(n AS DOUBLE) * 0.80::DOUBLE)),
+te AS (SELECT * FROM ranked WHERE NOT position < floor(CAST(n AS DOUBLE) * 0.80::DOUBLE))"""
+
+    def split_tv(s, d):
+        m = P.shared_stage(s, ("matrix_tv", d), lambda: matrix_tv(s, d))
+        role = M.chrono_holdout(m.select("match_id", "date_gmt"), 0.80).select("match_id", "role")
+        mm = m.join(role, "match_id")
+        return mm.where(F.col("role") == "train"), mm.where(F.col("role") == "test")
+
+    def scaled_test(s, d):
+        tr, te = split_tv(s, d)
+        return SE.apply_scale(te, SE.fit_scale(tr, TV_NUMERIC), TV_NUMERIC, ["match_id"])
+
+    def encoded_test(s, d):
+        tr, te = split_tv(s, d)
+        return SE.apply_one_hot(te, SE.fit_one_hot(tr, TV_CATEGORICAL), TV_CATEGORICAL)
+
+    register("standard_scale_transform", q(scaled_test), sql(ptv + ",\nst AS (SELECT " + ", ".join(
+        f"avg({f}) AS a_{f}, stddev_pop({f}) AS s_{f}" for f in TV_NUMERIC) + " FROM tr)",
+        "SELECT match_id, " + sql_select(TV_NUMERIC, {
+            f: f"({f} - a_{f}) / (CASE WHEN s_{f} = 0 THEN 1.0 ELSE s_{f} END)" for f in TV_NUMERIC}) + " FROM te, st"))
+    register("one_hot_transform", encoded_test, sql(ptv, " UNION ALL ".join(
+        f"SELECT match_id, '{c}_' || {c} AS feature FROM te WHERE {c} IN (SELECT {c} FROM tr) "
+        f"AND {c} <> (SELECT min({c}) FROM tr)" for c in TV_CATEGORICAL)))
+
+    given = ["ppg_difference", "month", "home_corners_avg_6", "season_period", "away_team_name"]
+    asked = ["home_ppg", "away_odds", "over25_pct", "ppg_difference", "month", "home_corners_avg_6", "away_rest_days"]
+
+    def requests_tv(s, d):
+        h = P.history_tv(s, d).select("match_id", *given)
+        return S.request_features_tv(h, asked, TV_CATEGORICAL)
+
+    filled = {"home_ppg": "1.2", "away_odds": "3.0", "over25_pct": "0.60", "away_rest_days": "0.0",
+              **{f: f"COALESCE(CAST({f} AS DOUBLE), 0.0)" for f in asked if f in given}}
+    register("request_features_tv", q(requests_tv), sql(
+        f"{SB.features_tv_ctes()},\n{SH.tv_history_ctes('ftv2')}",
+        f"SELECT match_id, {sql_select(asked, filled)}, COALESCE(season_period, 'Unknown') AS season_period, "
+        "'Unknown' AS home_team_name, COALESCE(away_team_name, 'Unknown') AS away_team_name FROM htv"))
+
+    def numeric_list(strict):
+        def run(s, d):
+            h = C.skip_warmup(P.history_tv(s, d), 50)
+            names = SE.numeric_feature_list(h, LINES, strict)
+            one = h.agg(*[F.count(f).alias(f) for f in names])
+            pairs = ", ".join(f"{i}, '{f}', `{f}`" for i, f in enumerate(names))
+            return one.selectExpr(f"stack({len(names)}, {pairs}) AS (position, feature, n_values)")
+        return run
+
+    tv1 = f"""{SB.features_tv_ctes()},
+{SH.tv_history_ctes('ftv2')},
+tw1 AS (SELECT * FROM htv QUALIFY row_number() OVER (ORDER BY date_gmt, match_id) > 50)"""
+    for key, strict, names in (("numeric_feature_list", True, TV_NUMERIC),
+                               ("numeric_feature_list_all", False, TV_NUMERIC_ALL)):
+        register(key, numeric_list(strict), sql(tv1, " UNION ALL ".join(
+            f"SELECT CAST({i} AS INTEGER) AS position, '{f}' AS feature, count({f}) AS n_values FROM tw1"
+            for i, f in enumerate(names))))
+    NOT_ROUNDED.update({"position", "n_values"})
 
 
 def _register_scores():
@@ -379,31 +434,56 @@ def _train_test(spark, sf):
     return m, mm.where(F.col("role") == "train"), mm.where(F.col("role") == "test")
 
 
+# Size of the fits of the registered queries, in place of the presets' trees and depths; both are in their results.
+TREES, DEPTH = 10, 4
+
+
 def train_total_query(spark, sf):
-    m, tr, te = _train_test(spark, sf)
-    feats = _selected(spark, sf, m, "total_corners")
-    model = M.train_total(tr, feats, max_iter=10, max_depth=4)
-    return model.transform(M.assemble(te, feats)).select("match_id", "total_corners", "prediction")
+    def build():
+        m, tr, te = _train_test(spark, sf)
+        feats = _selected(spark, sf, m, "total_corners")
+        p = M.preset("total_corners", TREES, DEPTH)
+        model = M.train_total(tr, feats, p)
+        mean = tr.agg(F.avg("total_corners").alias("train_mean"))
+        return model.transform(M.assemble(te, feats)).crossJoin(F.broadcast(mean)).select(
+            "match_id", "total_corners", "prediction", "train_mean", F.lit(p["trees"]).alias("trees"),
+            F.lit(p["max_depth"]).alias("max_depth"))
+
+    return P.shared_stage(spark, ("train_total", sf), build)
 
 
 def train_lines_query(spark, sf):
-    m, tr, te = _train_test(spark, sf)
-    out = None
-    for t in STANDARD:
-        feats = _selected(spark, sf, m, t)
-        model = M.train_line(tr, feats, t, max_iter=10, max_depth=4)
-        part = M.prob_over(model, te, feats, ["match_id"]).select("match_id", F.lit(t).alias("target"), "p")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Single classifiers for the lines that have no ensemble."""
+    def build():
+        m, tr, te = _train_test(spark, sf)
+        out = None
+        for t in STANDARD:
+            feats = _selected(spark, sf, m, t)
+            p = M.preset(t, TREES, DEPTH)
+            model = M.train_line(tr, feats, t, p)
+            part = M.prob_over(model, te, feats, ["match_id", t]).select(
+                "match_id", F.lit(t).alias("target"), "p", F.col(t).alias("y"), F.lit(p["trees"]).alias("trees"),
+                F.lit(p["max_depth"]).alias("max_depth"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    return P.shared_stage(spark, ("train_lines", sf), build)
 
 
 # The three hard-line ensemble members (name, parameter changes).
-MEMBERS = [("xgb_optimized", {}), ("xgb_conservative", {"step": 0.04}), ("recent_focus", {"max_depth": 5, "step": 0.06})]
+MEMBERS = [("xgb_optimized", {}), ("xgb_conservative", {"step": 0.04}), ("recent_focus", {"step": 0.06})]
+
 
+def _ensemble(spark, sf, targets, trees: int = 5, weight_folds=(4,)):
+    """Three members per hard line, weighted by accuracy on time-series folds of the training rows.
 
-def _ensemble(spark, sf, targets, max_iter=5):
-    """Three members per hard line; weights = member holdout accuracy / sum."""
+    `weight_folds`: which of the five folds of M9 give the weights (the reference takes all five; the
+    registered queries take the last and largest one). The holdout is never used for them."""
     m, tr, te = _train_test(spark, sf)
+    folds = M.time_series_folds(tr.select("match_id", "date_gmt"))
+    by_fold = [(tr.join(f.where(F.col("role") == "train"), "match_id", "left_semi"),
+                tr.join(f.where(F.col("role") == "test"), "match_id", "left_semi"))
+               for f in (folds.where(F.col("fold") == k) for k in weight_folds)]
     probs, imps = None, None
     for t in targets:
         feats = _selected(spark, sf, m, t)
@@ -413,27 +493,73 @@ def _ensemble(spark, sf, targets, max_iter=5):
             if name == "recent_focus" and len(recent) <= 10:
                 continue
             fs = recent if name == "recent_focus" else feats
-            kw = {"max_iter": max_iter, "max_depth": change.get("max_depth", 4), "step": change.get("step", 0.1)}
-            model = M.train_line(tr, fs, t, **kw)
+            params = M.preset(t, trees, DEPTH, **change)
+            accs = []
+            for ftr, fte in by_fold:
+                fp = M.prob_over(M.train_line(ftr, fs, t, params), fte, fs, [t])
+                accs.append(fp.agg(F.avg(((F.col("p") > 0.5).cast("int") == F.col(t)).cast("double"))).first()[0] or 0.0)
+            model = M.train_line(tr, fs, t, params)
             p = M.prob_over(model, te, fs, ["match_id", t])
-            acc = p.agg(F.avg(((F.col("p") > 0.5).cast("int") == F.col(t)).cast("double"))).first()[0] or 0.0
-            members.append((name, p.select("match_id", F.col("p").alias(name)), float(acc)))
+            members.append((name, p.select("match_id", F.col("p").alias(name)), sum(accs) / len(accs)))
             imp = M.importances(model, fs, spark, name).withColumn("target", F.lit(t))
             imps = imp if imps is None else imps.unionByName(imp)
         total = sum(a for _, _, a in members) or 1.0
-        joined = members[0][1]
-        for _, dfm, _ in members[1:]:
+        joined = te.select("match_id", F.col(t).alias("y"))
+        for _, dfm, _ in members:
             joined = joined.join(dfm, "match_id")
         p = sum(F.col(n) * (a / total) for n, _, a in members)
-        part = joined.select("match_id", F.lit(t).alias("target"), p.alias("p"))
+        part = joined.select("match_id", F.lit(t).alias("target"), p.alias("p"), "y",
+                             F.lit(trees).alias("trees"), F.lit(DEPTH).alias("max_depth"))
         probs = part if probs is None else probs.unionByName(part)
     return probs, imps
 
 
+def train_ensemble_query(spark, sf):
+    return P.shared_stage(spark, ("train_ensemble", sf), lambda: _ensemble(spark, sf, HARD)[0])
+
+
+def _importance_fixture(spark, sf):
+    """Member importances that a query can compute: squared correlations of v1's features with its three flags."""
+    m, out = matrix_v1(spark, sf), None
+    for t in V1_TARGETS:
+        part = SE.f_regression_scores(m, feats_v1(), t).select(
+            F.lit(t).alias("model"), "feature", F.coalesce(F.col("r") * F.col("r"), F.lit(0.0)).alias("importance"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _register_training():
     register("train_total", q(train_total_query), None)
     register("train_lines", q(train_lines_query), None)
-    register("train_ensemble", q(lambda s, d: _ensemble(s, d, HARD)[0]), None)
+    register("train_ensemble", q(train_ensemble_query), None)
+
+    test_rows = f"""{matrix_v3_ctes()},
+pp AS (SELECT match_id, row_number() OVER (ORDER BY date_gmt, match_id) - 1 AS position, count(*) OVER () AS n FROM m3),
+te AS (SELECT m3.* FROM m3 JOIN pp USING (match_id) WHERE NOT position < floor(CAST(n AS DOUBLE) * 0.85::DOUBLE))"""
+
+    def total_summary(s, d):
+        err, base = F.col("prediction") - F.col("total_corners"), F.col("train_mean") - F.col("total_corners")
+        return train_total_query(s, d).agg(
+            F.count(F.lit(1)).alias("n_test"), F.sum("total_corners").alias("sum_label"),
+            F.min((~F.isnan("prediction") & F.col("prediction").isNotNull()).cast("int")).alias("all_finite"),
+            # a small fit on noise may lose a little to the mean
+            (F.avg(err * err) <= 1.15 * F.avg(base * base)).cast("int").alias("near_mean_error"))
+
+    register("train_total_summary", total_summary, sql(test_rows, """
+SELECT count(*) AS n_test, sum(total_corners) AS sum_label, CAST(1 AS INTEGER) AS all_finite,
+  CAST(1 AS INTEGER) AS near_mean_error FROM te"""))
+
+    def probability_summary(query):
+        return lambda s, d: query(s, d).groupBy("target").agg(
+            F.count(F.lit(1)).alias("n_test"), F.sum(F.col("y").cast("long")).alias("n_over"),
+            F.min(F.col("p").between(0, 1).cast("int")).alias("all_valid"))
+
+    for key, query, targets in (("train_lines_summary", train_lines_query, STANDARD),
+                                ("train_ensemble_summary", train_ensemble_query, HARD)):
+        register(key, probability_summary(query), sql(test_rows, " UNION ALL ".join(
+            f"SELECT '{t}' AS target, count(*) AS n_test, CAST(sum({t}) AS BIGINT) AS n_over, "
+            f"CAST(1 AS INTEGER) AS all_valid FROM te" for t in targets)))
+    NOT_ROUNDED.update({"n_test", "n_over", "all_valid", "all_finite", "near_mean_error"})
 
     def ens_importance(s, d):
         _, imps = _ensemble(s, d, HARD)
@@ -448,17 +574,38 @@ def _register_training():
     def top_importance(s, d):
         m, tr, _ = _train_test(s, d)
         feats = _selected(s, d, m, "total_corners")
-        model = M.train_total(tr, feats, max_iter=10, max_depth=4)
+        model = M.train_total(tr, feats, M.preset("total_corners", TREES, DEPTH))
         return M.top_n_importance(M.importances(model, feats, s, "total_corners"), 15)
 
     register("top_n_importance", q(top_importance), None)
 
+    fixture = matrix_v1_ctes() + ",\nimps AS (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS model, '{f}' AS feature, CASE WHEN var_pop({f}) > 0 AND var_pop({t}) > 0 "
+        f"THEN corr({f}, {t}) * corr({f}, {t}) ELSE 0.0 END AS importance FROM mx1"
+        for t in V1_TARGETS for f in feats_v1()) + ")"
+    for n in (15, 20, 40):
+        register(f"importance_top_{n}", q(lambda s, d, n=n: M.top_n_importance(_importance_fixture(s, d), n)
+                                          .select("model", "rank", "importance")), sql(fixture, f"""
+SELECT model, rank, {SB.round6('importance')} AS importance FROM (SELECT *, row_number() OVER (
+  PARTITION BY model ORDER BY importance DESC, feature) AS rank FROM imps) WHERE rank <= {n}"""))
+    register("importance_ensemble", q(lambda s, d: M.ensemble_importance(_importance_fixture(s, d))), sql(fixture, f"""
+SELECT feature, {SB.round6('sum(importance) / (SELECT sum(importance) FROM imps)')} AS importance
+FROM imps GROUP BY feature"""))
+
     def search(s, d):
-        m = P.feature_matrix_v3(s, d)
-        feats = _selected(s, d, m, line_name(10.5))
-        return M.param_search(m, feats, line_name(10.5))
+        def build():
+            m = P.feature_matrix_v3(s, d)
+            feats = _selected(s, d, m, line_name(10.5))
+            return M.param_search(m, feats, line_name(10.5), n_trials=3, max_trees=5, max_depth=DEPTH)
+        return P.shared_stage(s, ("param_search", d), build)
 
     register("param_search", q(search), None)
+    register("param_search_summary", lambda s, d: search(s, d).agg(
+        F.count(F.lit(1)).alias("n_trials"), F.sum("best").alias("n_best"),
+        F.min(F.col("mean_score").between(0, 1).cast("int")).alias("all_valid")),
+             sql(test_rows, "SELECT CAST(3 AS BIGINT) AS n_trials, CAST(1 AS BIGINT) AS n_best, "
+                            "CAST(1 AS INTEGER) AS all_valid FROM te HAVING count(*) > 0"))
+    NOT_ROUNDED.update({"n_trials", "n_best", "trees", "best"})
 
 
 _register_matrices()
