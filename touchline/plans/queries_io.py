@@ -20,12 +20,12 @@ def _files(spark, sf):
     raw = P.raw(spark, sf)
     types = {f.name: f.dataType.simpleString() for f in raw.schema.fields}
     root = FS.scratch(spark, "season_files")
-    return FS.write_season_files(raw, root), types, len(raw.columns)
+    return FS.write_season_files(raw, root), types
 
 
 def _scan(spark, sf):
-    files, types, _ = _files(spark, sf)
-    return FS.scan_season_files(spark, files, types)
+    root, types = _files(spark, sf)
+    return FS.scan_season_files(spark, root, types)
 
 
 def _register():
@@ -41,8 +41,7 @@ def _register():
              f"WITH {fx}\nSELECT {sql_select(SCAN_COLS, odd)} FROM raw")
 
     def audit(s, d):
-        files, _, _ = _files(s, d)
-        return FS.schema_audit(s, files)
+        return FS.schema_audit(FS.file_headers(s, _files(s, d)[0]))
 
     from touchline.sources.testdata import MATCH_COLUMNS
     parts = []
@@ -66,8 +65,8 @@ def _register():
     register("sink_combined", sink, f"WITH {fx}\nSELECT season, count(*) AS n FROM raw GROUP BY season")
 
     def shape(s, d):
-        files, types, n_cols = _files(s, d)
-        return FS.shape_summary(FS.scan_season_files(s, files, types), n_cols)
+        root, types = _files(s, d)
+        return FS.shape_summary(FS.scan_season_files(s, root, types), FS.file_headers(s, root))
 
     register("shape_summary", shape, f"WITH {fx}\nSELECT count(*) AS n_rows, {len(MATCH_COLUMNS)} AS n_columns, "
              "count(DISTINCT season) AS n_files FROM raw")

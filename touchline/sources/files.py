@@ -2,8 +2,8 @@
 
 The reference reads one CSV per season from a folder, prints each file's
 columns, concatenates them (missing columns become null) and writes the
-combined table. Here every step is a Spark read / write; the only thing
-handled per file on the driver is the file's header (its column names).
+combined table. Here every step is a Spark read / write; the number of jobs does
+not depend on the number of files.
 """
 
 from __future__ import annotations
@@ -24,40 +24,41 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
 
 
-def write_season_files(raw: DataFrame, root: str) -> list[tuple[int, str]]:
-    """One CSV folder per season (header on); even seasons lack ODD_SEASON_ONLY.
+def write_season_files(raw: DataFrame, root: str) -> str:
+    """One CSV folder per season (header on) below `root`; even seasons lack ODD_SEASON_ONLY.
 
     Two partitioned writes (odd seasons with every column, even seasons
-    without the odd-only ones), each one pass over the table. Returns
-    (season, path) pairs; the season list is the only thing collected.
-    """
+    without the odd-only ones), each one pass over the table."""
     odd = F.col("season") % 2 == 1
     even_cols = [c for c in raw.columns if c not in ODD_SEASON_ONLY]
     (raw.where(odd).withColumn("__season", F.col("season")).write.mode("overwrite")
      .partitionBy("__season").option("header", True).csv(f"{root}/odd"))
     (raw.where(~odd).select(*even_cols).withColumn("__season", F.col("season")).write.mode("overwrite")
      .partitionBy("__season").option("header", True).csv(f"{root}/even"))
-    seasons = [r["season"] for r in raw.select("season").distinct().orderBy("season").collect()]
-    return [(s, f"{root}/{'odd' if s % 2 == 1 else 'even'}/__season={s}") for s in seasons]
+    return root
 
 
-def header_columns(spark: SparkSession, path: str) -> list[str]:
-    """The header of a CSV folder (reads the first line only)."""
-    return spark.read.option("header", True).csv(path).columns
+def file_headers(spark: SparkSession, root: str) -> DataFrame:
+    """(path, season, header) of every file below `root`: one distributed read of all files, whatever their number.
 
+    The first block of a file is read by one task in order, so the first value of its partial aggregate is
+    the header line."""
+    lines = spark.read.option("recursiveFileLookup", True).text(root).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    return lines.where("start = 0").groupBy("path").agg(F.first("value").alias("header")).select(
+        "path", F.regexp_extract("path", r"__season=(-?[0-9]+)", 1).cast("int").alias("season"), "header")
 
-def schema_audit(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
-    """(column_name, n_files) - columns missing from some files show n_files < files."""
-    rows = [(s, c) for s, p in files for c in header_columns(spark, p)]
-    df = spark.createDataFrame(rows, "season INT, column_name STRING")
-    return df.groupBy("column_name").agg(F.count_distinct("season").alias("n_files"))
 
+def schema_audit(headers: DataFrame) -> DataFrame:
+    """(column_name, n_files) - columns missing from some season's files show n_files < seasons."""
+    return headers.select("season", F.explode(F.split("header", ",")).alias("column_name")).groupBy(
+        "column_name").agg(F.count_distinct("season").alias("n_files"))
 
-def read_season(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
-    """One CSV read with an explicit schema built from its header."""
-    cols = header_columns(spark, path)
-    schema = ", ".join(f"`{c}` {types.get(c, 'STRING')}" for c in cols)
-    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+
+def read_files(spark: SparkSession, paths: list[str], header: str, types: dict[str, str]) -> DataFrame:
+    """One CSV read, with an explicit schema from the header, of all files that share it."""
+    schema = ", ".join(f"`{c}` {types.get(c, 'STRING')}" for c in header.split(","))
+    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(paths)
             .withColumn("source_file", F.col("_metadata.file_path")))
 
 
@@ -69,9 +70,14 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def scan_season_files(spark: SparkSession, files: list[tuple[int, str]], types: dict[str, str]) -> DataFrame:
-    """Every season file, combined by name."""
-    return union_by_name([read_season(spark, p, types) for _, p in files])
+def scan_season_files(spark: SparkSession, root: str, types: dict[str, str]) -> DataFrame:
+    """Every season file, combined by name: one read for each distinct header.
+
+    The driver holds the file list, as it does for any Spark read of these files."""
+    by_header: dict[str, list[str]] = {}
+    for r in file_headers(spark, root).orderBy("path").collect():
+        by_header.setdefault(r["header"], []).append(r["path"])
+    return union_by_name([read_files(spark, paths, header, types) for header, paths in sorted(by_header.items())])
 
 
 def sink_combined(df: DataFrame, path: str) -> DataFrame:
@@ -80,7 +86,8 @@ def sink_combined(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def shape_summary(df: DataFrame, n_columns: int) -> DataFrame:
-    """Rows, columns, number of season files."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(n_columns).alias("n_columns"),
-                  F.count_distinct("season").alias("n_files"))
+def shape_summary(df: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows, distinct columns of the files, number of seasons."""
+    columns = headers.select(F.explode(F.split("header", ",")).alias("c")).agg(F.count_distinct("c").alias("n_columns"))
+    rows = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("season").alias("n_files"))
+    return rows.crossJoin(columns).select("n_rows", "n_columns", "n_files")
