@@ -221,7 +221,10 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id
             flat = np.frombuffer(b"".join(ids), "<u4")
             with out_fs.open_output_stream(tmp) as f:
                 f.write(pack(doc_ids, [len(x) // 4 for x in ids], flat, width))
-            out_fs.move(tmp, name)
+            if out_fs.get_file_info(name).type == pafs.FileType.NotFound:
+                out_fs.move(tmp, name)
+            else:  # an earlier attempt of this task wrote the same bytes
+                out_fs.delete_file(tmp)
             row = [name, first[0], first[1], part, seq, len(doc_ids), len(flat)]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)],

@@ -159,23 +159,22 @@ def train(docs: DataFrame, per_language: int = 300, max_languages: int = 200) ->
     return fit(langs, rows)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs` with lang_pred and score in front, from the text alone.
-
-    A null text or one without a letter is `und` with score 0."""
+def identify(docs: DataFrame, model: Model, with_text: bool = True) -> DataFrame:
+    """`row` (a struct of the columns of `docs` but its text), `text` if wanted, lang_pred and score; from the
+    text alone. A null text or one without a letter is `und` with score 0."""
     small_batches(docs.sparkSession)
-    names = docs.columns
-    own = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), "text")
+    own = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns if n != "text"]).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [model.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([p for p, _ in found], pa.string()),
-                 pa.array([s for _, s in found], pa.float64())], ["row", "lang_pred", "score"])
+            out = {"row": b.column(0)} | ({"text": b.column(1)} if with_text else {})
+            out["lang_pred"] = pa.array([p for p, _ in found], pa.string())
+            out["score"] = pa.array([s for _, s in found], pa.float64())
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     kind = own.schema["row"].dataType.simpleString()
-    return own.mapInArrow(run, f"row {kind}, lang_pred string, score double")
+    return own.mapInArrow(run, f"row {kind}, " + "text string, " * with_text + "lang_pred string, score double")
 
 
 def predictions(docs: DataFrame, per_language: int = 300) -> DataFrame:
@@ -183,5 +182,5 @@ def predictions(docs: DataFrame, per_language: int = 300) -> DataFrame:
 
     A null doc_id is neither held out nor learned from. Without any labelled row
     every prediction is `und`. Repeated rows stay repeated; an empty table gives none."""
-    found = identify(docs.select("doc_id", "text"), train(docs, per_language))
+    found = identify(docs.select("doc_id", "text"), train(docs, per_language), with_text=False)
     return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
