@@ -31,6 +31,14 @@ def test_quantiles_are_exact(spark):
     assert exact_quantiles(df.limit(0), ["normal"], [0.5]) == {"normal": [None]}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 1002, 1003])
+def test_quantiles_of_few_rows(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    df = spark.createDataFrame([(float(v),) for v in x], "x DOUBLE")
+    ps = [0.01, 0.1, 0.25, 0.3, 0.5, 0.7, 0.75, 0.9, 0.99]
+    assert np.allclose(exact_quantiles(df, ["x"], ps)["x"], np.quantile(x, ps), rtol=1e-12)
+
+
 def test_no_ungrouped_percentile_in_winsorising(spark):
     df = spark.createDataFrame([(float(i), None if i % 3 else 1.0) for i in range(100)], "a DOUBLE, b DOUBLE")
     for out in (C.iqr_winsorise(df, ["a", "b"]), C.pct_winsorise(df, ["a", "b"]), C.fill_medians(df, ["a", "b"])):

@@ -27,23 +27,23 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     Only a few numbers per column and probability reach the driver."""
     if not columns:
         return {}
-    slack = 2.0 / accuracy
-    edges = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-slack, slack)]
-    ps = "array(" + ", ".join(f"{e}D" for e in edges) + ")"
-    sketch = df.selectExpr(*[x for c in columns for x in (
-        f"count(`{c}`) AS `n_{c}`", f"percentile_approx(CAST(`{c}` AS DOUBLE), {ps}, {accuracy}) AS `e_{c}`")]).first()
-    brackets, size = [], {}
-    for c in columns:
-        size[c] = n = sketch[f"n_{c}"]
-        if not n:
-            continue
+    size = df.selectExpr(*[f"count(`{c}`) AS `{c}`" for c in columns]).first().asDict()
+    known = [c for c in columns if size[c]]
+    if not known:
+        return {c: [None] * len(probabilities) for c in columns}
+    # the sketch's error in ranks, and two whole ranks for the rounding of few rows
+    slack = {c: 2.0 / accuracy + 2.0 / size[c] for c in known}
+    edges = {c: ", ".join(f"{min(max(p + d, 0.0), 1.0)!r}D" for p in probabilities for d in (-slack[c], slack[c]))
+             for c in known}
+    sketch = df.selectExpr(*[f"percentile_approx(CAST(`{c}` AS DOUBLE), array({edges[c]}), {accuracy}) AS `{c}`"
+                             for c in known]).first()
+    brackets = []
+    for c in known:
+        n = size[c]
         for k, p in enumerate(probabilities):
-            # the ranks sought may lie on the bracket's far side only through the sketch's error, which slack covers
-            lo = sketch[f"e_{c}"][2 * k] if p - slack > 0 else -math.inf
-            hi = sketch[f"e_{c}"][2 * k + 1] if p + slack < 1 else math.inf
+            lo = sketch[c][2 * k] if p - slack[c] > 0 else -math.inf
+            hi = sketch[c][2 * k + 1] if p + slack[c] < 1 else math.inf
             brackets.append((c, k, lo, hi, math.floor(p * (n - 1)), math.ceil(p * (n - 1))))
-    if not brackets:
-        return {c: [None] * len(probabilities) for c in columns}
     # one small row for each column and probability
     table = df.sparkSession.createDataFrame(brackets, "feature STRING, k INT, lo DOUBLE, hi DOUBLE, r0 BIGINT, r1 BIGINT")
     below = df.selectExpr(*[f"count_if(CAST(`{c}` AS DOUBLE) < {_literal(lo)}) AS `b_{c}_{k}`"
