@@ -428,9 +428,10 @@ def _selected(spark, sf, matrix: DataFrame, target: str) -> list[str]:
 
 
 def _train_test(spark, sf):
-    m = P.feature_matrix_v3(spark, sf)  # a written stage: fits scan it, no lineage to replay
-    h = M.chrono_holdout(m).select("match_id", "role")
-    mm = m.join(h, "match_id")
+    """(matrix, train rows, test rows); the split is written once, so that fits scan it without a join."""
+    m = P.feature_matrix_v3(spark, sf)
+    mm = P.shared_stage(spark, ("split_v3", sf), lambda: m.join(
+        M.chrono_holdout(P.split_keys_v3(spark, sf)).select("match_id", "role"), "match_id"))
     return m, mm.where(F.col("role") == "train"), mm.where(F.col("role") == "test")
 
 
@@ -478,12 +479,18 @@ def _ensemble(spark, sf, targets, trees: int = 5, weight_folds=(4,)):
     """Three members per hard line, weighted by accuracy on time-series folds of the training rows.
 
     `weight_folds`: which of the five folds of M9 give the weights (the reference takes all five; the
-    registered queries take the last and largest one). The holdout is never used for them."""
+    registered queries take the last and largest one; none: equal weights). The holdout is never used for them."""
     m, tr, te = _train_test(spark, sf)
-    folds = M.time_series_folds(tr.select("match_id", "date_gmt"))
-    by_fold = [(tr.join(f.where(F.col("role") == "train"), "match_id", "left_semi"),
-                tr.join(f.where(F.col("role") == "test"), "match_id", "left_semi"))
-               for f in (folds.where(F.col("fold") == k) for k in weight_folds)]
+    by_fold = []
+    if weight_folds:
+        folds = M.time_series_folds(tr.select("match_id", "date_gmt"))
+        wide = tr
+        for k in weight_folds:
+            wide = wide.join(folds.where(F.col("fold") == k).select("match_id", F.col("role").alias(f"__fold_{k}")),
+                             "match_id", "left")
+        wide = P.stage(wide)
+        by_fold = [(wide.where(F.col(f"__fold_{k}") == "train"), wide.where(F.col(f"__fold_{k}") == "test"))
+                   for k in weight_folds]
     probs, imps = None, None
     for t in targets:
         feats = _selected(spark, sf, m, t)
@@ -500,7 +507,8 @@ def _ensemble(spark, sf, targets, trees: int = 5, weight_folds=(4,)):
                 accs.append(fp.agg(F.avg(((F.col("p") > 0.5).cast("int") == F.col(t)).cast("double"))).first()[0] or 0.0)
             model = M.train_line(tr, fs, t, params)
             p = M.prob_over(model, te, fs, ["match_id", t])
-            members.append((name, p.select("match_id", F.col("p").alias(name)), sum(accs) / len(accs)))
+            weight = sum(accs) / len(accs) if accs else 1.0
+            members.append((name, p.select("match_id", F.col("p").alias(name)), weight))
             imp = M.importances(model, fs, spark, name).withColumn("target", F.lit(t))
             imps = imp if imps is None else imps.unionByName(imp)
         total = sum(a for _, _, a in members) or 1.0
@@ -515,7 +523,17 @@ def _ensemble(spark, sf, targets, trees: int = 5, weight_folds=(4,)):
 
 
 def train_ensemble_query(spark, sf):
-    return P.shared_stage(spark, ("train_ensemble", sf), lambda: _ensemble(spark, sf, HARD)[0])
+    def build():
+        probs, imps = _ensemble(spark, sf, HARD)
+        P.shared_stage(spark, ("ensemble_members", sf), lambda: imps)
+        return probs
+
+    return P.shared_stage(spark, ("train_ensemble", sf), build)
+
+
+def ensemble_members(spark, sf):
+    """Importances of the ensembles' members, of the same fits where these were kept."""
+    return P.shared_stage(spark, ("ensemble_members", sf), lambda: _ensemble(spark, sf, HARD, weight_folds=())[1])
 
 
 def _importance_fixture(spark, sf):
@@ -562,8 +580,7 @@ SELECT count(*) AS n_test, sum(total_corners) AS sum_label, CAST(1 AS INTEGER) A
     NOT_ROUNDED.update({"n_test", "n_over", "all_valid", "all_finite", "near_mean_error"})
 
     def ens_importance(s, d):
-        _, imps = _ensemble(s, d, HARD)
-        out = None
+        imps, out = ensemble_members(s, d), None
         for t in HARD:
             part = M.ensemble_importance(imps.where(F.col("target") == t)).select(F.lit(t).alias("target"), "*")
             out = part if out is None else out.unionByName(part)
