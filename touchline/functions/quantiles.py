@@ -44,13 +44,17 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
             lo = sketch[c][2 * k] if p - slack[c] > 0 else -math.inf
             hi = sketch[c][2 * k + 1] if p + slack[c] < 1 else math.inf
             brackets.append((c, k, lo, hi, math.floor(p * (n - 1)), math.ceil(p * (n - 1))))
-    # one small row for each column and probability
+    # one small row for each column and probability, or for each column
     table = df.sparkSession.createDataFrame(brackets, "feature STRING, k INT, lo DOUBLE, hi DOUBLE, r0 BIGINT, r1 BIGINT")
-    below = df.selectExpr(*[f"count_if(CAST(`{c}` AS DOUBLE) < {_literal(lo)}) AS `b_{c}_{k}`"
-                            for c, k, lo, *_ in brackets]).first()
-    under = df.sparkSession.createDataFrame([(c, k, below[f"b_{c}_{k}"]) for c, k, *_ in brackets],
-                                            "feature STRING, k INT, under BIGINT")
-    inside = stacked(df, columns).join(F.broadcast(table.join(under, ["feature", "k"])), "feature").where(
+    lows = {c: [lo for f, _, lo, *_ in brackets if f == c] for c in known}
+    wide = df.sparkSession.createDataFrame(
+        [(c, *lows[c]) for c in known], "feature STRING, " + ", ".join(f"lo{k} DOUBLE" for k in range(len(probabilities))))
+    below = stacked(df, known).join(F.broadcast(wide), "feature").groupBy("feature").agg(
+        *[F.count_if(F.col("value") < F.col(f"lo{k}")).alias(f"b{k}") for k in range(len(probabilities))])
+    under = df.sparkSession.createDataFrame(
+        [(r["feature"], k, r[f"b{k}"]) for r in below.collect() for k in range(len(probabilities))],
+        "feature STRING, k INT, under BIGINT")
+    inside = stacked(df, known).join(F.broadcast(table.join(under, ["feature", "k"])), "feature").where(
         "value >= lo AND value <= hi")
     counts = inside.groupBy("feature", "k", "value").agg(
         F.count(F.lit(1)).alias("n"), F.first("r0").alias("r0"), F.first("r1").alias("r1"),
