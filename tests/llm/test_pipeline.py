@@ -68,3 +68,35 @@ def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "simhash_neardup", "decontamination", "pii_redaction", "byte_bpe"]
     assert corpus_pipeline.ORACLE_SQL is None and np.array(corpus_pipeline.STAGES, dtype=object).shape == (5, 2)
+
+
+def test_language_verdict_decides(spark):
+    """Wrong and missing languages are set right, texts in no learned language go, clean ones all stay."""
+    rng = np.random.default_rng(3)
+    words = {"en": "the and that with from where there have been", "de": "der und nicht ist eine wird auch durch",
+             "fr": "les une dans pour avec plus cette sont"}
+    kinds = list(words)
+    rows, right = [], {}
+    for i in range(300):
+        right[i] = kinds[i % 3]
+        given = right[i] if i % 20 else None if i % 40 else kinds[(i + 1) % 3]
+        rows.append((i, " ".join(rng.choice(words[right[i]].split(), 30)), given, "s"))
+    strange = ["日本語 の 文章 です", "Все люди рождаются свободными и равными"]
+    rows += [(1000 + i, t, None, "s") for i, t in enumerate(strange)]
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, documents(spark, rows), "").collect()}
+    assert got == right
+
+
+def test_rejection_keeps_clean_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    strange = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+               "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+               "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti.",
+               "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+               "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+               "Minden emberi lény szabadon születik és egyenlő méltósága és joga van."]
+    more = spark.createDataFrame([(-1 - k, t, None, "s") for k, t in enumerate(strange)],
+                                 "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(more), "")
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert sorted(ids) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())

@@ -42,6 +42,8 @@ UNKNOWN = "und"
 BITS = 15
 ORDERS = range(1, 4)
 SHARPNESS = 4.0  # slope of the margins' logistic curve in the score
+LEAST_SCORE = 0.5  # a text scoring less is in no learned language, unless learned rows score as low
+LEAST_ROWS = 50   # a limit for rejection is not taken from fewer rows
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -64,11 +66,13 @@ class Model:
     pairs: dict[str, list[tuple[int, int, int]]]  # family -> (first, second, column of pair_w)
     pair_w: np.ndarray
     pair_b: np.ndarray
+    limit: float = 0.0              # texts that score less are rejected
 
     def predict(self, text: str | None) -> tuple[str, float]:
         x = profile(text)
-        if x is None or not self.families:
-            return UNKNOWN, 0.0
+        return (UNKNOWN, 0.0) if x is None or not self.families else self.decide(x)
+
+    def decide(self, x: np.ndarray) -> tuple[str, float]:
         score, pick = 1.0, 0
         if len(self.families) > 1:
             m = x @ self.family_w + self.family_b
@@ -119,6 +123,25 @@ def fit(langs: list[str], profiles: list[tuple[np.ndarray, np.ndarray]], c: floa
     return Model(families, *pack(fam), pairs, *pack(cols))
 
 
+def reject_limit(model: Model, langs: list[str], profiles: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """The score under which a text is in no learned language, from the learned rows' scores by models of the other half.
+
+    LEAST_SCORE, or a quarter of the way from the score of no evidence (the biases alone) to the rows' lowest
+    hundredth if that is more; never less below the lowest hundredth than that lies below the median, so clean rows stay."""
+    if len(langs) < LEAST_ROWS:
+        return 0.0
+    scores = []
+    for k in (0, 1):
+        other = fit(langs[1 - k::2], profiles[1 - k::2])
+        for ids, values in profiles[k::2]:
+            x = np.zeros(1 << BITS, np.float32)
+            x[ids] = values
+            scores.append(other.decide(x)[1])
+    low, middle = np.quantile(scores, 0.01), np.median(scores)
+    none = model.decide(np.zeros(1 << BITS, np.float32))[1]
+    return float(max(0.0, min(2 * low - middle, max(LEAST_SCORE, none + (low - none) / 4))))
+
+
 def sample_profiles(docs: DataFrame, per_language: int = 300, max_languages: int = 200) -> DataFrame:
     """(lang, ids, values): sparse profiles of a bounded sample of the rows to learn from.
 
@@ -149,14 +172,18 @@ def sample_profiles(docs: DataFrame, per_language: int = 300, max_languages: int
     return chosen.mapInArrow(run, out)
 
 
-def train(docs: DataFrame, per_language: int = 300, max_languages: int = 200) -> Model:
+def train(docs: DataFrame, per_language: int = 300, max_languages: int = 200, rejecting: bool = False) -> Model:
+    """Models of the sample; with `rejecting`, their limit for rejection as well."""
     small_batches(docs.sparkSession)
     got = sample_profiles(docs, per_language, max_languages).toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got["lang"][i].as_py(), str(got["ids"][i])))
     langs = [got["lang"][i].as_py() for i in order]
     rows = [(got["ids"][i].values.to_numpy().astype(np.int64), got["vals"][i].values.to_numpy().astype(np.float64))
             for i in order]
-    return fit(langs, rows)
+    model = fit(langs, rows)
+    if rejecting:
+        model.limit = reject_limit(model, langs, rows)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, with_text: bool = True) -> DataFrame:
