@@ -96,3 +96,29 @@ def test_passes_and_shards_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontam, "SHARD_BYTES", 1000)
     got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(documents(spark, rows), items_of(spark, items)).collect()}
     assert got == want and {(i, i) for i in range(20)} <= got
+
+
+def test_scripts_without_spaces_typography_and_short_items(spark):
+    items = [(1, "长江流经哪座古老的城市并最终注入东海？答案是上海这座城市。"),
+             (2, "日本で一番高い山はどこにありますか。それは富士山で静岡県と山梨県にあります。"),
+             (3, "แม่น้ำสายใดไหลผ่านกรุงเทพมหานครก่อนลงสู่อ่าวไทย คือแม่น้ำเจ้าพระยา"),
+             (4, "Who said \"don't look back\" - the singer or the well-known writer? It's the singer's own line."),
+             (5, "Zwölf Boxkämpfer jagen Viktor"), (6, "")]
+    typed = "Who said “don’t look back” — the singer or the well‐known writer？ It’s the singer’s own line…"
+    filler = " ".join(f"f{i}" for i in range(100))
+    rows = [(1, f"今天的新闻报道说{items[0][1]}然后我们继续讨论别的话题", "zh", "s"),
+            (2, f"昨日の話では{items[1][1]}と書いてあった", "ja", "s"),
+            (3, f"เมื่อวานนี้เขาถามว่า{items[2][1]}และทุกคนตอบได้", "th", "s"),
+            (4, f"{filler} {typed} {filler}", "en", "s"),
+            (5, f"{filler} zwölf Boxkämpfer, jagen VIKTOR {filler}", "de", "s"),
+            (6, f"{filler} Zwölf jagen Boxkämpfer Viktor {filler}", "de", "s"),
+            (7, "今天的新闻报道说我们继续讨论别的话题，城市里的天气很好。", "zh", "s")]
+    got = decontam.leaks(documents(spark, rows), items_of(spark, items)).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(1, 6)]
+
+
+def test_words():
+    assert wand.words("Ｆｕｌｌ－ｗｉｄｔｈ“x”") == [b"full", b"width", b"x"]
+    assert [w.decode() for w in wand.words("ab中文cd น้ำ हिन्दी co­op")] == \
+        ["ab", "中", "文", "cd", *[w.decode() for w in wand.words("น้ำ")], "हिन्दी", "coop"]
+    assert wand.words("été") == wand.words("été") and wand.words(None) == wand.words(" —…") == []

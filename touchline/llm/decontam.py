@@ -44,8 +44,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, question: f
     holds: BM25 share of the item's own score at least `threshold`, and that share of the
     word trigrams of the item's question and of its answer in the passage.
 
-    Null and empty texts hold nothing; null items and items under five words are
-    no evidence. Repeated documents give repeated rows; an empty table on either side gives none."""
+    Null and empty texts hold nothing; null items and items without a word are no evidence; items
+    under five words are found as exact runs of words. Repeated documents give repeated rows; an empty table on either side gives none."""
     spark = docs.sparkSession
     small_batches(spark)
     out = ("doc_id long, text_hash long, item_id long, score double, question_overlap double, "

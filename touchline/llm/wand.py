@@ -7,21 +7,64 @@ item's words scores 1 and one threshold serves items of every length.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import unicodedata
 from collections import Counter
 from itertools import repeat
 
 import numpy as np
+import regex
 
 _SPACE = bytes(range(0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80))
 _TABLE = bytes.maketrans(_SPACE, b" " * len(_SPACE))
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？｡।])\s*|\n+")
+SEPARATES, JOINS, ALONE, IGNORED = range(4)  # what a character does to words
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}ー]")
+_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]")
+_IGNORED = "\u00ad\u200c\u200d\u2060\ufeff"  # soft hyphen, joiners
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """What each code point does to words."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = np.zeros(0x110000, np.uint8)
+    for found, kind in ((_WORD, JOINS), (_UNSPACED, ALONE)):
+        out[np.frombuffer("".join(found.findall(every)).encode("utf-32-le"), np.uint32)] = kind
+    marks = "".join(regex.findall(r"\p{M}", every))  # they stay with the character before
+    out[np.frombuffer(marks.encode("utf-32-le"), np.uint32)] = JOINS
+    out[[ord(c) for c in _IGNORED]] = IGNORED
+    return out
 
 
 def words(text: str | None) -> list[bytes]:
-    """Lower-cased words; every ASCII character but letters and digits separates."""
-    return (text or "").lower().encode().translate(_TABLE).split()
+    """Lower-cased words in compatibility form; every character but letters, marks and digits separates.
+    In scripts written without spaces each character with its marks is a word."""
+    low = (text or "").lower()
+    if low.isascii():
+        return low.encode().translate(_TABLE).split()
+    points = np.frombuffer(unicodedata.normalize("NFKC", low).encode("utf-32-le", "replace"), np.uint32)
+    kinds = _kinds()[points]
+    out = np.where(kinds == SEPARATES, np.uint32(32), points)
+    alone = kinds == ALONE
+    if alone.any():
+        # a space before each, and before a letter (not a mark) after one
+        before = np.r_[False, alone[:-1]]
+        marks = np.fromiter((unicodedata.category(chr(p))[0] == "M" for p in points[before]), bool, before.sum())
+        after = np.zeros(len(points), bool)
+        after[before] = ~marks
+        held = np.flatnonzero(before)[marks]  # marks carry their character on
+        for k in held.tolist():
+            while k + 1 < len(points) and kinds[k + 1] == JOINS and unicodedata.category(chr(points[k + 1]))[0] == "M":
+                k += 1
+            if k + 1 < len(points):
+                after[k + 1] = True
+        at = np.flatnonzero(alone | after)
+        out, kinds = np.insert(out, at, 32), np.insert(kinds, at, SEPARATES)
+    out = out[kinds != IGNORED]
+    return out.astype("<u4").tobytes().decode("utf-32-le").encode().split()
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -47,11 +90,16 @@ def overlap(part: list[bytes], passage: list[bytes]) -> float:
 
 
 class Index:
-    """items: (item_id, text). Items of fewer than `min_words` words are no evidence and are left out."""
+    """items: (item_id, text). Items of fewer than `min_words` words are looked for word by word, as exact runs."""
 
     def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, block: int = 4,
                  min_words: int = 5):
         bags = sorted(((i, t, Counter(words(t))) for i, t in items), key=lambda x: (sum(x[2].values()), x[0]))
+        self.short: dict[bytes, dict[tuple[bytes, ...], list[int]]] = {}  # first word -> run -> items
+        for i, t, c in bags:
+            if 0 < sum(c.values()) < min_words:
+                run = tuple(words(t))
+                self.short.setdefault(run[0], {}).setdefault(run, []).append(i)
         bags = [x for x in bags if sum(x[2].values()) >= min_words]
         self.items = [(i, *question_and_answer(t)) for i, t, _ in bags]
         sizes = [sum(c.values()) for *_, c in bags]
@@ -157,6 +205,11 @@ class Index:
         """item_id -> best (score, question overlap, answer overlap) of the verified passages of a whole text."""
         w = words(text)
         found: dict[int, tuple[float, float, float]] = {}
+        if self.short:
+            for k in [k for k, t in enumerate(w) if t in self.short]:
+                runs = self.short[w[k]]
+                for n in {len(r) for r in runs}:
+                    found.update((i, (1.0, 1.0, 1.0)) for i in runs.get(tuple(w[k:k + n]), ()))
         if not w or not self.items:
             return found
         ids = self.term_ids(w)
