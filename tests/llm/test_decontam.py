@@ -122,3 +122,19 @@ def test_words():
     assert [w.decode() for w in wand.words("ab中文cd น้ำ हिन्दी co­op")] == \
         ["ab", "中", "文", "cd", *[w.decode() for w in wand.words("น้ำ")], "हिन्दी", "coop"]
     assert wand.words("été") == wand.words("été") and wand.words(None) == wand.words(" —…") == []
+
+
+def test_long_items_do_not_widen_the_span_of_short_ones(spark):
+    rng = random.Random(6)
+    short = "how is the word of a day in the year when they go to it"
+    items = [(1, short), (2, " ".join(f"v{rng.randrange(9000)}" for _ in range(3000)))]
+    w = short.split()
+    scattered = []  # all of its trigrams, each far from the next
+    for k in range(len(w) - 2):
+        scattered += [*w[k:k + 3], *(f"f{rng.randrange(500)}" for _ in range(60))]
+    filler = " ".join(f"f{i}" for i in range(200))
+    edited = " ".join(w[:6] + ["extra", "words"] + w[6:])
+    rows = [(1, " ".join(scattered), "en", "s"), (2, f"{filler} {short} {filler}", "en", "s"),
+            (3, f"{filler} {edited} {filler}", "en", "s"), (4, f"{filler} {items[1][1]} {filler}", "en", "s")]
+    got = decontam.leaks(documents(spark, rows), items_of(spark, items)).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(2, 1), (3, 1), (4, 2)]

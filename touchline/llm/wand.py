@@ -83,10 +83,9 @@ def _grams(w: list[bytes], n: int = 3) -> set[tuple[bytes, ...]]:
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if n else set()
 
 
-def overlap(part: list[bytes], passage: list[bytes]) -> float:
-    """Share of the part's word trigrams (shorter parts: the whole part) found in the passage."""
-    own = _grams(part)
-    return len(own & _grams(passage, min(3, len(part)))) / len(own) if own else 1.0
+def span(n_words: int) -> int:
+    """Words among which all of an item of `n_words` words must stand, edits included."""
+    return 2 * max(n_words, 8)
 
 
 class Index:
@@ -179,10 +178,57 @@ class Index:
         cursor[0], cursor[1] = (p[lo][0], lo) if lo < len(p) else (math.inf, lo)
 
     def passages(self, n_words: int) -> list[tuple[int, int]]:
-        """Windows of twice the longest item, half overlapping: every run of an item's length lies in one."""
-        step = max(self.longest, 16)
+        """Windows of four times the longest item, half overlapping: every item's span lies in one."""
+        step = span(self.longest)
         return [(a, min(a + 2 * step, n_words)) for a in range(0, max(n_words - step, 1), step)]
 
+    def best_span(self, d: int, w: list[bytes], ids: np.ndarray, threshold: float, question: float,
+                  answer: float) -> tuple[float, float, float] | None:
+        """The best (score, question overlap, answer overlap) that reaches the limits within a span of twice the
+        item's own length, overlaps as shares of the part's word trigrams (shorter parts: the whole part)."""
+        _, *parts = self.items[d]
+        size = span(sum(map(len, parts)))
+        impact = {}
+        for t in sorted({self.vocab[x] for part in parts for x in part}):
+            cursor = [0, 0, t]
+            self._seek(cursor, d)
+            impact[t] = self.postings[t][cursor[1]][1]
+        at = np.flatnonzero(np.isin(ids, list(impact))).tolist()
+        grams = [_grams(part) for part in parts]
+        runs = []  # of each part: where its grams stand, as (start, end, gram)
+        for part, own in zip(parts, grams):
+            n = min(3, len(part))
+            runs.append([(k, k + n, g) for k in at if (g := tuple(w[k:k + n])) in own])
+        held: Counter = Counter()
+        seen: list[Counter] = [Counter(), Counter()]
+        to, first, last = 0, [0, 0], [0, 0]
+        score, best = 0.0, None
+        for k in at:
+            while to < len(at) and at[to] < k + size:
+                t = int(ids[at[to]])
+                score += 0.0 if held[t] else impact[t]
+                held[t] += 1
+                to += 1
+            for p, run in enumerate(runs):
+                while last[p] < len(run) and run[last[p]][1] <= k + size:
+                    seen[p][run[last[p]][2]] += 1
+                    last[p] += 1
+                while first[p] < last[p] and run[first[p]][0] < k:
+                    g = run[first[p]][2]
+                    seen[p][g] -= 1
+                    if not seen[p][g]:
+                        del seen[p][g]
+                    first[p] += 1
+            if score >= threshold - 1e-9:
+                q, a = (len(s) / len(g) for s, g in zip(seen, grams))
+                if q >= question and a >= answer:
+                    now = (math.fsum(impact[t] for t, n in held.items() if n), q, a)
+                    best = max(best, now) if best else now
+            t = int(ids[k])
+            held[t] -= 1
+            score -= 0.0 if held[t] else impact[t]
+        return best
+
     def hopeful(self, ids: np.ndarray, windows: list[tuple[int, int]], threshold: float) -> list[int]:
         """Windows in which some block's bounds reach the threshold: the others hold no pivot at all."""
         at = np.nonzero(ids >= 0)[0]
@@ -214,7 +260,7 @@ class Index:
             return found
         ids = self.term_ids(w)
         every = self.passages(len(w))
-        per = max(1, chunk // max(self.longest, 16))
+        per = max(1, chunk // span(self.longest))
         for k in range(0, len(every), per):
             part = every[k:k + per]
             base, end = part[0][0], part[-1][1]
@@ -222,9 +268,9 @@ class Index:
             for i in self.hopeful(ids[base:end], local, threshold):
                 a, z = part[i]
                 terms = np.unique(ids[a:z])
-                for d, score in self.search(terms[terms >= 0].tolist(), threshold):
-                    item, q, ans = self.items[d]
-                    oq, oa = overlap(q, w[a:z]), overlap(ans, w[a:z])
-                    if oq >= question and oa >= answer:
-                        found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score, oq, oa))
+                for d, _ in self.search(terms[terms >= 0].tolist(), threshold):
+                    best = self.best_span(d, w[a:z], ids[a:z], threshold, question, answer)
+                    if best:
+                        item = self.items[d][0]
+                        found[item] = max(found.get(item, (0.0, 0.0, 0.0)), best)
         return found
