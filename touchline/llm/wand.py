@@ -20,6 +20,7 @@ import regex
 _SPACE = bytes(range(0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80))
 _TABLE = bytes.maketrans(_SPACE, b" " * len(_SPACE))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？｡।])\s*|\n+")
+MIN_WORDS = 5  # items of fewer are looked for as exact runs
 SEPARATES, JOINS, ALONE, IGNORED = range(4)  # what a character does to words
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}ー]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]")
@@ -89,10 +90,13 @@ def span(n_words: int) -> int:
 
 
 class Index:
-    """items: (item_id, text). Items of fewer than `min_words` words are looked for word by word, as exact runs."""
+    """items: (item_id, text). Items of fewer than `min_words` words are looked for word by word, as exact runs.
+
+    stats: (items, mean number of words, items that hold a term) of the whole benchmark, of which `items` may be a
+    part; taken from `items` if not given. Scores are then the same whichever items share an index."""
 
     def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, block: int = 4,
-                 min_words: int = 5):
+                 min_words: int = MIN_WORDS, stats: tuple[int, float, dict[bytes, int]] | None = None):
         bags = sorted(((i, t, Counter(words(t))) for i, t in items), key=lambda x: (sum(x[2].values()), x[0]))
         self.short: dict[bytes, dict[tuple[bytes, ...], list[int]]] = {}  # first word -> run -> items
         for i, t, c in bags:
@@ -103,9 +107,9 @@ class Index:
         self.items = [(i, *question_and_answer(t)) for i, t, _ in bags]
         sizes = [sum(c.values()) for *_, c in bags]
         self.longest = max(sizes, default=0)
-        mean = sum(sizes) / len(sizes) if sizes else 1.0
         df = Counter(t for *_, c in bags for t in c)
-        idf = {t: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        total, mean, every = stats or (len(bags), sum(sizes) / len(sizes) if sizes else 1.0, df)
+        idf = {t: math.log(1 + (total - every[t] + 0.5) / (every[t] + 0.5)) for t in df}
         self.vocab = {t: k for k, t in enumerate(sorted(df))}
         # the table of block bounds is dense, so it is held to a fixed size
         self.block = block = max(block, -(-len(bags) * len(df) // 8_000_000))
@@ -249,7 +253,10 @@ class Index:
     def leaks(self, text: str | None, threshold: float, question: float, answer: float,
               chunk: int = 1 << 18) -> dict[int, tuple[float, float, float]]:
         """item_id -> best (score, question overlap, answer overlap) of the verified passages of a whole text."""
-        w = words(text)
+        return self.leaks_in(words(text), threshold, question, answer, chunk)
+
+    def leaks_in(self, w: list[bytes], threshold: float, question: float, answer: float,
+                 chunk: int = 1 << 18) -> dict[int, tuple[float, float, float]]:
         found: dict[int, tuple[float, float, float]] = {}
         if self.short:
             for k in [k for k, t in enumerate(w) if t in self.short]:
