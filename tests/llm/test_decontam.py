@@ -163,3 +163,26 @@ def test_scores_do_not_depend_on_the_slices(spark, monkeypatch):
     assert found() == want
     monkeypatch.setattr(decontam, "PASS_BYTES", 1)
     assert found() == want
+
+
+def test_indexes_are_built_in_tasks_and_bounded(spark, monkeypatch):
+    """No item reaches the driver, and no index holds more than its bounds."""
+    import pickle
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(20))) for i in range(400)]
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 5000)
+    frame, brought = items_of(spark, items), []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: brought.extend(rows := collect(self)) or rows)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *a: 1 / 0)
+    files = decontam._write_indexes(frame)
+    assert len(brought) < 10 and not any("text" in r.asDict() for r in brought)
+    indexes = [pickle.loads(d) for f in files for d in decontam._read(f)]
+    assert len(indexes) > 5 and sorted(i for ix in indexes for i, *_ in ix.items) == list(range(400))
+    texts = dict(items)
+    assert all(sum(len(texts[i]) for i, *_ in ix.items) <= 5000 for ix in indexes)
+    big = wand.Index([(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(10))) for i in range(2500)])
+    assert big.block_most.size <= wand.CELLS + len(big.vocab) and not hasattr(big, "_bounds")

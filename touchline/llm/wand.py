@@ -20,6 +20,7 @@ import regex
 _SPACE = bytes(range(0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80))
 _TABLE = bytes.maketrans(_SPACE, b" " * len(_SPACE))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？｡।])\s*|\n+")
+CELLS = 1_000_000  # of an index's table of block bounds (float32)
 MIN_WORDS = 5  # items of fewer are looked for as exact runs
 SEPARATES, JOINS, ALONE, IGNORED = range(4)  # what a character does to words
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}ー]")
@@ -112,7 +113,7 @@ class Index:
         idf = {t: math.log(1 + (total - every[t] + 0.5) / (every[t] + 0.5)) for t in df}
         self.vocab = {t: k for k, t in enumerate(sorted(df))}
         # the table of block bounds is dense, so it is held to a fixed size
-        self.block = block = max(block, -(-len(bags) * len(df) // 8_000_000))
+        self.block = block = max(block, -(-len(bags) * len(df) // CELLS))
         self.n_blocks = -(-len(bags) // block)
         postings: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
         for d, ((*_, c), size) in enumerate(zip(bags, sizes)):
@@ -126,7 +127,6 @@ class Index:
         for k, p in enumerate(postings):
             for d, v in p:
                 self.block_most[k, d // block] = max(self.block_most[k, d // block], v)
-        self._bounds = [row.tolist() for row in self.block_most]
 
     def term_ids(self, w: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocab.get, w, repeat(-1)), np.int64, len(w))
@@ -153,7 +153,7 @@ class Index:
                 return out
             blk = pivot // self.block
             target = (blk + 1) * self.block
-            if sum(self._bounds[t][blk] for item, _, t in cursors if item < target) >= threshold - eps:
+            if sum(self.block_most.item(t, blk) for item, _, t in cursors if item < target) >= threshold - eps:
                 score = 0.0
                 for c in cursors:
                     if c[0] > pivot:
@@ -267,7 +267,8 @@ class Index:
             return found
         ids = self.term_ids(w)
         every = self.passages(len(w))
-        per = max(1, chunk // span(self.longest))
+        # the bounds of a chunk's terms are summed as one table, of 64 MB or one window
+        per = max(1, min(chunk, (8 << 20) // self.n_blocks) // span(self.longest))
         for k in range(0, len(every), per):
             part = every[k:k + per]
             base, end = part[0][0], part[-1][1]
