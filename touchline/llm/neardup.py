@@ -3,7 +3,8 @@
 No pair of documents is ever listed as such: documents are first reduced to
 distinct fingerprints, and every bucket of a key gives a spanning forest of its
 links only. Buckets above `bucket_cap` fingerprints are not compared pairwise:
-their members go through `_ball_links`, which is exact and linear.
+their members go through `_ball_links`, which is exact and linear. All joins are
+shuffle joins by hint: no side has a size that is known not to grow.
 """
 
 from __future__ import annotations
@@ -101,12 +102,35 @@ def _bucket_links(members: DataFrame, max_bits: int) -> DataFrame:
     return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
-def _ball_links(fps: DataFrame, max_bits: int) -> DataFrame:
+def _spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links, each node linked to the least of its tree: at most one link a node."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while x != top:
+            root[x], x = top, root.get(x, x)
+        return top
+
+    for a, b in set(zip(u.tolist(), v.tolist())):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    got = [(x, find(x)) for x in list(root)]
+    return tuple(np.array(got, np.int64).reshape(-1, 2).T)
+
+
+def _ball_links(fps: DataFrame, max_bits: int, group: int = 1024) -> DataFrame:
     """Links of crowded buckets, exactly and without comparing pairs.
 
     Two words at most 2r apart have a word within r of both, and all words
     within r of one word are at most 2r apart: so each word names the centres
-    of its ball, and the words of a centre are linked to the least of them.
+    of its ball (2,081 for r = 2), and the words of a centre are linked to the least of them.
+    A task links the words of `group` at a time itself and sends each centre once, with its least word;
+    what meets at a centre is at most one word a group. Either step keeps a forest only, so
+    a word has at most one link from its group and one from each partition of centres.
     For an odd max_bits the ball takes the next smaller radius and one-sided
     neighbours; only even values are accepted here."""
     if max_bits % 2:
@@ -119,19 +143,50 @@ def _ball_links(fps: DataFrame, max_bits: int) -> DataFrame:
         masks = np.union1d(np.array(masks, np.uint64), shell)
     masks = np.asarray(masks, np.uint64).view(np.int64)
 
-    def run(batches):
-        for b in batches:
-            v = b.column(0).to_numpy(zero_copy_only=False)
-            for k in range(0, len(v), 256):
-                part = v[k:k + 256]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((part[:, None] ^ masks[None, :]).ravel()), pa.array(np.repeat(part, len(masks)))],
-                    ["centre", "fp"])
+    def runs(centre: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(centres, their least words, links of the other words to these) of rows sorted by centre, then word."""
+        at = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
+        least = np.repeat(fp[at], np.diff(np.r_[at, len(fp)]))
+        more = fp > least
+        return centre[at], fp[at], *_spanning(fp[more], least[more])
+
+    def rows(centre, least, u, v):
+        # a link travels under its own word, as a row that says so
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[centre, u]), pa.array(np.r_[least, v]), pa.array(np.arange(len(centre) + len(u)) >= len(centre))],
+            ["centre", "fp", "link"])
+
+    def balls(batches):
+        for (v,) in columns_in_chunks(batches, group):
+            for k in range(0, len(v), group):
+                part = v[k:k + group]
+                centre, fp = (part[:, None] ^ masks[None, :]).ravel(), np.repeat(part, len(masks))
+                order = np.lexsort((fp, centre))
+                yield rows(*runs(centre[order], fp[order]))
+
+    def meet(batches):
+        held = None
+
+        def found(centre, fp, link):
+            own = ~link
+            centre, fp, u, v = centre[own], fp[own], centre[link], fp[link]
+            if len(centre):
+                order = np.lexsort((fp, centre))
+                *_, a, b = runs(centre[order], fp[order])
+                u, v = np.r_[u, a], np.r_[v, b]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _spanning(u, v)], ["u", "v"])
+
+        for part in columns_in_chunks(batches):
+            held = part if held is None else [np.concatenate(x) for x in zip(held, part)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last centre may go on
+            if cut:
+                yield found(*[x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if held is not None:
+            yield found(*held)
 
-    balls = fps.mapInArrow(run, "centre long, fp long")
-    least = balls.groupBy("centre").agg(F.min("fp").alias("v"), F.max("fp").alias("_last")).where("v < _last")
-    return (balls.join(least.select("centre", "v"), "centre").where("fp > v")
-            .select(F.col("fp").alias("u"), "v").distinct())
+    dealt = fps.mapInArrow(balls, "centre long, fp long, link boolean").repartition("centre").sortWithinPartitions("centre")
+    return dealt.mapInArrow(meet, "u long, v long")
 
 
 def links(fps: DataFrame, max_bits: int = 4, bucket_cap: int = 128) -> DataFrame:
@@ -142,8 +197,8 @@ def links(fps: DataFrame, max_bits: int = 4, bucket_cap: int = 128) -> DataFrame
     keyed = stage(_keyed(fps), "simhash-keys")
     crowded = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_cap).select("key"),
                     "simhash-crowded")
-    out = _bucket_links(keyed.join(crowded, "key", "left_anti"), max_bits)
-    members = keyed.join(crowded, "key", "left_semi").select("fp").distinct()
+    out = _bucket_links(keyed.join(crowded.hint("merge"), "key", "left_anti"), max_bits)
+    members = keyed.join(crowded.hint("merge"), "key", "left_semi").select("fp").distinct()
     return out.unionByName(_ball_links(members, max_bits)).distinct()
 
 
@@ -158,10 +213,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stage(both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
+        large = stage(both.join(m.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
                       "cc-large")
         m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(m.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stage(small.unionByName(m.select("u", F.col("m").alias("v"))).distinct(), "cc")
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == seen:
@@ -180,11 +235,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, bucket_c
     own = stage(fingerprints(docs, width), "simhash-fps")
     least = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     root = components(links(least.select("fp"), max_bits, bucket_cap))
-    linked = least.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+    linked = least.join(root.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = linked.join(named, "root").select("fp", "root", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    by_fp = linked.join(named.hint("merge"), "root").select("fp", "root", "component_id")
+    return _spread_join(own, by_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def _spread_join(rows: DataFrame, facts: DataFrame, key: str, salts: int = 64) -> DataFrame:
+    """`rows(doc_id, text_hash, key, ...)` joined with `facts`, one row for each key, of which a few may hold most rows: a
+    key's rows are dealt over `salts` places, and its facts go to those of them that have rows."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(salts)))
+    there = rows.select(key, "_salt").distinct().join(facts.hint("merge"), key)
+    return rows.join(there.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def keep_one(docs: DataFrame, width: int = 4, max_bits: int = 4, bucket_cap: int = 128) -> DataFrame:
@@ -197,10 +260,10 @@ def keep_one(docs: DataFrame, width: int = 4, max_bits: int = 4, bucket_cap: int
     best = found.groupBy("root").agg(F.min(rank).alias("best")).select(
         F.col("best.id").alias("best_id"), F.col("best.h").alias("best_hash"))
     copies = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
-    best = best.join(copies, best["best_id"].eqNullSafe(copies["doc_id"]) & (best["best_hash"] == copies["text_hash"])
+    best = best.join(copies.hint("merge"), best["best_id"].eqNullSafe(copies["doc_id"]) & (best["best_hash"] == copies["text_hash"])
                      ).select("best_id", "best_hash", "copies")
     own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
-    kept = own.join(best, own["own_id"].eqNullSafe(best["best_id"]) & (own["own_hash"] == best["best_hash"]))
+    kept = own.join(best.hint("merge"), own["own_id"].eqNullSafe(best["best_id"]) & (own["own_hash"] == best["best_hash"]))
     once = kept.where("copies = 1")
     more = kept.where("copies > 1").dropDuplicates(["own_id", "own_hash"])
     return once.unionByName(more).select("row.*")
