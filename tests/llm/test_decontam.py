@@ -40,10 +40,27 @@ def test_bounds_hide_no_passage():
         w[50:80] = wand.words(rng.choice(items)[1])
         ids = index.term_ids(w)
         windows = index.passages(len(w))
-        hopeful = set(index.hopeful(ids, windows, 0.5))
+        hopeful = dict(index.hopeful(ids, windows, 0.5))
         for k, (a, z) in enumerate(windows):
-            if exhaustive(index, sorted({int(t) for t in ids[a:z] if t >= 0}), 0.5):
-                assert k in hopeful
+            terms = sorted({int(t) for t in ids[a:z] if t >= 0})
+            want = exhaustive(index, terms, 0.5)
+            # the lists give exactly the items that reach the threshold, and the search between them all scores
+            assert sorted(want) == hopeful.get(k, [])
+            got = dict(index.search(terms, 0.5, hopeful.get(k, [])))
+            assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in want)
+
+
+def test_scored_items_follow_hits_not_index_size():
+    """The same passages against 50 and 800 items: only the item that is there is left to the search."""
+    rng = random.Random(2)
+    vocab = [f"w{k}" for k in range(20_000)]
+    items = [(i, " ".join(rng.choices(vocab, k=40))) for i in range(800)]
+    w = [x.encode() for _ in range(20) for x in (*rng.choices(vocab, k=300), *items[7][1].split())]
+    for n in (50, 800):
+        index = wand.Index(items[:n])
+        ids, windows = index.term_ids(w), index.passages(len(w))
+        found = index.hopeful(ids, windows, 0.6)
+        assert {index.items[d][0] for _, held in found for d in held} == {7}
 
 
 def test_query_matches_containment(spark):

@@ -11,6 +11,7 @@ import functools
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from itertools import repeat
 
@@ -123,6 +124,7 @@ class Index:
                 postings[self.vocab[t]].append((d, v / own))
         self.postings = postings  # by term: (item, impact), items ascending (shortest items first)
         self.most = [max(v for _, v in p) for p in postings]
+        self._essential(len(bags))
         self.block_most = np.zeros((len(postings), self.n_blocks), np.float32)  # a bound for each block of items
         for k, p in enumerate(postings):
             for d, v in p:
@@ -131,8 +133,9 @@ class Index:
     def term_ids(self, w: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocab.get, w, repeat(-1)), np.int64, len(w))
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items scoring at least `threshold` against the distinct `terms`: (item, score).
+    def search(self, terms: list[int], threshold: float, only: list[int] | None = None) -> list[tuple[int, float]]:
+        """All items scoring at least `threshold` against the distinct `terms`: (item, score); of the items `only` (ascending)
+        where given, which the cursors then jump between.
 
         Document-at-a-time with pivots: cursors are kept by their next item; the
         pivot is the first item that the terms' greatest impacts could lift over
@@ -151,6 +154,16 @@ class Index:
                     break
             if pivot is None:
                 return out
+            if only is not None:
+                k = bisect_left(only, pivot)
+                if k == len(only):
+                    return out
+                if only[k] > pivot:
+                    for c in cursors:
+                        if c[0] < only[k]:
+                            self._seek(c, only[k])
+                    cursors = [c for c in cursors if c[0] < math.inf]
+                    continue
             blk = pivot // self.block
             target = (blk + 1) * self.block
             if sum(self.block_most.item(t, blk) for item, _, t in cursors if item < target) >= threshold - eps:
@@ -233,8 +246,41 @@ class Index:
             score -= 0.0 if held[t] else impact[t]
         return best
 
-    def hopeful(self, ids: np.ndarray, windows: list[tuple[int, int]], threshold: float) -> list[int]:
-        """Windows in which some block's bounds reach the threshold: the others hold no pivot at all."""
+    def _essential(self, n_items: int, share: float = 0.7) -> None:
+        """Essential lists: of each item the fewest terms of greatest impact that hold `share` of its score, as postings
+        by term in flat arrays. A passage scores no more than what it has of these, and all of the rest."""
+        own: list[list[tuple[float, int]]] = [[] for _ in range(n_items)]
+        for t, p in enumerate(self.postings):
+            for d, v in p:
+                own[d].append((v, t))
+        self.rest = np.zeros(n_items)
+        self.terms_of: list[np.ndarray] = []
+        rows, others = [], []
+        for d, terms in enumerate(own):
+            self.terms_of.append(np.array(sorted(t for _, t in terms), np.int64))
+            terms.sort(key=lambda x: (-x[0], x[1]))
+            held = 0.0
+            for k, (v, t) in enumerate(terms):
+                if held >= share:
+                    self.rest[d] = math.fsum(x for x, _ in terms[k:])
+                    others += [(d, t, v) for v, t in terms[k:]]
+                    break
+                held += v
+                rows.append((t, d, v))
+        rows.sort()
+        self.essential_at = np.searchsorted(np.array([t for t, *_ in rows], np.int64), np.arange(len(self.postings) + 1))
+        self.essential_item = np.array([d for _, d, _ in rows], np.int64)
+        self.essential_impact = np.array([v for *_, v in rows], np.float64)
+        # the rest by item
+        self.rest_at = np.searchsorted(np.array([d for d, *_ in others], np.int64), np.arange(n_items + 1))
+        self.rest_term = np.array([t for _, t, _ in others], np.int64)
+        self.rest_impact = np.array([v for *_, v in others], np.float64)
+
+    def hopeful(self, ids: np.ndarray, windows: list[tuple[int, int]], threshold: float) -> list[tuple[int, list[int]]]:
+        """(window, items that can reach the threshold in it): first by the essential lists of their terms, then, for the items
+        that are left, with the rest of the item's terms. No other item reaches it.
+
+        The work follows the entries of rare terms that the windows meet, not the size of the index."""
         at = np.nonzero(ids >= 0)[0]
         if not len(at):
             return []
@@ -245,10 +291,25 @@ class Index:
         window = np.repeat(np.arange(len(windows)), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         pair = np.unique(window * len(self.vocab) + ids[at[np.repeat(lo, n) + within]])
+        if not len(pair):
+            return []
         window, term = pair // len(self.vocab), pair % len(self.vocab)
-        first = np.nonzero(np.r_[True, window[1:] != window[:-1]])[0]
-        bounds = np.add.reduceat(self.block_most[term], first, axis=0)
-        return window[first[bounds.max(axis=1) >= threshold - 1e-5]].tolist()
+        size = self.essential_at[term + 1] - self.essential_at[term]
+        entry = np.repeat(self.essential_at[term] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        items = len(self.items)
+        cell = np.repeat(window, size) * items + self.essential_item[entry]
+        score = np.bincount(cell, self.essential_impact[entry], len(windows) * items).reshape(-1, items)
+        w, d = np.nonzero((score + self.rest >= threshold - 1e-6) & (score > 0))
+        size = self.rest_at[d + 1] - self.rest_at[d]
+        of = np.repeat(np.arange(len(d)), size)
+        entry = np.repeat(self.rest_at[d] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        wanted = w[of] * len(self.vocab) + self.rest_term[entry]
+        there = pair[np.minimum(np.searchsorted(pair, wanted), len(pair) - 1)] == wanted
+        total = score[w, d] + np.bincount(of, self.rest_impact[entry] * there, len(d))
+        reach = total >= threshold - 1e-6
+        w, d = w[reach], d[reach]
+        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]][:len(w)]).tolist()
+        return [(int(w[a]), d[a:z].tolist()) for a, z in zip(first, [*first[1:], len(w)])]
 
     def leaks(self, text: str | None, threshold: float, question: float, answer: float,
               chunk: int = 1 << 18) -> dict[int, tuple[float, float, float]]:
@@ -267,16 +328,16 @@ class Index:
             return found
         ids = self.term_ids(w)
         every = self.passages(len(w))
-        # the bounds of a chunk's terms are summed as one table, of 64 MB or one window
-        per = max(1, min(chunk, (8 << 20) // self.n_blocks) // span(self.longest))
+        # the scores of a chunk's windows are one table, of 8 MB or one window
+        per = max(1, min(chunk // span(self.longest), (1 << 20) // len(self.items)))
         for k in range(0, len(every), per):
             part = every[k:k + per]
             base, end = part[0][0], part[-1][1]
             local = [(a - base, z - base) for a, z in part]
-            for i in self.hopeful(ids[base:end], local, threshold):
+            for i, items in self.hopeful(ids[base:end], local, threshold):
                 a, z = part[i]
-                terms = np.unique(ids[a:z])
-                for d, _ in self.search(terms[terms >= 0].tolist(), threshold):
+                terms = np.intersect1d(ids[a:z], np.concatenate([self.terms_of[d] for d in items]))
+                for d, _ in self.search(terms.tolist(), threshold, items):
                     best = self.best_span(d, w[a:z], ids[a:z], threshold, question, answer)
                     if best:
                         item = self.items[d][0]
