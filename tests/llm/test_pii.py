@@ -50,7 +50,7 @@ def test_messages_are_exact_on_a_chain():
     rng = np.random.default_rng(0)
     model = crf.Model(rng.normal(size=(crf.DIMS, crf.LABELS)), rng.normal(size=(2, crf.LABELS, crf.LABELS)))
     g = crf.Graph(feats=[[1], [2, 3], [4], [5]], edges=[(0, 1, crf.CHAIN), (1, 2, crf.CHAIN), (1, 3, crf.SKIP)])
-    got = model.marginals([g], rounds=200, damping=0.3)
+    got = model.settled(model.scores(*crf.join([g])[:2], 4), crf.join([g])[2], np.zeros(4, int))
     want = np.zeros((4, crf.LABELS))
     for y in itertools.product(range(crf.LABELS), repeat=4):
         s = sum(model.unary[f, y[k]] for k, fs in enumerate(g.feats) for f in fs)
@@ -68,16 +68,18 @@ def test_skip_edges_join_repeats():
 
 def trained():
     rng = random.Random(4)
-    graphs, labels = [], []
+    graphs, labels, hidden = [], [], []
     for _ in range(300):
         phone = f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
         ip = ".".join(str(rng.randint(1, 255)) for _ in range(4))
         text = rng.choice([f"the {phone} word", f"word {ip} the", f"x.{rng.randint(10, 99)}@mail.example.com then",
+                           f"case {rng.randint(100, 999)}-{rng.randint(1000, 9999)} word", f"or {rng.randint(10**6, 10**7)} then",
                            "version 2.0. the", f"id {rng.randint(10**15, 10**16 - 1)} word"])
         g = crf.graph(text)
         graphs.append(g)
-        labels.append(crf.labels(g, crf.base_spans(text)))
-    return crf.fit(graphs, labels)
+        labels.append(crf.known_labels(g, crf.base_spans(text)))
+        hidden += crf.masked(text, crf.base_spans(text))
+    return crf.fit(graphs, labels, hidden)
 
 
 def test_field_adds_what_patterns_lose():
@@ -90,6 +92,52 @@ def test_field_adds_what_patterns_lose():
     assert pii.redact(text, base + more).startswith("the [PHONE] [IP] word.")
 
 
+FORMS = ("555-1055", "523-555-1055", "5551055", "5235551055")
+
+
+def added(text, model):
+    (base, more), = pii.spans_of([text], model)
+    return [text[a:z] for a, _, z in more]
+
+
+def test_repeats_in_other_forms_follow_the_full_number():
+    model = trained()
+    for form in FORMS:
+        for n in (1, 5, 31, 200):
+            after = "call +1 (523) 555-1055 now" + f" or {form} then" * n
+            before = f"so {form} or" * n + " call +1 (523) 555-1055 now"
+            assert added(after, model) == [form] * n and added(before, model) == [form] * n, (form, n)
+        # nobody's number stays outside, however often it stands there
+        assert added(f"or {form} then " * 40, model) == []
+    # also where the full number is one that the patterns lost
+    text = "the +1 (310) 555-4510 152.143.123.131 word" + " and 555-4510 then" * 20
+    assert added(text, model).count("555-4510") == 20
+
+
+def test_without_skip_edges_repeats_are_lost():
+    model = trained()
+    model.pair[crf.SKIP] = 0.0
+    assert all(added(f"call +1 (523) 555-1055 or {form} then", model) == [] for form in FORMS)
+
+
+def test_a_document_is_alone_in_its_batch():
+    model = trained()
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["call", "+1 (523) 555-1055", "555-1055", "4.5.6.7", "12", "a@b.cd", "x", "99-99", "5235551055"])
+                      for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    assert pii.spans_of(texts, model) == [pii.spans_of([t], model)[0] for t in texts]
+    graphs = [crf.graph(t) for t in texts if crf.graph(t).core]
+    given = [crf.labels(g, []) for g in graphs]
+    together = model.marginals(graphs, given)
+    assert np.array_equal(together, np.concatenate([model.marginals([g], [y]) for g, y in zip(graphs, given)]))
+
+
+def test_long_tokens_keep_their_digits():
+    g = crf.graph("x" * 100 + "1 " + "0" * 70)
+    h = crf.graph("x" * 100 + "1 " + "0" * 71)
+    assert g.feats[1] != h.feats[1]
+
+
 def test_query_matches_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in QUERIES["op10_pii_skip_chain"](spark, sf).collect()}

@@ -3,12 +3,19 @@
 Nodes are the white-space tokens with a digit or an `@`; every other token is
 outside by a hard potential, so it cuts the chain. Neighbouring nodes share a
 chain potential; nodes of one document with the same or a similar content, however far
-apart, share a skip potential (each node with the last one before it of the same
-key, so edges grow with the nodes). Sum-product messages are passed over the loopy graph.
-
-The weights are fitted by pseudo-likelihood to the labels that the fixed patterns
-give; the field then labels what the patterns could not see: numbers run together
-with their neighbours, and shortened repeats.
+apart, share a skip potential (each node with the first and the last one before it of the same
+key, and with the first that is sure; so edges grow with the nodes). Sum-product messages are passed over the loopy
+graph until each document has settled; what is found in one does not depend on the others of its batch.
+
+Labels are certain where a fixed pattern matched, and where the chain alone is sure of a kind: such nodes
+are evidence, held fixed while the skip edges carry their label to every other occurrence. Without evidence an occurrence
+is pulled by its likes only, so repeated numbers that are nobody's stay outside.
+
+Unary and chain weights are fitted by pseudo-likelihood to the labels that the patterns give, occurrences of a pattern's
+content in other forms left out: the patterns cannot tell about them. The skip potential is attractive, with the
+weight at which one sure occurrence outweighs what any masked occurrence - a number of the sample in a shorter form in its
+own place - has against it. The field then labels what the patterns could not see: numbers run together with their neighbours, and
+repeats in shorter or other forms, however many.
 """
 
 from __future__ import annotations
@@ -28,11 +35,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_LETTER = re.compile(r"[^\W\d_]")
 
 OUT = 0
 LABELS = 1 + len(KINDS)
 DIMS = 1 << 12
 CHAIN, SKIP = 0, 1
+LEAST_SKIP = 4.0  # of the skip weight, less 2, where the sample has no phone number
 
 _NODE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 _EDGE_LEFT = "\"'([{<*#$%&!,;:."
@@ -84,12 +93,11 @@ class Graph:
     end: list[int] = field(default_factory=list)
     core: list[str] = field(default_factory=list)
     feats: list[list[int]] = field(default_factory=list)
+    keys: list[list[str]] = field(default_factory=list)
     edges: list[tuple[int, int, int]] = field(default_factory=list)
 
 
 def _shape(core: str) -> str:
-    if len(core) > 64:
-        return "long"
     if "@" in core:
         return "mail" if _EMAIL_DOMAIN.search(core, core.index("@") + 1) and core.index("@") else "at"
     s = re.sub(r"[0-9]+", lambda m: f"9{{{min(len(m.group()), 20)}}}", core)
@@ -97,7 +105,7 @@ def _shape(core: str) -> str:
 
 
 def _facts(core: str) -> list[str]:
-    digits = _NOT_DIGIT.sub("", core) if len(core) <= 64 else ""
+    digits = _NOT_DIGIT.sub("", core)
     out = [f"n{len(digits)}"]
     if 14 <= len(digits) <= 19:
         out.append(f"luhn{luhn(digits)}{len(core) == len(digits)}")
@@ -105,7 +113,7 @@ def _facts(core: str) -> list[str]:
     if len(quad) == 4 and all(q.isascii() and q.isdigit() for q in quad):
         out.append(f"octets{all(len(q) <= 3 and int(q) <= 255 for q in quad)}")
     out += ["plus"] * core.startswith("+") + ["paren"] * (core[:1] == "(" and core[-1:] == ")")
-    out += ["letters"] * bool(re.search(r"[^\W\d_]", core[:64]))
+    out += ["letters"] * bool(_LETTER.search(core))
     return out
 
 
@@ -114,7 +122,7 @@ def _keys(core: str) -> list[str]:
     if "@" in core:
         return ["m" + core.lower()]
     digits = _NOT_DIGIT.sub("", core)
-    if len(digits) < 7 or any(c.isalpha() for c in core[:64]):
+    if len(digits) < 7 or _LETTER.search(core):
         return []
     if core.count(".") == 3:
         return ["i" + core]
@@ -152,14 +160,15 @@ def graph(text: str) -> Graph:
                  f"l{shapes[k - 1]}" if beside[k] else "l-", f"r{shapes[k + 1]}" if beside[k + 1] else "r-",
                  *_facts(g.core[k])]
         g.feats.append([zlib.crc32(x.encode()) % DIMS for x in names])
-    seen: dict[str, int] = {}
+    first: dict[str, int] = {}
+    last: dict[str, int] = {}
     for k in range(n):
-        linked = set()
-        for key in _keys(g.core[k]):
-            if key in seen and seen[key] not in linked:
-                g.edges.append((seen[key], k, SKIP))
-                linked.add(seen[key])
-            seen[key] = k
+        g.keys.append(_keys(g.core[k]))
+        linked = {at[key] for key in g.keys[k] for at in (first, last) if key in at}
+        g.edges += [(j, k, SKIP) for j in sorted(linked)]
+        for key in g.keys[k]:
+            first.setdefault(key, k)
+            last[key] = k
     return g
 
 
@@ -176,6 +185,27 @@ def labels(g: Graph, spans: list[tuple[int, int, int]]) -> list[int]:
     return out
 
 
+def known_labels(g: Graph, spans: list[tuple[int, int, int]]) -> list[int]:
+    """`labels` to learn from: -1 (not known) for a node outside the spans whose content stands in one."""
+    own = labels(g, spans)
+    sure = {key for y, keys in zip(own, g.keys) if y != OUT for key in keys}
+    return [-1 if y == OUT and not sure.isdisjoint(keys) else y for y, keys in zip(own, g.keys)]
+
+
+def masked(text: str, spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Features of the phone numbers of a text in shorter forms, each in the place of the number."""
+    out = []
+    for a, kind, z in spans:
+        digits = _NOT_DIGIT.sub("", text[a:z])
+        if KINDS[kind] == "phone":
+            d = digits[-10:]
+            for form in (f"{d[-7:-4]}-{d[-4:]}", f"{d[:-7]}-{d[-7:-4]}-{d[-4:]}", d[-7:], d):
+                before = text[max(0, a - 40):a]
+                g = graph(before + form + text[z:z + 40])
+                out += [g.feats[k] for k in range(len(g.core)) if g.start[k] == len(before)]
+    return out
+
+
 def join(graphs: list[Graph]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature ids, their node, edges) of several documents as one graph."""
     ids, node, edges, base = [], [], [], 0
@@ -196,42 +226,86 @@ class Model:
     def scores(self, ids: np.ndarray, node: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(node, self.unary[ids, y], n) for y in range(LABELS)], axis=1)
 
-    def marginals(self, graphs: list[Graph], rounds: int = 30, damping: float = 0.5) -> np.ndarray:
-        """Beliefs of all nodes after loopy sum-product message passing."""
-        ids, node, edges = join(graphs)
-        n = sum(len(g.feats) for g in graphs)
-        local = self.scores(ids, node, n)
+    def settled(self, local: np.ndarray, edges: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Beliefs of all nodes after loopy sum-product messages; doc: the document of each node.
+
+        Every document is passed over until its own messages have settled, whatever the others need. Each hundred rounds
+        halve the step, so a document whose messages swing settles too."""
+        n = len(local)
         if len(edges):
-            src = np.r_[edges[:, 0], edges[:, 1]]
-            dst = np.r_[edges[:, 1], edges[:, 0]]
+            src, dst = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
             back = np.r_[len(edges):2 * len(edges), 0:len(edges)]
-            pot = np.concatenate((self.pair[edges[:, 2]], self.pair[edges[:, 2]].transpose(0, 2, 1)))
+            kind = np.r_[edges[:, 2], edges[:, 2]]
+            flip = np.arange(len(src)) >= len(edges)
             msg = np.zeros((len(src), LABELS))
-            for _ in range(rounds):
-                belief = local + np.stack([np.bincount(dst, msg[:, y], n) for y in range(LABELS)], axis=1)
-                out = (belief[src] - msg[back])[:, :, None] + pot
+            live = np.arange(len(src))
+            rounds = 0
+            while len(live):
+                belief = local + self._sums(dst[live], msg[live], n)
+                pot = np.where(flip[live, None, None], self.pair[kind[live]].transpose(0, 2, 1), self.pair[kind[live]])
+                out = (belief[src[live]] - msg[back[live]])[:, :, None] + pot
                 top = out.max(axis=1, keepdims=True)
                 new = (top + np.log(np.exp(out - top).sum(axis=1, keepdims=True)))[:, 0, :]
                 new -= new.max(axis=1, keepdims=True)
-                change = np.abs(new - msg).max()
-                msg = damping * msg + (1 - damping) * new
-                if change < 1e-3:
-                    break
-            local = local + np.stack([np.bincount(dst, msg[:, y], n) for y in range(LABELS)], axis=1)
+                change = np.zeros(int(doc.max()) + 1)
+                np.maximum.at(change, doc[src[live]], np.abs(new - msg[live]).max(axis=1))
+                step = 0.5 ** (1 + rounds // 100)
+                msg[live] += step * (new - msg[live])
+                live = live[step * change[doc[src[live]]] >= 5e-4]
+                rounds += 1
+            local = local + self._sums(dst, msg, n)
         p = np.exp(local - local.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
+    @staticmethod
+    def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(at, values[:, y], n) for y in range(LABELS)], axis=1)
 
-def fit(graphs: list[Graph], target: list[list[int]], rounds: int = 250, rate: float = 0.1,
+    def marginals(self, graphs: list[Graph], given: list[list[int]], sure: float = 0.9) -> np.ndarray:
+        """Beliefs of all nodes of several documents; given: each node's label by the patterns (OUT: none)."""
+        ids, node, edges = join(graphs)
+        sizes = [len(g.feats) for g in graphs]
+        n, doc = sum(sizes), np.repeat(np.arange(len(graphs)), sizes)
+        local = self.scores(ids, node, n)
+        label = np.array([y for own in given for y in own], np.int64)
+        alone = self.settled(self._held(local, label), edges[edges[:, 2] == CHAIN], doc)
+        label = np.where((label == OUT) & (alone.max(axis=1) >= sure), alone.argmax(axis=1), label)
+        base = 0
+        for g in graphs:
+            first: dict[str, int] = {}
+            for k, keys in enumerate(g.keys):
+                if label[base + k] != OUT:
+                    for key in keys:
+                        first.setdefault(key, base + k)
+            for k, keys in enumerate(g.keys):
+                # an edge to a node that is held fixed is a constant
+                for j in {first[key] for key in keys if key in first} - {base + k}:
+                    local[base + k] += self.pair[SKIP, label[j]]
+            base += len(g.keys)
+        return self.settled(self._held(local, label), edges, doc)
+
+    @staticmethod
+    def _held(local: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """The scores with the nodes of a label other than OUT held to it."""
+        out = local.copy()
+        held = label != OUT
+        out[held] = -60.0
+        out[held, label[held]] = 0.0
+        return out
+
+
+def fit(graphs: list[Graph], target: list[list[int]], hidden: list[list[int]] = (), rounds: int = 250, rate: float = 0.1,
         decay: float = 1e-3) -> Model:
-    """Maximum pseudo-likelihood by Adam: each node's label given its neighbours' labels."""
+    """Unary and chain weights by maximum pseudo-likelihood (Adam): each node's label given its neighbours'; nodes of an unknown label (-1)
+    are not learned from. The skip weight by `hidden`, the features of masked phone numbers."""
     model = Model(np.zeros((DIMS, LABELS)), np.zeros((2, LABELS, LABELS)))
     y = np.array([v for t in target for v in t], np.int64)
     if not len(y):
         return model
     ids, node, edges = join(graphs)
-    n = len(y)
-    one = np.eye(LABELS)[y]
+    n, known = len(y), y >= 0
+    edges = edges[(edges[:, 2] == CHAIN) & known[edges[:, 0]] & known[edges[:, 1]]]
+    one = np.eye(LABELS)[np.maximum(y, 0)]
     params = [model.unary, model.pair]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     a, b, kind = edges.T
@@ -242,7 +316,7 @@ def fit(graphs: list[Graph], target: list[list[int]], rounds: int = 250, rate: f
             s = s + np.stack([np.bincount(b, to_b[:, v], n) + np.bincount(a, to_a[:, v], n)
                               for v in range(LABELS)], axis=1)
         p = np.exp(s - s.max(axis=1, keepdims=True))
-        d = (one - p / p.sum(axis=1, keepdims=True)) / n
+        d = (one - p / p.sum(axis=1, keepdims=True)) / n * known[:, None]
         grads = [np.stack([np.bincount(ids, d[node, v], DIMS) for v in range(LABELS)], axis=1),
                  np.zeros_like(model.pair)]
         np.add.at(grads[1], (kind, y[a]), d[b])
@@ -252,6 +326,9 @@ def fit(graphs: list[Graph], target: list[list[int]], rounds: int = 250, rate: f
             m1 += 0.1 * (g - m1)
             m2 += 0.001 * (g * g - m2)
             q += rate * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.999 ** step)) + 1e-8)
+    phone = 1 + KINDS.index("phone")
+    against = [s.max() - s[phone] for s in (model.unary[f].sum(axis=0) for f in hidden)]
+    model.pair[SKIP] = np.eye(LABELS) * (max([LEAST_SKIP, *against]) + 2.0)
     return model
 
 

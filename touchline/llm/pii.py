@@ -23,7 +23,7 @@ def train(docs: DataFrame, sample_docs: int = 20_000) -> crf.Model:
     if not total:
         return crf.fit([], [])
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = docs.where(F.col("doc_id").isNotNull() & (spot < sample_docs / total)).select("text").limit(2 * sample_docs)
+    rows = docs.where(F.col("doc_id").isNotNull() & (spot < sample_docs / total)).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -33,15 +33,18 @@ def train(docs: DataFrame, sample_docs: int = 20_000) -> crf.Model:
                 g = crf.graph(t) if t and crf._ANY.search(t) else None
                 if g and 0 < len(g.core) <= SAMPLE_NODES:
                     flat = [f for f in g.feats]
-                    out.append({"feats": flat, "edges": [list(e) for e in g.edges], "labels": crf.labels(g, base)})
+                    out.append({"feats": flat, "edges": [list(e) for e in g.edges if e[2] == crf.CHAIN],
+                                "labels": crf.known_labels(g, base), "hidden": crf.masked(t, base)})
             yield pa.RecordBatch.from_pylist(out, pa.schema([
                 ("feats", pa.list_(pa.list_(pa.int32()))), ("edges", pa.list_(pa.list_(pa.int32()))),
-                ("labels", pa.list_(pa.int32()))]))
+                ("labels", pa.list_(pa.int32())), ("hidden", pa.list_(pa.list_(pa.int32())))]))
 
-    got = rows.mapInArrow(run, "feats array<array<int>>, edges array<array<int>>, labels array<int>").toArrow()
+    # features are made where the texts are; only they meet in one task
+    got = rows.mapInArrow(run, "feats array<array<int>>, edges array<array<int>>, labels array<int>, hidden array<array<int>>"
+                          ).limit(2 * sample_docs).toArrow()
     examples = sorted(got.to_pylist(), key=lambda r: (r["labels"], r["feats"]))
     graphs = [crf.Graph(feats=r["feats"], edges=[tuple(e) for e in r["edges"]]) for r in examples]
-    return crf.fit(graphs, [r["labels"] for r in examples])
+    return crf.fit(graphs, [r["labels"] for r in examples], [f for r in examples for f in r["hidden"]])
 
 
 def spans_of(texts: list[str], model: crf.Model) -> list[tuple[list, list]]:
@@ -57,7 +60,7 @@ def spans_of(texts: list[str], model: crf.Model) -> list[tuple[list, list]]:
                 graphs.append(g)
                 owners.append(k)
     if graphs:
-        belief, at = model.marginals(graphs), 0
+        belief, at = model.marginals(graphs, [crf.labels(g, out[k][0]) for k, g in zip(owners, graphs)]), 0
         for k, g in zip(owners, graphs):
             found = crf.added_spans(texts[k], g, belief[at:at + len(g.core)], out[k][0])
             out[k] = (out[k][0], found)
@@ -109,7 +112,7 @@ def find(docs: DataFrame, sample_docs: int = 20_000) -> DataFrame:
 
 def redacted(docs: DataFrame, sample_docs: int = 20_000) -> DataFrame:
     """All rows and columns of `docs`, with every span of `text` replaced by its kind; n_chars follows where there is
-    such a column. A null text stays null."""
+    such a column. A null text stays null. Repeated rows stay repeated; an empty table gives an empty one."""
     model = train(docs.select("doc_id", "text"), sample_docs)
     names = docs.columns
     own = docs.select(F.struct(*[F.col(f"`{n}`") for n in names if n != "text"]).alias("row"), "text")
