@@ -121,11 +121,16 @@ def _asked(key: np.ndarray, mark: np.ndarray, doc: np.ndarray, smaller: bool) ->
     size = np.diff(np.r_[at, len(key)])
     rank = np.arange(len(key)) - np.repeat(at, size)  # 0: the smallest document of the key
     if smaller:
-        return _batch([key, mark, doc, np.where(rank > 0, ANSWERED, ASKS).astype(np.int32)], _QUESTION)
-    shared = np.repeat(size > 1, size)
-    speaks = shared & (rank == 0)
-    return _batch([np.r_[key, key[speaks]], np.r_[mark, mark[speaks]], np.r_[doc, doc[speaks]],
-                   np.r_[np.where(shared, ANSWERED, ASKS), np.full(speaks.sum(), TELLS)].astype(np.int32)], _QUESTION)
+        columns = [key, mark, doc, np.where(rank > 0, ANSWERED, ASKS)]
+    else:
+        shared = np.repeat(size > 1, size)
+        speaks = shared & (rank == 0)
+        columns = [np.r_[key, key[speaks]], np.r_[mark, mark[speaks]], np.r_[doc, doc[speaks]],
+                   np.r_[np.where(shared, ANSWERED, ASKS), np.full(speaks.sum(), TELLS)]]
+    # neighbours of one document and kind: all but the key then repeats in the shuffle's blocks, which compress it away
+    order = np.lexsort((columns[3], columns[2]))
+    key, mark, doc, kind = (c[order] for c in columns)
+    return _batch([key, mark, doc, kind.astype(np.int32)], _QUESTION)
 
 
 def _answers(questions: DataFrame, smaller: bool) -> DataFrame:
