@@ -125,6 +125,16 @@ def write_layout(docs: DataFrame, old_shard: Column, per_shard: int, path: str)
         "block").parquet(path)
 
 
+def _among(ids: list[int]) -> Column:
+    """Whether `block` is one of `ids`, as a few ranges: a plan keeps and moves blocks of a shard in runs, at most two more
+    than it has flows, so the condition does not grow with the number of blocks."""
+    out, ids = F.lit(False), sorted(ids)
+    first = [k for k, b in enumerate(ids) if not k or ids[k - 1] != b - 1]
+    for a, z in zip(first, [*first[1:], len(ids)]):
+        out = out | F.col("block").between(ids[a], ids[z - 1])
+    return out
+
+
 def reshard(spark: SparkSession, path: str, per_shard: int, old: int, new: int) -> tuple[DataFrame, Plan]:
     """Reshard the layout at `path` to `new` shards of equal bytes.
 
@@ -138,7 +148,7 @@ def reshard(spark: SparkSession, path: str, per_shard: int, old: int, new: int)
     stays = [b for b, j in plan.whole.items() if j == b // per_shard]
     target = [(b, -1, j) for b, j in plan.whole.items() if j != b // per_shard]
     if plan.split:
-        parts = layout.where(F.col("block").isin(*plan.split)).groupBy("block", _fine().alias("fine")).agg(
+        parts = layout.where(_among(list(plan.split))).groupBy("block", _fine().alias("fine")).agg(
             F.sum(size_of(F.col("text"))).alias("bytes")).collect()
         by_block: dict[int, list[tuple[int, int]]] = {}
         for r in parts:
@@ -152,15 +162,15 @@ def reshard(spark: SparkSession, path: str, per_shard: int, old: int, new: int)
                     edge += runs[k][0]
                 target.append((b, fine, runs[k][1]))
                 at += size
-    kept = layout.where(F.col("block").isin(*stays) if stays else F.lit(False)).withColumn(
+    kept = layout.where(_among(stays)).withColumn(
         "shard", F.floor(F.col("block") / per_shard).cast("int"))
     if not target:
         return kept, plan
     moved_ids = sorted({b for b, _, _ in target})
     goes = spark.createDataFrame(target, "block int, _fine int, shard int")
     split_ids = sorted(plan.split)
-    fine = F.when(F.col("block").isin(*split_ids), _fine()).otherwise(F.lit(-1)) if split_ids else F.lit(-1)
-    moved = layout.where(F.col("block").isin(*moved_ids)).withColumn("_fine", fine).join(
+    fine = F.when(_among(split_ids), _fine()).otherwise(F.lit(-1))
+    moved = layout.where(_among(moved_ids)).withColumn("_fine", fine).join(
         F.broadcast(goes), ["block", "_fine"]).drop("_fine")  # bounded as above
     moved = moved.select(*[c for c in layout.columns if c != "block"], "shard", "block")
     folder = f"{path}-moved"
