@@ -34,3 +34,33 @@ def test_history_plan_has_no_python_and_no_unpartitioned_window(spark, sf):
     assert windows and all(spec.strip() for spec in windows)
     # team frames run per (team, chunk), never per team alone
     assert any("__chunk" in spec for spec in windows)
+
+
+def _side_features(df) -> set[str]:
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return {f for f in H.SIDE_FEATURES[1:] if re.search(rf"\bAS {f}#", plan)}
+
+
+def test_history_computes_what_is_asked(spark, sf):
+    v1 = P.features_v1(spark, sf)
+    four = {"cf_avg_5", "ca_avg_5"}  # of both sides
+    assert _side_features(H.history_features_v1(v1)) == four
+    assert _side_features(H.history_features_v1(v1, wanted=["expected_corners_total"])) == {"cf_avg_5"}
+    v3 = P.features_v3(spark, sf)
+    only = H.history_features_v3(v3, wanted=["h2h_corner_history"])
+    assert _side_features(only) == set() and only.columns == ["match_id", "h2h_corner_history"]
+    assert "__chunk" not in _plan(only)
+    total = H.history_features_v3(v3, wanted=["expected_total_corners"])
+    assert _side_features(total) == {"cf_avg_6", "ca_avg_6", "var_5"}
+    assert "p_lo" not in _plan(total)  # no pair window
+    full = {tuple(r) for r in H.history_features_v3(v3).select("match_id", "expected_total_corners").collect()}
+    assert {tuple(r) for r in total.collect()} == full
+
+
+def test_unshared_queries_write_no_history(spark, sf):
+    spark.conf.set("touchline.stage.reuse", "false")
+    try:
+        asked = P.history_tv(spark, sf, wanted=["h2h_avg_corners"])
+        assert asked.columns == ["match_id", "h2h_avg_corners"] and "__chunk" not in _plan(asked)
+    finally:
+        spark.conf.set("touchline.stage.reuse", "true")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.functions import quantiles as Q
 from touchline.functions.quantiles import exact_quantiles
 from touchline.operators import clean as C
 from touchline.operators import history as H
@@ -112,3 +113,43 @@ def test_presets_are_the_default_and_can_be_made_smaller():
     draws = [M.draw_params("classification", t) for t in range(200)]
     assert all(4 <= d["maxDepth"] <= 12 and 100 <= d["maxIter"] <= 1500 and 0.01 <= d["stepSize"] <= 0.3 for d in draws)
     assert 0.3 < np.mean([d["stepSize"] < 0.0548 for d in draws]) < 0.7  # uniform in the logarithm
+
+
+def test_wide_brackets_are_refined(spark):
+    rng = np.random.default_rng(3)
+    n = 30_000
+    data = {"normal": rng.normal(size=n), "ties": np.where(rng.random(n) < 0.6, 5.0, rng.normal(size=n) * 100), "few": rng.integers(0, 3, n) * 1.0}
+    df = spark.createDataFrame([tuple(float(data[c][i]) for c in data) + (float("nan"),) for i in range(n)],
+                               ", ".join(f"{c} DOUBLE" for c in data) + ", missing DOUBLE")
+    ps = [0.01, 0.25, 0.5, 0.75, 0.99]
+    calls = []
+    refine = Q._refine
+    Q._refine = lambda *a: (calls.append(1), refine(*a))
+    try:
+        got = exact_quantiles(df, df.columns, ps, accuracy=50, room=40)
+        assert calls  # a coarse sketch leaves too much inside
+        for c in data:
+            assert np.allclose(got[c], np.quantile(data[c], ps), rtol=1e-12, atol=1e-12), c
+        assert got["missing"] == [None] * len(ps)
+        calls.clear()
+        assert exact_quantiles(df, ["normal"], ps)["normal"] == pytest.approx(np.quantile(data["normal"], ps), rel=1e-12)
+        assert not calls  # two scans
+    finally:
+        Q._refine = refine
+
+
+def test_contingency_counts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(x) if x > -1.5 else None, float(k), int(y), float(z)) for x, k, y, z in zip(
+        rng.normal(size=3000), rng.integers(0, 4, 3000), rng.random(3000) < 0.3, rng.integers(0, 6, 3000))]
+    df = spark.createDataFrame(rows, "a DOUBLE, b DOUBLE, flag INT, total DOUBLE").repartition(5)
+    got = {(r["target"], r["feature"], r["bin"], r["y"]): r["n"] for r in SE.contingency(df, ["a", "b"], ["flag", "total"]).collect()}
+    want = {}
+    for j, f in enumerate(("a", "b")):
+        cuts = np.quantile([r[j] for r in rows if r[j] is not None], SE.DECILES)
+        for r in rows:
+            k = 0 if r[j] is None else int(sum(c < r[j] - 1e-12 for c in cuts))
+            for t, y in (("flag", float(r[2])), ("total", r[3])):
+                want[t, f, k, y] = want.get((t, f, k, y), 0) + 1
+    assert got == want
+    assert SE.contingency(df.limit(0), ["a", "b"], ["flag"]).count() == 0

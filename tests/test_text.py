@@ -68,3 +68,18 @@ def test_hot_conversation_is_split_and_linear(spark):
     assert T.active_adjustments(msgs, rules).count() == sum(map(len, tags.values()))
     by_type = T.adjustments_by_type(msgs, rules).collect()
     assert by_type and all(r["descriptions"].count(";") < 19 for r in by_type)
+
+
+def test_no_join_is_on_the_conversation_alone(spark):
+    """A conversation of a third of all turns meets its facts by bucket of turns."""
+    rows = [(1, i, "rain" if i % 3 else "predict") for i in range(300)] + [(2, 0, "predict")]
+    msgs = spark.createDataFrame(rows, SCHEMA)
+    rules = adjustment_rules(spark)
+    base = spark.createDataFrame([(1, 10.0), (2, 8.0)], "conv_id BIGINT, original_prediction DOUBLE")
+    mult = T.total_multiplier(msgs, rules)
+    small = T._with_facts(mult, base, ["conv_id"], "predict_turn", bucket_turns=7)
+    assert sorted(tuple(r) for r in small.select(mult.columns).collect()) == sorted(tuple(r) for r in mult.collect())
+    plan = T.adjust_total(mult, base)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__fb" in plan
+    # the rows themselves are joined by conversation and bucket only
+    assert T._with_facts(mult, base.where("conv_id = 2"), ["conv_id"], "predict_turn").count() == 1

@@ -1,83 +1,169 @@
-"""Exact interpolated quantiles of many columns without a task that holds a column's values.
+"""Exact interpolated quantiles of many columns in two scans, without a task that holds a column's values.
 
-Approximate quantiles (a mergeable sketch of fixed size) bracket each wanted rank;
-the values below a bracket are only counted, and the values inside it - about
-4 / accuracy of the rows - are counted by value and ranked. The answer is that of
-an exact `percentile`: linear interpolation between the two neighbouring ranks.
+The first scan is one aggregate of the wide table: for each column its count and a mergeable sketch of fixed size
+(`percentile_approx`), from which a ladder of brackets is read around each wanted rank. The second counts, column by
+column in arrays, the values below each bracket and those inside it by value; partial counts are made per partition
+and only they are shuffled. A bracket that may hold more than `room` values is refined by another sketch of the
+values inside it first, so the ranking at the end works on a fixed number of values whatever the table's
+size. The answer is that of an exact `percentile`: linear interpolation between the two neighbouring ranks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+LADDER = 5      # widths of brackets asked of a sketch, each eight times the one before
+GRID = 129      # points asked of a sketch of the values inside a bracket
 
-def stacked(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, value): one row per row and column."""
-    body = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-    return df.selectExpr(f"stack({len(columns)}, {body}) AS (feature, value)")
 
+@dataclass
+class Bracket:
+    """Values between `lo` and `hi` among which ranks `r0` and `r1` (0-based) of a column lie."""
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
-                    accuracy: int = 10_000) -> dict[str, list[float | None]]:
-    """{column: quantiles in the order of `probabilities`}; None where a column has no value. NULLs are left out.
+    column: str
+    k: int          # which probability
+    r0: int
+    r1: int
+    lo: float
+    hi: float
+    most: float     # of the rows inside
 
-    Only a few numbers per column and probability reach the driver."""
-    if not columns:
-        return {}
-    size = df.selectExpr(*[f"count(`{c}`) AS `{c}`" for c in columns]).first().asDict()
-    known = [c for c in columns if size[c]]
-    if not known:
-        return {c: [None] * len(probabilities) for c in columns}
-    # the sketch's error in ranks, and two whole ranks for the rounding of few rows
-    slack = {c: 2.0 / accuracy + 2.0 / size[c] for c in known}
-    edges = {c: ", ".join(f"{min(max(p + d, 0.0), 1.0)!r}D" for p in probabilities for d in (-slack[c], slack[c]))
-             for c in known}
-    sketch = df.selectExpr(*[f"percentile_approx(CAST(`{c}` AS DOUBLE), array({edges[c]}), {accuracy}) AS `{c}`"
-                             for c in known]).first()
-    brackets = []
-    for c in known:
-        n = size[c]
+
+def _number(c: str) -> str:
+    """The column as double; NaN counts as missing, like NULL."""
+    return f"nullif(CAST(`{c}` AS DOUBLE), double('NaN'))"
+
+
+def _brackets(df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int) -> tuple[dict[str, int], list[Bracket]]:
+    """Counts of the columns, and a bracket for each column with values and each probability. One scan."""
+    steps = [2.5 / accuracy * 8 ** s for s in range(LADDER)]
+    points = [min(max(p + d, 0.0), 1.0) for p in probabilities for s in steps for d in (-s, s)]
+    asked = ", ".join(f"{x!r}D" for x in points)
+    row = df.selectExpr(*[f"{_number(c)} AS `{c}`" for c in columns]).selectExpr(*[x for k, c in enumerate(columns) for x in (
+        f"count(`{c}`) AS n{k}", f"percentile_approx(`{c}`, array({asked}), {accuracy}) AS q{k}")]).first()
+    size = {c: row[f"n{k}"] for k, c in enumerate(columns)}
+    out = []
+    for j, c in enumerate(columns):
+        n, values = size[c], row[f"q{j}"]
+        if not n:
+            continue
         for k, p in enumerate(probabilities):
-            lo = sketch[c][2 * k] if p - slack[c] > 0 else -math.inf
-            hi = sketch[c][2 * k + 1] if p + slack[c] < 1 else math.inf
-            brackets.append((c, k, lo, hi, math.floor(p * (n - 1)), math.ceil(p * (n - 1))))
-    # one small row for each column and probability, or for each column
-    table = df.sparkSession.createDataFrame(brackets, "feature STRING, k INT, lo DOUBLE, hi DOUBLE, r0 BIGINT, r1 BIGINT")
-    lows = {c: [lo for f, _, lo, *_ in brackets if f == c] for c in known}
-    wide = df.sparkSession.createDataFrame(
-        [(c, *lows[c]) for c in known], "feature STRING, " + ", ".join(f"lo{k} DOUBLE" for k in range(len(probabilities))))
-    below = stacked(df, known).join(F.broadcast(wide), "feature").groupBy("feature").agg(
-        *[F.count_if(F.col("value") < F.col(f"lo{k}")).alias(f"b{k}") for k in range(len(probabilities))])
-    under = df.sparkSession.createDataFrame(
-        [(r["feature"], k, r[f"b{k}"]) for r in below.collect() for k in range(len(probabilities))],
-        "feature STRING, k INT, under BIGINT")
-    inside = stacked(df, known).join(F.broadcast(table.join(under, ["feature", "k"])), "feature").where(
-        "value >= lo AND value <= hi")
-    counts = inside.groupBy("feature", "k", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.first("r0").alias("r0"), F.first("r1").alias("r1"),
-        F.first("under").alias("under"))
-    upto = F.col("under") + F.sum("n").over(Window.partitionBy("feature", "k").orderBy("value").rowsBetween(
+            # the sketch's error in ranks, and two whole ranks for the rounding of few rows
+            fit = next((s for s, step in enumerate(steps) if step >= 2.0 / accuracy + 2.0 / n), None)
+            lo, hi, most = -math.inf, math.inf, float(n)
+            if fit is not None:
+                at = 2 * (k * LADDER + fit)
+                lo = values[at] if p - steps[fit] > 0 else lo
+                hi = values[at + 1] if p + steps[fit] < 1 else hi
+                most = min(most, n * (2 * steps[fit] + 4.0 / accuracy) + 4)
+            out.append(Bracket(c, k, math.floor(p * (n - 1)), math.ceil(p * (n - 1)), lo, hi, most))
+    return size, out
+
+
+def _refine(df: DataFrame, brackets: list[Bracket], accuracy: int) -> None:
+    """Narrow the brackets by a sketch of the values inside each. One scan."""
+    grid = [g / (GRID - 1) for g in range(GRID)]
+    asked = ", ".join(f"{x!r}D" for x in grid)
+    exprs = []
+    for k, b in enumerate(brackets):
+        x = _number(b.column)
+        inside = f"CASE WHEN {x} >= {literal(b.lo)} AND {x} <= {literal(b.hi)} THEN {x} END"
+        exprs += [f"count_if({x} < {literal(b.lo)}) AS u{k}", f"count({inside}) AS n{k}",
+                  f"percentile_approx({inside}, array({asked}), {accuracy}) AS q{k}"]
+    row = df.selectExpr(*exprs).first()
+    for k, b in enumerate(brackets):
+        n, under, values = row[f"n{k}"], row[f"u{k}"], row[f"q{k}"]
+        slack = 2.0 / accuracy + 2.0 / n
+        low, high = (b.r0 - under) / n - slack, (b.r1 - under + 1) / n + slack
+        first = max((g for g in range(GRID) if grid[g] <= low), default=None)
+        last = min((g for g in range(GRID) if grid[g] >= high), default=None)
+        b.lo = b.lo if first is None else values[first]
+        b.hi = b.hi if last is None else values[last]
+        b.most = n * (high - low + 2.0 / (GRID - 1) + 4.0 / accuracy) + 4
+
+
+def _counted(df: DataFrame, brackets: list[Bracket]) -> DataFrame:
+    """(b, value, n): how often each value stands inside bracket b; a NULL value: the values below the bracket. One scan."""
+    columns = sorted({b.column for b in brackets})
+    own = {c: [k for k, b in enumerate(brackets) if b.column == c] for c in columns}
+    lows, highs = np.array([b.lo for b in brackets]), np.array([b.hi for b in brackets])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        under = np.zeros(len(lows), np.int64)
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in lows]
+        for batch in batches:
+            for j, c in enumerate(columns):
+                x = batch.column(j).to_numpy(zero_copy_only=False)
+                x = np.sort(x[~np.isnan(x)])
+                ks = own[c]
+                first, last = np.searchsorted(x, lows[ks], "left"), np.searchsorted(x, highs[ks], "right")
+                under[ks] += first
+                for k, a, z in zip(ks, first, last):
+                    if z > a:
+                        held[k].append(np.unique(x[a:z], return_counts=True))
+                        if len(held[k]) > 64:
+                            held[k] = [_merged(held[k])]
+        parts = [(k, *_merged(h)) for k, h in enumerate(held) if h]
+        b = np.concatenate([np.arange(len(lows)), *[np.full(len(v), k) for k, v, _ in parts]])
+        value = np.concatenate([np.full(len(lows), np.nan), *[v for _, v, _ in parts]])
+        n = np.concatenate([under, *[c for *_, c in parts]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(b, pa.int32()), pa.array(value, from_pandas=True), pa.array(n, pa.int64())], ["b", "value", "n"])
+
+    wide = df.selectExpr(*[f"{_number(c)} AS `{c}`" for c in columns])
+    return wide.mapInArrow(run, "b int, value double, n long").groupBy("b", "value").agg(F.sum("n").alias("n"))
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    values, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    return values, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int = 10_000,
+                    room: int = 100_000) -> dict[str, list[float | None]]:
+    """{column: quantiles in the order of `probabilities`}; None where a column has no value. NULL and NaN are left out.
+
+    Two scans of `df`, and one more for each time that some bracket may hold over `room` rows (beyond about 2 x 10^8
+    rows). Only a few numbers per column and probability reach the driver."""
+    out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
+    if not columns:
+        return out
+    size, brackets = _brackets(df, columns, probabilities, accuracy)
+    if not brackets:
+        return out
+    while wide := [b for b in brackets if b.most > room and b.lo < b.hi]:
+        before = [b.most for b in wide]
+        _refine(df, wide, accuracy)
+        if all(b.most >= m for b, m in zip(wide, before)):
+            break  # as narrow as the sketch can tell; what is left is counted by value
+    # the values of a bracket are ranked in one window of at most `room` rows
+    facts = df.sparkSession.createDataFrame([(k, b.r0, b.r1) for k, b in enumerate(brackets)], "b INT, r0 BIGINT, r1 BIGINT")
+    upto = F.sum("n").over(Window.partitionBy("b").orderBy(F.col("value").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("n"))
+    # one row for each column and probability
+    ranked = _counted(df, brackets).withColumn("upto", upto).join(F.broadcast(facts), "b")
 
     def at(r: str):
-        return F.max(F.when((F.col("start") <= F.col(r)) & (F.col(r) < F.col("upto")), F.col("value")))
+        return F.max(F.when((F.col("upto") - F.col("n") <= F.col(r)) & (F.col(r) < F.col("upto")), F.col("value")))
 
-    out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    for row in ranked.groupBy("feature", "k").agg(at("r0").alias("v0"), at("r1").alias("v1")).collect():
-        position = probabilities[row["k"]] * (size[row["feature"]] - 1)
+    for row in ranked.groupBy("b").agg(at("r0").alias("v0"), at("r1").alias("v1")).collect():
+        b, v0, v1 = brackets[row["b"]], row["v0"], row["v1"]
+        if v0 is None or v1 is None:
+            raise RuntimeError(f"a bracket of {b.column} missed its rank; did the input change between two scans?")
+        position = probabilities[b.k] * (size[b.column] - 1)
         low, high = math.floor(position), math.ceil(position)
-        v0, v1 = row["v0"], row["v1"]
-        out[row["feature"]][row["k"]] = v0 if low == high or v0 == v1 else \
-            (high - position) * v0 + (position - low) * v1
+        out[b.column][b.k] = v0 if low == high or v0 == v1 else (high - position) * v0 + (position - low) * v1
     return out
 
 
-def _literal(x: float) -> str:
+def literal(x: float) -> str:
     return f"double('{'Infinity' if x > 0 else '-Infinity'}')" if math.isinf(x) else f"{x!r}D"
-
-
-literal = _literal

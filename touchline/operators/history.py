@@ -22,6 +22,9 @@ matches) is `when(prior >= N, ...)`, prior being the position.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,7 +157,7 @@ def _side_expressions() -> dict[str, tuple[int, str, float]]:
 
 
 def team_history(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, features=None) -> DataFrame:
-    """Per (match, side): every per-team history value used by any variant.
+    """Per (match, side): the per-team history values `features` (None: those used by any variant).
 
     All frames are bounded (at most HALO rows back) and share one window
     partitioning (team, chunk) and order (prior), so Spark plans one sort and
@@ -244,17 +247,35 @@ def pair_history(df: DataFrame) -> DataFrame:
 
 # -- assembled feature sets per variant --------------------------------------
 
-def _with_history(df: DataFrame, chunk_rows: int, pairs: bool) -> DataFrame:
-    wide = sides_wide(team_history(df, chunk_rows))
-    out = df.join(wide, "match_id")
-    if pairs:
-        out = out.join(pair_history(df), "match_id")
-    return out
+PAIR_FEATURES = ["familiarity", "h2h_corner_history", "h2h_avg_corners", "h2h_matches_count"]
+
+
+def side_features_of(cols: dict[str, Column]) -> dict[str, set[str]]:
+    """Output -> the side features (h_<f>, a_<f>) and pair features that its expression reads."""
+    return {name: (set(re.findall(r"\b[ha]_(\w+)", str(v))) & set(SIDE_FEATURES)) | (set(re.findall(r"\w+", str(v))) & set(PAIR_FEATURES))
+            for name, v in cols.items()}
+
+
+def _assembled(df: DataFrame, cols: dict[str, Column], chunk_rows: int, wanted: Iterable[str] | None,
+               keep: list[str]) -> DataFrame:
+    """`keep` of df and the outputs `wanted` (None: all), with no more history than these need: only the side features that they
+    read are computed, the team windows are left out if there are none, and so are the pair windows."""
+    if wanted is not None:
+        wanted = set(wanted)
+        cols, keep = {k: v for k, v in cols.items() if k in wanted}, [f for f in keep if f in wanted or f == "match_id"]
+    used = set().union(*side_features_of(cols).values())
+    sides = [f for f in SIDE_FEATURES if f in used]
+    x = df
+    if sides:
+        x = x.join(sides_wide(team_history(df, chunk_rows, sides), tuple(sides)), "match_id")
+    if used & set(PAIR_FEATURES):
+        x = x.join(pair_history(df).select("match_id", *[f for f in PAIR_FEATURES if f in used]), "match_id")
+    return x.select(*keep, *[v.alias(k) for k, v in cols.items()])
 
 
-def history_features_v3(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def history_features_v3(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
+                        wanted: Iterable[str] | None = None) -> DataFrame:
     """W1, W4-W11, W14-W17, W19, W21 plus F21 / F22 (chatbot and v3)."""
-    x = _with_history(df, chunk_rows, pairs=True)
     c = F.col
     cols = {}
     for side, p in (("home", "h_"), ("away", "a_")):
@@ -287,12 +308,12 @@ def history_features_v3(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) ->
     cols["referee_corner_tendency"] = F.lit(0.0)
     cols["venue_corner_factor"] = F.lit(0.0)
     cols["rest_impact_factor"] = F.lit(0.0)
-    return x.select(*df.columns, *[v.alias(k) for k, v in cols.items()])
+    return _assembled(df, cols, chunk_rows, wanted, df.columns)
 
 
-def history_features_v2(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def history_features_v2(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
+                        wanted: Iterable[str] | None = None) -> DataFrame:
     """v2: W1, W4, W5, W6, base expected total, W21; familiarity stays 0."""
-    x = _with_history(df, chunk_rows, pairs=False)
     c = F.col
     cols = {}
     for side, p in (("home", "h_"), ("away", "a_")):
@@ -307,12 +328,12 @@ def history_features_v2(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) ->
     cols["corner_advantage_home"] = hf - ha
     cols["corner_advantage_away"] = af - aa
     cols["teams_familiarity"] = F.lit(0.0)
-    return x.select(*df.columns, *[v.alias(k) for k, v in cols.items()])
+    return _assembled(df, cols, chunk_rows, wanted, df.columns)
 
 
-def history_features_tv(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def history_features_tv(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
+                        wanted: Iterable[str] | None = None) -> DataFrame:
     """tv: W1, W3, W4, W5 (3, 6), W6 (6), W8, W12, W13, W17, W18, W20."""
-    x = _with_history(df, chunk_rows, pairs=True)
     c = F.col
     cols = {}
     for side, p in (("home", "h_"), ("away", "a_")):
@@ -339,13 +360,12 @@ def history_features_tv(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) ->
 
     cols["expected_corners_base"] = (pos_or(c("h_cf_avg_6"), 5.0) + pos_or(c("a_ca_avg_6"), 5.0)
                                      + pos_or(c("a_cf_avg_6"), 4.5) + pos_or(c("h_ca_avg_6"), 4.5)) / 2
-    keep = [f for f in df.columns if f not in cols]
-    return x.select(*keep, *[v.alias(k) for k, v in cols.items()])
+    return _assembled(df, cols, chunk_rows, wanted, [f for f in df.columns if f not in cols])
 
 
-def history_features_v1(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def history_features_v1(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
+                        wanted: Iterable[str] | None = None) -> DataFrame:
     """v1: W2 (last 5, for / against) and W22."""
-    x = _with_history(df, chunk_rows, pairs=False)
     c = F.col
     hf, ha, af, aa = c("h_cf_avg_5"), c("h_ca_avg_5"), c("a_cf_avg_5"), c("a_ca_avg_5")
     cols = {
@@ -354,7 +374,7 @@ def history_features_v1(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) ->
         "expected_corners_total": hf + af,
         "corner_strength_diff": (hf - ha) - (af - aa),
     }
-    return x.select(*df.columns, *[v.alias(k) for k, v in cols.items()])
+    return _assembled(df, cols, chunk_rows, wanted, df.columns)
 
 
 __all__ = [

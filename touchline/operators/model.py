@@ -227,37 +227,3 @@ def draw_params(mode: str, trial: int, seed: int = 42) -> dict:
             "maxIter": rng.randint(*space["maxIter"]),
             "subsamplingRate": rng.uniform(*space["subsamplingRate"]),
             "minInstancesPerNode": rng.randint(*space["minInstancesPerNode"])}
-
-
-def param_search(df: DataFrame, features: list[str], label: str, mode: str = "classification",
-                 n_trials: int | None = None, n_splits: int = 5, max_trees: int | None = None,
-                 max_depth: int | None = None, seed: int = 42) -> DataFrame:
-    """M15 (re-aimed): seeded random draws, each scored by its mean fold accuracy or R2; `best` marks the best one.
-
-    Defaults are the reference's ranges and numbers of trials; `n_trials`, `n_splits`, `max_trees` and `max_depth`
-    bound the work, and the drawn values after that bound are in the result."""
-    data = df.join(time_series_folds(df.select("match_id", "date_gmt"), n_splits), "match_id")
-    learner = GBTClassifier if mode == "classification" else GBTRegressor
-    rows = []
-    for trial in range(n_trials or TRIALS[mode]):
-        params = draw_params(mode, trial, seed)
-        params["maxIter"] = min(params["maxIter"], max_trees or params["maxIter"])
-        params["maxDepth"] = min(params["maxDepth"], max_depth or params["maxDepth"])
-        scores = []
-        for fold in range(n_splits):
-            part = data.where(F.col("fold") == fold)
-            m = learner(featuresCol="features", labelCol=label, seed=seed, **params).fit(
-                assemble(part.where(F.col("role") == "train"), features))
-            pred = m.transform(assemble(part.where(F.col("role") == "test"), features))
-            if mode == "classification":
-                score = pred.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-            else:
-                score = regression_metrics(pred, y=label).first()["r2"]
-            scores.append(float(score) if score is not None else 0.0)
-        rows.append((trial, params["maxDepth"], params["stepSize"], params["maxIter"], params["subsamplingRate"],
-                     params["minInstancesPerNode"], sum(scores) / len(scores)))
-    best = max(range(len(rows)), key=lambda k: (rows[k][-1], -k))
-    return df.sparkSession.createDataFrame(
-        [(*r, int(k == best)) for k, r in enumerate(rows)],
-        "trial INT, max_depth INT, step_size DOUBLE, trees INT, subsampling_rate DOUBLE, min_instances INT, "
-        "mean_score DOUBLE, best INT")

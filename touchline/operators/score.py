@@ -48,14 +48,14 @@ def request_features_tv(requests: DataFrame, numeric: list[str], categorical: li
           else F.lit(TV_CATEGORY_DEFAULTS.get(c, "Unknown")).alias(c) for c in categorical])
 
 
-def line_scores(features: DataFrame, lines=tuple(CORNER_LINES)) -> DataFrame:
-    """Model-free member probabilities per (match, line), FIXTURES.md §4."""
+def line_scores(features: DataFrame, lines=tuple(CORNER_LINES), spread: float = 0.05) -> DataFrame:
+    """Model-free member probabilities per (match, line), FIXTURES.md §4; `spread`: how far the members stand apart."""
     lines_arr = F.array(*[F.lit(float(L)) for L in lines])
     x = features.select("match_id", "expected_total_corners", F.explode(lines_arr).alias("line"))
     p1 = 1 / (1 + F.exp((F.col("line") - F.col("expected_total_corners")) / 2))
     return x.select("match_id", "line", p1.alias("p1")).select(
-        "match_id", "line", "p1", F.least(F.lit(0.99), F.col("p1") + 0.05).alias("p2"),
-        F.greatest(F.lit(0.01), F.col("p1") - 0.05).alias("p3"))
+        "match_id", "line", "p1", F.least(F.lit(0.99), F.col("p1") + spread).alias("p2"),
+        F.greatest(F.lit(0.01), F.col("p1") - spread).alias("p3"))
 
 
 def request_features(requests: DataFrame, features: list[str]) -> DataFrame:
@@ -100,26 +100,40 @@ def line_decision(scores: DataFrame, p: str = "p1", threshold: float = 0.6) -> D
         (F.abs(over - 0.5) * 2).alias("edge"))
 
 
-def ensemble_decision(scores: DataFrame, accuracies=tuple(MEMBER_ACCURACIES), threshold: float = 0.62) -> DataFrame:
-    """P4 + P5: weighted member probability (weights = accuracy / sum) and consensus."""
-    total = sum(accuracies)
-    w = [a / total for a in accuracies]
-    members = [F.col("p1"), F.col("p2"), F.col("p3")]
-    prob = w[0] * members[0] + w[1] * members[1] + w[2] * members[2]
-    n_over = sum((m > 0.5).cast("int") for m in members)
+def _ensemble(scores: DataFrame, probability, n_over, consensus, threshold: float) -> DataFrame:
     over = F.col("__p")
     under = 1 - over
-    return scores.withColumn("__p", prob).select(
+    return scores.withColumn("__p", probability).select(
         "match_id", "line", over.alias("over_probability"), under.alias("under_probability"),
         F.when(over > 0.5, "Over").otherwise("Under").alias("prediction"),
         F.greatest(over, under).alias("confidence"),
         F.when(over > threshold, "Over").when(under > threshold, "Under").otherwise("Skip").alias("recommended"),
         (F.abs(over - 0.5) * 2).alias("edge"),
-        ((n_over == 0) | (n_over == 3)).cast("int").alias("consensus"),
-        F.when((n_over == 0) | (n_over == 3), F.lit("CONSENSUS"))
+        consensus.cast("int").alias("consensus"),
+        F.when(consensus, F.lit("CONSENSUS"))
         .otherwise(F.concat(F.lit("Split("), n_over.cast("string"), F.lit("/3)"))).alias("special_info"))
 
 
+def ensemble_decision(scores: DataFrame, accuracies=tuple(MEMBER_ACCURACIES), threshold: float = 0.62) -> DataFrame:
+    """P4 + P5: weighted member probability (weights = accuracy / sum) and consensus."""
+    total = sum(accuracies)
+    w = [a / total for a in accuracies]
+    members = [F.col("p1"), F.col("p2"), F.col("p3")]
+    prob = w[0] * members[0] + w[1] * members[1] + w[2] * members[2]
+    n_over = sum((m > 0.5).cast("int") for m in members)
+    return _ensemble(scores, prob, n_over, (n_over == 0) | (n_over == 3), threshold)
+
+
+def weighted_decision(scores: DataFrame, threshold: float = 0.62) -> DataFrame:
+    """P4 + P5 for fitted members: `scores(match_id, line, p1..p3, w1..w3)`, the weights of a line's members summing to 1; a NULL
+    member is one that the line does not have. Consensus: all members that there are on one side."""
+    members, weights = [F.col(f"p{k}") for k in (1, 2, 3)], [F.col(f"w{k}") for k in (1, 2, 3)]
+    prob = sum((F.coalesce(p * w, F.lit(0.0)) for p, w in zip(members, weights)), F.lit(0.0))
+    n_over = sum((F.coalesce((p > 0.5).cast("int"), F.lit(0)) for p in members), F.lit(0))
+    there = sum((p.isNotNull().cast("int") for p in members), F.lit(0))
+    return _ensemble(scores, prob, n_over, (n_over == 0) | (n_over == there), threshold)
+
+
 def all_lines(scores: DataFrame, hard=tuple(HARD_LINES)) -> DataFrame:
     """Hard lines use the ensemble decision, the others the single model."""
     is_hard = F.col("line").isin(*[float(h) for h in hard])
@@ -130,6 +144,16 @@ def all_lines(scores: DataFrame, hard=tuple(HARD_LINES)) -> DataFrame:
                                               .cast("int"))
 
 
+def fitted_lines(scores: DataFrame, hard=tuple(HARD_LINES)) -> DataFrame:
+    """`all_lines` for fitted members: hard lines by `weighted_decision`, the others by their one model."""
+    is_hard = F.col("line").isin(*[float(h) for h in hard])
+    single = line_decision(scores.where(~is_hard)).withColumns(
+        {"consensus": F.lit(None).cast("int"), "special_info": F.lit("Standard")})
+    return single.unionByName(weighted_decision(scores.where(is_hard))).withColumn(
+        "is_hard_line", F.col("line").isin(*[float(h) for h in hard]).cast("int"))
+
+
+# The least confidence and edge of the tiers, by kind of line.
 def bet_tier_col():
     conf, edge = F.col("confidence"), F.col("edge")
     hard = F.col("is_hard_line") == 1

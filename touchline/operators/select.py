@@ -1,15 +1,19 @@
 """Feature scoring, selection and encoding (K2, M1-M8).
 
 Every score is one aggregate over the (wide) feature matrix that returns one
-small row per feature; nothing per-row reaches the driver. Long forms are
-built with `stack` right before a partial aggregation, so the widened rows
-are combined map-side before any shuffle.
+small row per feature; nothing per-row reaches the driver. Mutual information
+comes from contingency tables that each task counts over its columns as arrays,
+so no row is widened and only counts are shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,60 +57,59 @@ def f_classif_scores(df: DataFrame, features: list[str], target: str) -> DataFra
     return long.select("feature", F.when((ss_within > 0) & (n > 2), ss_between / (ss_within / (n - 2))).alias("f_score"))
 
 
-R9 = "floor({x} * 1000000000.0 + 0.5) / 1000000000.0"
+def _nine_decimals(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e9 + 0.5) / 1e9
 
 
-def binned_long(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    """(keep..., feature, bin): the decile bin 0..9 of every feature value.
+def contingency(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
+    """(target, feature, bin, y, n): how many rows have feature bin 0..9 and target value y.
 
-    Values are stacked to (feature, value) first and joined with the decile
-    cut points of their feature (a broadcast of one row per feature), so the
-    bin is one small expression. Cut points and values are compared at 9
-    decimals, so an interpolated cut that lands on a data value gives the
-    same bin whatever the engine's last bit.
-    """
-    n = len(DECILES)
+    Bins are the feature's exact deciles: the number of cut points below the value, 0 for a missing one. Cut points and
+    values are compared at 9 decimals, so an interpolated cut that lands on a data value gives the same bin whatever the
+    engine's last bit. One pass over the wide matrix in Arrow batches: a task bins each column as an array, counts the pairs of bins and
+    target values, and sends its counts once, at most features x bins x distinct target values rows; no row of
+    the matrix is widened or shuffled."""
     cuts = exact_quantiles(df, features, DECILES)
-    # one row per feature
-    cut_cols = df.sparkSession.createDataFrame(
-        [(f, *cuts[f]) for f in features], "feature STRING, " + ", ".join(f"c{k} DOUBLE" for k in range(n)))
-    cut_cols = cut_cols.selectExpr("feature", *[f"{R9.format(x=f'c{k}')} AS c{k}" for k in range(n)])
-    long = _stack(df, keep, {f: f"CAST(`{f}` AS DOUBLE)" for f in features}, ("feature", "value"))
-    x = R9.format(x="value")
-    terms = " + ".join(f"CASE WHEN c{k} < {x} THEN 1 ELSE 0 END" for k in range(n))
-    return long.join(F.broadcast(cut_cols), "feature").selectExpr(
-        *[f"`{k}`" for k in keep], "feature", f"CASE WHEN value IS NULL THEN 0 ELSE {terms} END AS bin")
-
-
-def binned(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    """Wide form of `binned_long`: one bin column per feature (for inspection)."""
-    long = binned_long(df.withColumn("__row", F.monotonically_increasing_id()), features, [*keep, "__row"])
-    return long.groupBy("__row", *keep).pivot("feature", features).agg(F.first("bin")).drop("__row")
-
-
-def mutual_information(df: DataFrame, features: list[str], targets: list[str], binary: bool = False) -> DataFrame:
+    edges = [None if cuts[f][0] is None else _nine_decimals(np.array(cuts[f], float)) for f in features]
+    bins = len(DECILES) + 1
+    n_features = len(features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[dict[float | None, np.ndarray]] = [{} for _ in targets]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = np.zeros((n_features, batch.num_rows), np.int64)  # feature and bin of every value as one number
+            for j, edge in enumerate(edges):
+                x = batch.column(j).to_numpy(zero_copy_only=False)
+                if edge is not None:
+                    cells[j] = np.where(np.isnan(x), 0, np.searchsorted(edge, _nine_decimals(x), "left"))
+                cells[j] += j * bins
+            for t in range(len(targets)):
+                y = batch.column(n_features + t).to_numpy(zero_copy_only=False)
+                for value in np.unique(y).tolist():
+                    rows = np.isnan(y) if math.isnan(value) else y == value
+                    found = np.bincount(cells[:, rows].ravel(), minlength=n_features * bins)
+                    key = None if math.isnan(value) else value
+                    counts[t][key] = counts[t].get(key, 0) + found
+        out = [(t, *divmod(int(c), bins), y, int(own[c])) for t, by in enumerate(counts) for y, own in by.items()
+               for c in np.flatnonzero(own)]
+        columns = list(zip(*out)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([targets[t] for t in columns[0]], pa.string()), pa.array([features[f] for f in columns[1]], pa.string()),
+             pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int64())],
+            ["target", "feature", "bin", "y", "n"])
+
+    wide = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate([*features, *targets])])
+    parts = wide.mapInArrow(run, "target string, feature string, bin int, y double, n long")
+    return parts.groupBy("target", "feature", "bin", "y").agg(F.sum("n").alias("n"))
+
+
+def mutual_information(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
     """M3 / M4 (re-aimed): discrete MI between the decile bin of each feature
-    and each target, sum p(b,y) ln(p(b,y) / (p(b) p(y))), one job for all targets.
-
-    Rows are widened to (target, feature, bin, y) only inside the map stage and
-    counted there (partial aggregation); the shuffle carries counts.
-    """
-    if binary:
-        # 0/1 targets: one row per (feature, bin) carries every target's count of
-        # ones, so rows widen by the feature count only, not features x targets
-        long = binned_long(df, features, targets)
-        per_bin = long.groupBy("feature", "bin").agg(
-            F.count(F.lit(1)).alias("__n"), *[F.sum(F.col(t).cast("long")).alias(f"__p_{t}") for t in targets])
-        pairs = ", ".join(f"'{t}', `__p_{t}`" for t in targets)
-        ones = per_bin.selectExpr("feature", "bin", "__n", f"stack({len(targets)}, {pairs}) AS (target, ones)")
-        counts = ones.select("target", "feature", "bin", F.explode(F.array(
-            F.struct(F.lit(1.0).alias("y"), F.col("ones").alias("n_by")),
-            F.struct(F.lit(0.0).alias("y"), (F.col("__n") - F.col("ones")).alias("n_by")))).alias("c")) \
-            .select("target", "feature", "bin", "c.y", "c.n_by").where(F.col("n_by") > 0)
-    else:
-        long = binned_long(df, features, targets)
-        long = _stack(long, ["feature", "bin"], {t: f"CAST(`{t}` AS DOUBLE)" for t in targets}, ("target", "y"))
-        counts = long.groupBy("target", "feature", "bin", "y").agg(F.count(F.lit(1)).alias("n_by"))
+    and each target, sum p(b,y) ln(p(b,y) / (p(b) p(y))), one job for all targets,
+    from their contingency tables."""
+    counts = contingency(df, features, targets).withColumnRenamed("n", "n_by")
     w_tf = Window.partitionBy("target", "feature")
     w_b = Window.partitionBy("target", "feature", "bin")
     w_y = Window.partitionBy("target", "feature", "y")

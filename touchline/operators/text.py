@@ -50,6 +50,15 @@ def unmatched_messages(messages: DataFrame, rules: DataFrame) -> DataFrame:
 TURN_BUCKET = 100_000
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], turn: str = "turn",
+                bucket_turns: int = TURN_BUCKET) -> DataFrame:
+    """`rows` with the `facts` of their key. A key may hold most rows, so its facts are first given to each of its buckets of turns
+    (a table of one row a key and bucket) and the rows meet them there; rows whose key has no facts go."""
+    own = rows.withColumn("__fb", (F.col(turn) / bucket_turns).cast("bigint"))
+    there = own.select(*keys, "__fb").distinct().join(facts, keys)
+    return own.join(there, [*keys, "__fb"]).drop("__fb")
+
+
 def session_segments(messages: DataFrame, bucket_turns: int = TURN_BUCKET) -> DataFrame:
     """Per turn: the command, the segment (turn of the last reset at or before
     it, -1 if none), kept only while the session is open (before the first quit).
@@ -63,14 +72,14 @@ def session_segments(messages: DataFrame, bucket_turns: int = TURN_BUCKET) -> Da
     quits = cmd.groupBy("conv_id").agg(F.min(F.when(F.col("command") == "quit", F.col("turn"))).alias("quit_turn"))
     per_bucket = cmd.groupBy("conv_id", "__b").agg(F.max(reset_turn).alias("__bmax"))
     earlier = Window.partitionBy("conv_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.select("conv_id", "__b", F.max("__bmax").over(earlier).alias("__prev"))
+    # the quit turn and the last reset come down to the turns by bucket, never by conversation alone
+    carried = per_bucket.select("conv_id", "__b", F.max("__bmax").over(earlier).alias("__prev")).join(quits, "conv_id")
     in_bucket = Window.partitionBy("conv_id", "__b").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     seg = cmd.join(carried, ["conv_id", "__b"]).select(
         "conv_id", "turn", "command",
         F.coalesce(F.greatest(F.max(reset_turn).over(in_bucket), F.col("__prev")), F.lit(-1)).cast("bigint")
-        .alias("segment"))
-    return seg.join(quits, "conv_id").where(F.col("quit_turn").isNull() | (F.col("turn") < F.col("quit_turn"))) \
-        .drop("quit_turn")
+        .alias("segment"), "quit_turn")
+    return seg.where(F.col("quit_turn").isNull() | (F.col("turn") < F.col("quit_turn"))).drop("quit_turn")
 
 
 def segment_totals(messages: DataFrame, rules: DataFrame, bucket_turns: int = TURN_BUCKET) -> DataFrame:
@@ -106,7 +115,8 @@ def active_adjustments(messages: DataFrame, rules: DataFrame) -> DataFrame:
     starts = starts.withColumn("until_turn", F.lead("segment").over(following))
     hits = tag_messages(messages, rules).join(seg.select("conv_id", "turn", "segment", "n_predicts"),
                                               ["conv_id", "turn"])
-    return hits.join(ends, ["conv_id", "segment"]).join(starts, ["conv_id", "segment"]).select(
+    facts = ends.join(starts, ["conv_id", "segment"])  # one row a segment
+    return _with_facts(hits, facts, ["conv_id", "segment"]).select(
         "conv_id", "turn", "rule_id", "type", "multiplier", "description", "segment", "until_turn",
         (F.col("__all") - F.col("n_predicts")).alias("n_predicts"))
 
@@ -116,7 +126,7 @@ def current_adjustments(messages: DataFrame, rules: DataFrame) -> DataFrame:
     seg = session_segments(messages)
     last_seg = seg.groupBy("conv_id").agg(F.max("segment").alias("segment"))
     tags = tag_messages(messages, rules).join(seg.select("conv_id", "turn", "segment"), ["conv_id", "turn"])
-    return tags.join(last_seg, ["conv_id", "segment"])
+    return _with_facts(tags, last_seg, ["conv_id", "segment"])
 
 
 def adjustments_by_type(messages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -160,7 +170,7 @@ def adjust_total(mult: DataFrame, base: DataFrame) -> DataFrame:
     """Total x m, rounded half-even to 2 places; keeps original and factor.
 
     `base` has (conv_id, original_prediction)."""
-    j = mult.join(base, "conv_id")
+    j = _with_facts(mult, base, ["conv_id"], "predict_turn")
     return j.select("conv_id", "predict_turn", "original_prediction",
                     F.col("total_multiplier").alias("adjustment_factor"),
                     round_half_even(F.col("original_prediction") * F.col("total_multiplier"), 2).alias("adjusted_prediction"))
@@ -173,7 +183,7 @@ def adjust_line_probs(mult: DataFrame, line_probs: DataFrame) -> DataFrame:
     m, p = F.col("total_multiplier"), F.col("over_probability")
     new = F.when(m > 1, F.least(F.lit(0.95), p + F.least(F.lit(0.2), (m - 1) * 0.5))) \
         .otherwise(F.greatest(F.lit(0.05), p - F.least(F.lit(0.2), (1 - m) * 0.5)))
-    j = mult.join(line_probs, "conv_id").select("conv_id", "predict_turn", "line", "total_multiplier",
+    j = _with_facts(mult, line_probs, ["conv_id"], "predict_turn").select("conv_id", "predict_turn", "line", "total_multiplier",
                                                  p.alias("original_over_probability"), new.alias("adj"))
     return j.select("conv_id", "predict_turn", "line", "original_over_probability",
                     F.col("adj").alias("adjusted_over_probability"),

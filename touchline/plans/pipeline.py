@@ -41,6 +41,10 @@ def _write_stage(df: DataFrame) -> str:
     return path
 
 
+def reuses(spark: SparkSession) -> bool:
+    return spark.conf.get(REUSE_CONF, "true") == "true"
+
+
 def shared_stage(spark: SparkSession, key: tuple, build) -> DataFrame:
     """`stage`, reused by later queries of the same application.
 
@@ -48,7 +52,7 @@ def shared_stage(spark: SparkSession, key: tuple, build) -> DataFrame:
     is a materialised table: later queries scan it instead of rebuilding it.
     Set `touchline.stage.reuse=false` to rebuild per query (the bench does).
     """
-    reuse = spark.conf.get(REUSE_CONF, "true") == "true"
+    reuse = reuses(spark)
     full_key = (spark.sparkContext.applicationId, *key)
     if reuse and full_key in _STAGES:
         return spark.read.parquet(_STAGES[full_key])
@@ -58,6 +62,19 @@ def shared_stage(spark: SparkSession, key: tuple, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def shared_root(spark: SparkSession, key: tuple, build) -> str:
+    """A folder of several tables or models, filled by `build(folder)` and kept like a `shared_stage`."""
+    reuse = reuses(spark)
+    full_key = (spark.sparkContext.applicationId, *key)
+    if reuse and full_key in _STAGES:
+        return _STAGES[full_key]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stages/{uuid.uuid4().hex}"
+    build(path)
+    if reuse:
+        _STAGES[full_key] = path
+    return path
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match table derived from the driver's tables, written once: every
     cleaning plan reads it at least twice (statistics + rows), and the
@@ -104,24 +121,28 @@ def features_tv(spark: SparkSession, sf_dir: str) -> DataFrame:
                         lambda: Fe.engineer_features_tv(clean_tv(raw(spark, sf_dir))))
 
 
-def history_v3(spark: SparkSession, sf_dir: str, chunk_rows: int = H.DEFAULT_CHUNK_ROWS) -> DataFrame:
-    return shared_stage(spark, ("history_v3", sf_dir, chunk_rows),
-                        lambda: H.history_features_v3(features_v3(spark, sf_dir), chunk_rows))
+def _history(name: str, features, build, spark: SparkSession, sf_dir: str, chunk_rows: int, wanted) -> DataFrame:
+    """History of a variant. Where stages are shared, one full-width table serves every query. Where they are not, a query that
+    names the columns it `wanted` gets a plan of those alone: no side feature, pair window or write that it does not need."""
+    if wanted is not None and not reuses(spark):
+        return build(features(spark, sf_dir), chunk_rows, wanted)
+    return shared_stage(spark, (name, sf_dir, chunk_rows), lambda: build(features(spark, sf_dir), chunk_rows))
+
 
+def history_v3(spark: SparkSession, sf_dir: str, chunk_rows: int = H.DEFAULT_CHUNK_ROWS, wanted=None) -> DataFrame:
+    return _history("history_v3", features_v3, H.history_features_v3, spark, sf_dir, chunk_rows, wanted)
 
-def history_v2(spark: SparkSession, sf_dir: str, chunk_rows: int = H.DEFAULT_CHUNK_ROWS) -> DataFrame:
-    return shared_stage(spark, ("history_v2", sf_dir, chunk_rows),
-                        lambda: H.history_features_v2(features_v3(spark, sf_dir), chunk_rows))
 
+def history_v2(spark: SparkSession, sf_dir: str, chunk_rows: int = H.DEFAULT_CHUNK_ROWS, wanted=None) -> DataFrame:
+    return _history("history_v2", features_v3, H.history_features_v2, spark, sf_dir, chunk_rows, wanted)
 
-def history_v1(spark: SparkSession, sf_dir: str, chunk_rows: int = H.DEFAULT_CHUNK_ROWS) -> DataFrame:
-    return shared_stage(spark, ("history_v1", sf_dir, chunk_rows),
-                        lambda: H.history_features_v1(features_v1(spark, sf_dir), chunk_rows))
 
+def history_v1(spark: SparkSession, sf_dir: str, chunk_rows: int = H.DEFAULT_CHUNK_ROWS, wanted=None) -> DataFrame:
+    return _history("history_v1", features_v1, H.history_features_v1, spark, sf_dir, chunk_rows, wanted)
 
-def history_tv(spark: SparkSession, sf_dir: str, chunk_rows: int = H.DEFAULT_CHUNK_ROWS) -> DataFrame:
-    return shared_stage(spark, ("history_tv", sf_dir, chunk_rows),
-                        lambda: H.history_features_tv(features_tv(spark, sf_dir), chunk_rows))
+
+def history_tv(spark: SparkSession, sf_dir: str, chunk_rows: int = H.DEFAULT_CHUNK_ROWS, wanted=None) -> DataFrame:
+    return _history("history_tv", features_tv, H.history_features_tv, spark, sf_dir, chunk_rows, wanted)
 
 
 # The candidate feature list of the v3 / chatbot matrix, in the
@@ -146,6 +167,9 @@ FEATURE_CANDIDATES_V3 = [
     "teams_familiarity",
 ]
 
+# The v2 candidates: the first 45 of v3's, on v2's own history.
+FEATURE_CANDIDATES_V2 = FEATURE_CANDIDATES_V3[:45]
+
 # v1's pre-match feature list, in the reference's order (this repo's names).
 FEATURE_CANDIDATES_V1 = [
     "home_ppg", "away_ppg", "ppg_difference", "pre_match_ppg_home", "pre_match_ppg_away",
@@ -179,14 +203,24 @@ def split_keys_v1(spark: SparkSession, sf_dir: str, warmup: int = 50) -> DataFra
 
 def feature_matrix_v3(spark: SparkSession, sf_dir: str, warmup: int = 30) -> DataFrame:
     """select_optimized_features: skip the warm-up rows, IQR-winsorise the candidates."""
+    return _winsorised_matrix(spark, "matrix_v3", sf_dir, warmup, history_v3, FEATURE_CANDIDATES_V3)
+
+
+def feature_matrix_v2(spark: SparkSession, sf_dir: str, warmup: int = 30) -> DataFrame:
+    """The same of v2: its own history and candidates."""
+    return _winsorised_matrix(spark, "matrix_v2", sf_dir, warmup, history_v2, FEATURE_CANDIDATES_V2)
+
+
+def _winsorised_matrix(spark: SparkSession, name: str, sf_dir: str, warmup: int, history, candidates: list[str]) -> DataFrame:
     def build():
-        h = history_v3(spark, sf_dir)
-        feats = available(h, FEATURE_CANDIDATES_V3)
+        h = history(spark, sf_dir, wanted=["date_gmt", *candidates, *TARGETS_V3])
+        feats = available(h, candidates)
         body = C.skip_warmup(h, warmup)
         body = C.inf_to_null(body.select("match_id", "date_gmt", *feats, *TARGETS_V3), feats)
-        return C.iqr_winsorise(body, feats)
+        # read for the quantiles and for the rows
+        return C.iqr_winsorise(body if reuses(spark) else stage(body), feats)
 
-    return shared_stage(spark, ("matrix_v3", sf_dir, warmup), build)
+    return shared_stage(spark, (name, sf_dir, warmup), build)
 
 
 def feature_matrix_v1(spark: SparkSession, sf_dir: str, warmup: int = 50) -> DataFrame:

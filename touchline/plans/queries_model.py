@@ -53,6 +53,7 @@ TV_NUMERIC = [
 ]
 # The reference's own list (M7, not strict), with the post-match columns.
 TV_NUMERIC_ALL = [*TV_NUMERIC[:15], *SE.POST_MATCH[4:], *TV_NUMERIC[15:35], *SE.POST_MATCH[:4], *TV_NUMERIC[35:]]
+FS_SQL = "CASE WHEN sum(k * v) > 0 AND sum(k) > 2 THEN sum(k * (m - g) * (m - g)) / (sum(k * v) / (sum(k) - 2)) END"
 TV_CATEGORICAL = ["season_period", "home_team_name", "away_team_name"]
 
 
@@ -68,6 +69,12 @@ def feats_v3() -> list[str]:
     return list(P.FEATURE_CANDIDATES_V3)
 
 
+def mutual_information_v3(spark: SparkSession, sf: str) -> DataFrame:
+    """(target, feature, mi) of all ten targets, from one pass over the matrix; read by every selection."""
+    return P.shared_stage(spark, ("mi_v3", sf), lambda: SE.mutual_information(
+        P.feature_matrix_v3(spark, sf), feats_v3(), TARGETS_V3))
+
+
 def feats_v1() -> list[str]:
     return list(P.FEATURE_CANDIDATES_V1)
 
@@ -75,7 +82,14 @@ def feats_v1() -> list[str]:
 # -- SQL: feature matrices ----------------------------------------------------------
 
 def matrix_v3_ctes() -> str:
-    fs = feats_v3()
+    return _winsorised_ctes(feats_v3(), SH.v3_history_ctes("f3"), "h3", "m3")
+
+
+def matrix_v2_ctes() -> str:
+    return _winsorised_ctes(P.FEATURE_CANDIDATES_V2, SH.v2_history_ctes("f3"), "h2", "m3")
+
+
+def _winsorised_ctes(fs: list[str], history: str, h: str, out: str) -> str:
     warm_cols = ", ".join(["match_id", "date_gmt", "expected_total_corners AS __etc", *TARGETS_V3] +
                           [f"CASE WHEN isfinite({f}) THEN {f} END AS {f}" for f in fs if f != "expected_total_corners"] +
                           ["CASE WHEN isfinite(expected_total_corners) THEN expected_total_corners END "
@@ -85,10 +99,10 @@ def matrix_v3_ctes() -> str:
         f"COALESCE(CASE WHEN {f} IS NULL THEN NULL ELSE LEAST(GREATEST({f}, q_{f}[1] - 2.5 * (q_{f}[3] - q_{f}[1])),"
         f" q_{f}[3] + 2.5 * (q_{f}[3] - q_{f}[1])) END, q_{f}[2], 0.0) AS {f}" for f in fs)
     return f"""{SB.features_v3_ctes()},
-{SH.v3_history_ctes('f3')},
-wi AS (SELECT {warm_cols} FROM h3 QUALIFY row_number() OVER (ORDER BY date_gmt, match_id) > 30),
+{history},
+wi AS (SELECT {warm_cols} FROM {h} QUALIFY row_number() OVER (ORDER BY date_gmt, match_id) > 30),
 wq AS (SELECT {qs} FROM wi),
-m3 AS (SELECT match_id, date_gmt, __etc, {', '.join(TARGETS_V3)}, {clipped} FROM wi, wq)"""
+{out} AS (SELECT match_id, date_gmt, __etc, {', '.join(TARGETS_V3)}, {clipped} FROM wi, wq)"""
 
 
 def matrix_v1_ctes() -> str:
@@ -140,7 +154,7 @@ stv AS (SELECT match_id, {scaled} FROM mtv, tst)"""
 
 def matrix_v3(spark: SparkSession, sf: str) -> DataFrame:
     m = P.feature_matrix_v3(spark, sf)
-    h = P.history_v3(spark, sf).select("match_id", F.col("expected_total_corners").alias("__etc"))
+    h = P.history_v3(spark, sf, wanted=["expected_total_corners"]).select("match_id", F.col("expected_total_corners").alias("__etc"))
     return m.join(h, "match_id")
 
 
@@ -273,24 +287,22 @@ def _register_scores():
         for f in fs1:
             grouped = (f"SELECT {t} AS y, count(*) AS k, avg({f}) AS m, var_pop({f}) AS v FROM mx1 GROUP BY {t}")
             whole = f"(SELECT avg({f}) FROM mx1)"
-            fs = "CASE WHEN sum(k * v) > 0 AND sum(k) > 2 THEN sum(k * (m - g) * (m - g)) / (sum(k * v) / (sum(k) - 2)) END"
-            parts.append(f"SELECT '{t}' AS target, '{f}' AS feature, {SB.round6(fs)} AS f_score "
+            parts.append(f"SELECT '{t}' AS target, '{f}' AS feature, {SB.round6(FS_SQL)} AS f_score "
                          f"FROM (SELECT *, {whole} AS g FROM ({grouped}))")
     register("f_classif_scores", q(fclassif), sql(m1, " UNION ALL ".join(parts)))
 
-    m3 = matrix_v3_ctes()
-    cuts = ", ".join(f"quantile_cont({f}, [{', '.join(str(p) for p in SE.DECILES)}]) AS c_{f}" for f in fs3)
     r9 = "floor({x} * 1000000000.0 + 0.5) / 1000000000.0"
-    bins = ", ".join(f"CAST(len(list_filter(c_{f}, lambda x: {r9.format(x='x')} < {r9.format(x=f'm3.{f}')})) "
-                     f"AS INTEGER) AS {f}" for f in fs3)
 
-    def mi_sql(targets):
+    def mi_sql(targets, matrix=matrix_v3_ctes, fs=tuple(fs3)):
+        cuts = ", ".join(f"quantile_cont({f}, [{', '.join(str(p) for p in SE.DECILES)}]) AS c_{f}" for f in fs)
+        bins = ", ".join(f"CAST(len(list_filter(c_{f}, lambda x: {r9.format(x='x')} < {r9.format(x=f'm3.{f}')})) "
+                         f"AS INTEGER) AS {f}" for f in fs)
         tcols = ", ".join(f"CAST({t} AS DOUBLE) AS {t}" for t in targets)
-        return sql(m3 + f""",
+        return sql(matrix() + f""",
 cuts AS (SELECT {cuts} FROM m3),
 bins AS (SELECT {tcols}, {bins} FROM m3, cuts),
 lt AS (UNPIVOT bins ON {', '.join(targets)} INTO NAME target VALUE y),
-lf AS (UNPIVOT lt ON {', '.join(fs3)} INTO NAME feature VALUE bin),
+lf AS (UNPIVOT lt ON {', '.join(fs)} INTO NAME feature VALUE bin),
 cnt AS (SELECT target, feature, bin, y, count(*) AS n_by FROM lf GROUP BY ALL),
 cw AS (SELECT *, sum(n_by) OVER (PARTITION BY target, feature) AS n,
     sum(n_by) OVER (PARTITION BY target, feature, bin) AS n_b,
@@ -302,14 +314,11 @@ mi AS (SELECT target, feature, sum((n_by / n) * ln(n_by * n / (n_b * n_y))) AS m
              q(lambda s, d: SE.mutual_information(P.feature_matrix_v3(s, d), fs3, ["total_corners"])),
              mi_sql(["total_corners"]))
     register("mi_classif_scores",
-             q(lambda s, d: SE.mutual_information(P.feature_matrix_v3(s, d), fs3, LINES, binary=True)),
+             q(lambda s, d: SE.mutual_information(P.feature_matrix_v3(s, d), fs3, LINES)),
              mi_sql(LINES))
 
     def topk(s, d):
-        m = P.feature_matrix_v3(s, d)
-        mi = SE.mutual_information(m, fs3, ["total_corners"]).unionByName(
-            SE.mutual_information(m, fs3, LINES, binary=True))
-        return SE.top_k_features(mi, K_BY_TARGET)
+        return SE.top_k_features(mutual_information_v3(s, d), K_BY_TARGET)
 
     kvals = " UNION ALL ".join(f"SELECT '{t}' AS target, {k} AS k" for t, k in K_BY_TARGET.items())
     topk_ctes = mi_sql(TARGETS_V3).split("\nSELECT target, feature, ")[0][len("WITH "):] + f""",
@@ -324,6 +333,39 @@ rk AS (SELECT m.target, m.feature, m.mi, row_number() OVER (PARTITION BY m.targe
 rs AS (SELECT target, feature FROM rk WHERE rank <= k AND target IN (""" + ", ".join(f"'{t}'" for t in HARD) + """)
        AND regexp_matches(lower(feature), '_3|_6|recent|trend|momentum'))""",
                  "SELECT target, feature, CAST(count(*) OVER (PARTITION BY target) > 10 AS INTEGER) AS used FROM rs"))
+    # with every candidate selected there are more than ten recent ones, so the subset is used
+    register("recent_feature_subset_all", lambda s, d: SE.recent_feature_subset(SE.top_k_features(
+        mutual_information_v3(s, d), {t: len(fs3) for t in HARD})), sql("c AS (SELECT 1)", " UNION ALL ".join(
+            f"SELECT '{t}' AS target, '{f}' AS feature, CAST(1 AS INTEGER) AS used" for t in HARD for f in fs3
+            if any(k in f for k in SE.RECENT_KEYS))))
+
+    # v1: the 20 best by F, of the total and of each of its three flags
+    def topk_v1(s, d):
+        m = matrix_v1(s, d)
+        scores = SE.f_regression_scores(m, fs1, "total_corners").select(F.lit("total_corners").alias("target"), "feature", "f_score")
+        for t in V1_TARGETS:
+            scores = scores.unionByName(SE.f_classif_scores(m, fs1, t).select(F.lit(t).alias("target"), "feature", "f_score"))
+        top = SE.top_k_features(scores.where("f_score IS NOT NULL"), {t: 20 for t in ["total_corners", *V1_TARGETS]}, "f_score")
+        return top.select("target", "feature")
+
+    reg = " UNION ALL ".join(
+        f"SELECT 'total_corners' AS target, '{f}' AS feature, CASE WHEN var_pop({f}) > 0 THEN "
+        f"corr({f}, total_corners) * corr({f}, total_corners) / (1 - corr({f}, total_corners) * corr({f}, total_corners)) * (count(*) - 2) END "
+        f"AS f_score FROM mx1" for f in fs1)
+    cls = " UNION ALL ".join(x.replace(SB.round6(FS_SQL), FS_SQL) for x in parts)
+    register("top_k_features_v1", topk_v1, sql(matrix_v1_ctes() + f""",
+fs AS ({reg} UNION ALL {cls}),
+fr AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY f_score DESC, feature) AS rank FROM fs WHERE f_score IS NOT NULL)""",
+                                               "SELECT target, feature FROM fr WHERE rank <= 20"))
+
+    # v2: its own matrix, 20 for the total and 25 for each line
+    k_v2 = {"total_corners": 20, **{t: 25 for t in LINES}}
+    register("top_k_features_v2", q(lambda s, d: SE.top_k_features(
+        SE.mutual_information(P.feature_matrix_v2(s, d), P.FEATURE_CANDIDATES_V2, TARGETS_V3), k_v2)),
+             sql(mi_sql(TARGETS_V3, matrix_v2_ctes, P.FEATURE_CANDIDATES_V2).split("\nSELECT target, feature, ")[0][len("WITH "):] + """,
+rk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY mi DESC, feature) AS rank FROM mi)""",
+                 f"SELECT target, feature, {SB.round6('mi')} AS mi, rank FROM rk "
+                 "WHERE rank <= CASE WHEN target = 'total_corners' THEN 20 ELSE 25 END"))
 
 
 def _register_splits():
@@ -418,214 +460,6 @@ rep AS (
                  f"SELECT line, label, {sql_select(['precision', 'recall', 'f1', 'support'])} FROM rep"))
 
 
-# -- model training (rows-only checks) ---------------------------------------------------
-
-def _selected(spark, sf, matrix: DataFrame, target: str) -> list[str]:
-    """Top-k feature names for one target (k <= 40 names reach the driver)."""
-    mi = SE.mutual_information(matrix, feats_v3(), [target], binary=target != "total_corners")
-    top = SE.top_k_features(mi, {target: K_BY_TARGET[target]})
-    return [r["feature"] for r in top.orderBy("rank").collect()]
-
-
-def _train_test(spark, sf):
-    """(matrix, train rows, test rows); the split is written once, so that fits scan it without a join."""
-    m = P.feature_matrix_v3(spark, sf)
-    mm = P.shared_stage(spark, ("split_v3", sf), lambda: m.join(
-        M.chrono_holdout(P.split_keys_v3(spark, sf)).select("match_id", "role"), "match_id"))
-    return m, mm.where(F.col("role") == "train"), mm.where(F.col("role") == "test")
-
-
-# Size of the fits of the registered queries, in place of the presets' trees and depths; both are in their results.
-TREES, DEPTH = 10, 4
-
-
-def train_total_query(spark, sf):
-    def build():
-        m, tr, te = _train_test(spark, sf)
-        feats = _selected(spark, sf, m, "total_corners")
-        p = M.preset("total_corners", TREES, DEPTH)
-        model = M.train_total(tr, feats, p)
-        mean = tr.agg(F.avg("total_corners").alias("train_mean"))
-        return model.transform(M.assemble(te, feats)).crossJoin(F.broadcast(mean)).select(
-            "match_id", "total_corners", "prediction", "train_mean", F.lit(p["trees"]).alias("trees"),
-            F.lit(p["max_depth"]).alias("max_depth"))
-
-    return P.shared_stage(spark, ("train_total", sf), build)
-
-
-def train_lines_query(spark, sf):
-    """Single classifiers for the lines that have no ensemble."""
-    def build():
-        m, tr, te = _train_test(spark, sf)
-        out = None
-        for t in STANDARD:
-            feats = _selected(spark, sf, m, t)
-            p = M.preset(t, TREES, DEPTH)
-            model = M.train_line(tr, feats, t, p)
-            part = M.prob_over(model, te, feats, ["match_id", t]).select(
-                "match_id", F.lit(t).alias("target"), "p", F.col(t).alias("y"), F.lit(p["trees"]).alias("trees"),
-                F.lit(p["max_depth"]).alias("max_depth"))
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    return P.shared_stage(spark, ("train_lines", sf), build)
-
-
-# The three hard-line ensemble members (name, parameter changes).
-MEMBERS = [("xgb_optimized", {}), ("xgb_conservative", {"step": 0.04}), ("recent_focus", {"step": 0.06})]
-
-
-def _ensemble(spark, sf, targets, trees: int = 5, weight_folds=(4,)):
-    """Three members per hard line, weighted by accuracy on time-series folds of the training rows.
-
-    `weight_folds`: which of the five folds of M9 give the weights (the reference takes all five; the
-    registered queries take the last and largest one; none: equal weights). The holdout is never used for them."""
-    m, tr, te = _train_test(spark, sf)
-    by_fold = []
-    if weight_folds:
-        folds = M.time_series_folds(tr.select("match_id", "date_gmt"))
-        wide = tr
-        for k in weight_folds:
-            wide = wide.join(folds.where(F.col("fold") == k).select("match_id", F.col("role").alias(f"__fold_{k}")),
-                             "match_id", "left")
-        wide = P.stage(wide)
-        by_fold = [(wide.where(F.col(f"__fold_{k}") == "train"), wide.where(F.col(f"__fold_{k}") == "test"))
-                   for k in weight_folds]
-    probs, imps = None, None
-    for t in targets:
-        feats = _selected(spark, sf, m, t)
-        recent = [f for f in feats if any(k in f.lower() for k in SE.RECENT_KEYS)]
-        members = []
-        for name, change in MEMBERS:
-            if name == "recent_focus" and len(recent) <= 10:
-                continue
-            fs = recent if name == "recent_focus" else feats
-            params = M.preset(t, trees, DEPTH, **change)
-            accs = []
-            for ftr, fte in by_fold:
-                fp = M.prob_over(M.train_line(ftr, fs, t, params), fte, fs, [t])
-                accs.append(fp.agg(F.avg(((F.col("p") > 0.5).cast("int") == F.col(t)).cast("double"))).first()[0] or 0.0)
-            model = M.train_line(tr, fs, t, params)
-            p = M.prob_over(model, te, fs, ["match_id", t])
-            weight = sum(accs) / len(accs) if accs else 1.0
-            members.append((name, p.select("match_id", F.col("p").alias(name)), weight))
-            imp = M.importances(model, fs, spark, name).withColumn("target", F.lit(t))
-            imps = imp if imps is None else imps.unionByName(imp)
-        total = sum(a for _, _, a in members) or 1.0
-        joined = te.select("match_id", F.col(t).alias("y"))
-        for _, dfm, _ in members:
-            joined = joined.join(dfm, "match_id")
-        p = sum(F.col(n) * (a / total) for n, _, a in members)
-        part = joined.select("match_id", F.lit(t).alias("target"), p.alias("p"), "y",
-                             F.lit(trees).alias("trees"), F.lit(DEPTH).alias("max_depth"))
-        probs = part if probs is None else probs.unionByName(part)
-    return probs, imps
-
-
-def train_ensemble_query(spark, sf):
-    def build():
-        probs, imps = _ensemble(spark, sf, HARD)
-        P.shared_stage(spark, ("ensemble_members", sf), lambda: imps)
-        return probs
-
-    return P.shared_stage(spark, ("train_ensemble", sf), build)
-
-
-def ensemble_members(spark, sf):
-    """Importances of the ensembles' members, of the same fits where these were kept."""
-    return P.shared_stage(spark, ("ensemble_members", sf), lambda: _ensemble(spark, sf, HARD, weight_folds=())[1])
-
-
-def _importance_fixture(spark, sf):
-    """Member importances that a query can compute: squared correlations of v1's features with its three flags."""
-    m, out = matrix_v1(spark, sf), None
-    for t in V1_TARGETS:
-        part = SE.f_regression_scores(m, feats_v1(), t).select(
-            F.lit(t).alias("model"), "feature", F.coalesce(F.col("r") * F.col("r"), F.lit(0.0)).alias("importance"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _register_training():
-    register("train_total", q(train_total_query), None)
-    register("train_lines", q(train_lines_query), None)
-    register("train_ensemble", q(train_ensemble_query), None)
-
-    test_rows = f"""{matrix_v3_ctes()},
-pp AS (SELECT match_id, row_number() OVER (ORDER BY date_gmt, match_id) - 1 AS position, count(*) OVER () AS n FROM m3),
-te AS (SELECT m3.* FROM m3 JOIN pp USING (match_id) WHERE NOT position < floor(CAST(n AS DOUBLE) * 0.85::DOUBLE))"""
-
-    def total_summary(s, d):
-        err, base = F.col("prediction") - F.col("total_corners"), F.col("train_mean") - F.col("total_corners")
-        return train_total_query(s, d).agg(
-            F.count(F.lit(1)).alias("n_test"), F.sum("total_corners").alias("sum_label"),
-            F.min((~F.isnan("prediction") & F.col("prediction").isNotNull()).cast("int")).alias("all_finite"),
-            # a small fit on noise may lose a little to the mean
-            (F.avg(err * err) <= 1.15 * F.avg(base * base)).cast("int").alias("near_mean_error"))
-
-    register("train_total_summary", total_summary, sql(test_rows, """
-SELECT count(*) AS n_test, sum(total_corners) AS sum_label, CAST(1 AS INTEGER) AS all_finite,
-  CAST(1 AS INTEGER) AS near_mean_error FROM te"""))
-
-    def probability_summary(query):
-        return lambda s, d: query(s, d).groupBy("target").agg(
-            F.count(F.lit(1)).alias("n_test"), F.sum(F.col("y").cast("long")).alias("n_over"),
-            F.min(F.col("p").between(0, 1).cast("int")).alias("all_valid"))
-
-    for key, query, targets in (("train_lines_summary", train_lines_query, STANDARD),
-                                ("train_ensemble_summary", train_ensemble_query, HARD)):
-        register(key, probability_summary(query), sql(test_rows, " UNION ALL ".join(
-            f"SELECT '{t}' AS target, count(*) AS n_test, CAST(sum({t}) AS BIGINT) AS n_over, "
-            f"CAST(1 AS INTEGER) AS all_valid FROM te" for t in targets)))
-    NOT_ROUNDED.update({"n_test", "n_over", "all_valid", "all_finite", "near_mean_error"})
-
-    def ens_importance(s, d):
-        imps, out = ensemble_members(s, d), None
-        for t in HARD:
-            part = M.ensemble_importance(imps.where(F.col("target") == t)).select(F.lit(t).alias("target"), "*")
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    register("ensemble_importance", q(ens_importance), None)
-
-    def top_importance(s, d):
-        m, tr, _ = _train_test(s, d)
-        feats = _selected(s, d, m, "total_corners")
-        model = M.train_total(tr, feats, M.preset("total_corners", TREES, DEPTH))
-        return M.top_n_importance(M.importances(model, feats, s, "total_corners"), 15)
-
-    register("top_n_importance", q(top_importance), None)
-
-    fixture = matrix_v1_ctes() + ",\nimps AS (" + " UNION ALL ".join(
-        f"SELECT '{t}' AS model, '{f}' AS feature, CASE WHEN var_pop({f}) > 0 AND var_pop({t}) > 0 "
-        f"THEN corr({f}, {t}) * corr({f}, {t}) ELSE 0.0 END AS importance FROM mx1"
-        for t in V1_TARGETS for f in feats_v1()) + ")"
-    for n in (15, 20, 40):
-        register(f"importance_top_{n}", q(lambda s, d, n=n: M.top_n_importance(_importance_fixture(s, d), n)
-                                          .select("model", "rank", "importance")), sql(fixture, f"""
-SELECT model, rank, {SB.round6('importance')} AS importance FROM (SELECT *, row_number() OVER (
-  PARTITION BY model ORDER BY importance DESC, feature) AS rank FROM imps) WHERE rank <= {n}"""))
-    register("importance_ensemble", q(lambda s, d: M.ensemble_importance(_importance_fixture(s, d))), sql(fixture, f"""
-SELECT feature, {SB.round6('sum(importance) / (SELECT sum(importance) FROM imps)')} AS importance
-FROM imps GROUP BY feature"""))
-
-    def search(s, d):
-        def build():
-            m = P.feature_matrix_v3(s, d)
-            feats = _selected(s, d, m, line_name(10.5))
-            return M.param_search(m, feats, line_name(10.5), n_trials=3, max_trees=5, max_depth=DEPTH)
-        return P.shared_stage(s, ("param_search", d), build)
-
-    register("param_search", q(search), None)
-    register("param_search_summary", lambda s, d: search(s, d).agg(
-        F.count(F.lit(1)).alias("n_trials"), F.sum("best").alias("n_best"),
-        F.min(F.col("mean_score").between(0, 1).cast("int")).alias("all_valid")),
-             sql(test_rows, "SELECT CAST(3 AS BIGINT) AS n_trials, CAST(1 AS BIGINT) AS n_best, "
-                            "CAST(1 AS INTEGER) AS all_valid FROM te HAVING count(*) > 0"))
-    NOT_ROUNDED.update({"n_trials", "n_best", "trees", "best"})
-
-
 _register_matrices()
 _register_scores()
 _register_splits()
-_register_training()

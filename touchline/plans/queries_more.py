@@ -106,6 +106,15 @@ FROM f3"""))
                .where(F.col("trainable") == 0).select("target", "n_classes")),
              sql(F3 + ",\nwarm AS (SELECT * FROM f3 QUALIFY row_number() OVER (ORDER BY date_gmt, match_id) > 30)",
                  f"SELECT target, CAST(k AS BIGINT) AS n_classes FROM ({tbody}) WHERE k < 2"))
+    # lines that few or no matches reach: some of them have one class
+    rare = {f"over_{str(L).replace('.', '_')}_corners": L for L in (17.5, 19.5, 20.5, 24.5)}
+    rbody = " UNION ALL ".join(f"SELECT '{t}' AS target, count(DISTINCT total_corners > {L}) AS k FROM warm" for t, L in rare.items())
+    register("class_diversity_rare",
+             lambda s, d: R.class_balance(C.skip_warmup(P.features_v3(s, d), 30).withColumns(
+                 {t: (F.col("total_corners") > L).cast("int") for t, L in rare.items()}), list(rare))
+             .where(F.col("trainable") == 0).select("target", "n_classes"),
+             sql(F3 + ",\nwarm AS (SELECT * FROM f3 QUALIFY row_number() OVER (ORDER BY date_gmt, match_id) > 30)",
+                 f"SELECT target, CAST(k AS BIGINT) AS n_classes FROM ({rbody}) WHERE k < 2"))
     register("frequent_teams",
              q(lambda s, d: R.frequent_teams(P.features_tv(s, d)).select("match_id", "home_team_group",
                                                                           "away_team_group")),
@@ -145,7 +154,7 @@ def _asked(s, d):
     """The match that each predicting conversation asks about: its features, or the form's defaults where the
     match is not in the cleaned table."""
     asked = messages(s, d).where(T.command_of() == "predict").select(F.col("conv_id").alias("match_id")).distinct()
-    known = P.history_v3(s, d).select("match_id", "expected_total_corners")
+    known = P.history_v3(s, d, wanted=["expected_total_corners"]).select("match_id", "expected_total_corners")
     return asked.join(known, "match_id", "left").select(
         "match_id", F.coalesce("expected_total_corners", F.lit(S.DEFAULT_EXPECTED_TOTAL)).alias("expected_total_corners"))
 
@@ -238,7 +247,7 @@ def _register_scoring():
     dec_sql = f"{ls_sql},\n{SM.decisions_cte()}"
 
     def scores(s, d):
-        return S.line_scores(P.history_v3(s, d))
+        return S.line_scores(P.history_v3(s, d, wanted=["expected_total_corners"]))
 
     register("line_scores", q(scores), sql(ls_sql, f"SELECT match_id, line, {SB.round6('p1')} AS p1, "
                                                     f"{SB.round6('p2')} AS p2, {SB.round6('p3')} AS p3 FROM ls"))
@@ -265,8 +274,8 @@ def _register_scoring():
              sql(H3, f"SELECT match_id, {sql_select(req_feats, exprs)} FROM h3"))
 
     def interval(s, d):
-        return S.total_interval(P.history_v3(s, d).select("match_id", F.col("expected_total_corners")
-                                                          .alias("prediction")))
+        return S.total_interval(P.history_v3(s, d, wanted=["expected_total_corners"]).select(
+            "match_id", F.col("expected_total_corners").alias("prediction")))
 
     register("total_interval", q(interval), sql(H3, f"""
 SELECT match_id, {SB.round6('round_even((expected_total_corners) * 100.0, 0) / 100.0')} AS prediction,
@@ -275,7 +284,8 @@ SELECT match_id, {SB.round6('round_even((expected_total_corners) * 100.0, 0) / 1
 FROM h3"""))
 
     def interval_v1(s, d):
-        h = P.history_v1(s, d).select("match_id", F.col("expected_corners_total").alias("prediction"))
+        h = P.history_v1(s, d, wanted=["expected_corners_total"]).select(
+            "match_id", F.col("expected_corners_total").alias("prediction"))
         return S.total_interval(h, v1=True)
 
     hv1 = f"{SB.features_v1_ctes()},\n{SH.v1_history_ctes('fv1')}"
@@ -309,6 +319,11 @@ SELECT {sql_select(dec_cols, {
     register("bet_tiers_hard",
              q(lambda s, d: S.bet_tiers(S.all_lines(scores(s, d))).where(F.col("is_hard_line") == 1)),
              sql(dec_sql, f"SELECT {sql_select(tier_cols)} FROM tiers WHERE is_hard_line = 1"))
+    # members far apart, so that splits and all tiers occur
+    register("bet_tiers_hard_split",
+             q(lambda s, d: S.bet_tiers(S.all_lines(S.line_scores(P.history_v3(s, d, wanted=["expected_total_corners"]), spread=0.3)))
+               .where(F.col("is_hard_line") == 1)),
+             sql(dec_sql.replace("p1 + 0.05", "p1 + 0.3").replace("p1 - 0.05", "p1 - 0.3"), f"SELECT {sql_select(tier_cols)} FROM tiers WHERE is_hard_line = 1"))
     register("bet_summary", q(lambda s, d: S.bet_summary(S.all_lines(scores(s, d)))), sql(dec_sql, """
 SELECT match_id, count(*) AS lines_analysed, CAST(sum(is_hard_line) AS BIGINT) AS hard_lines,
   CAST(sum(CASE WHEN tier IN ('strong', 'ensemble') THEN 1 ELSE 0 END) AS BIGINT) AS high_confidence_bets

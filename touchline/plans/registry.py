@@ -57,11 +57,12 @@ def register(key: str, fn: QueryFn, sql: str | None) -> None:
 
 def projection(key: str, plan: QueryFn, cols: list[str], ctes: str | None, final: str,
                spark_exprs: dict | None = None, sql_exprs: dict | None = None) -> None:
-    """Register `cols` of a plan; the oracle selects the same columns from CTE `final`."""
+    """Register `cols` of a plan; the oracle selects the same columns from CTE `final`. A history plan is told the columns."""
     spark_exprs = spark_exprs or {}
+    history = plan in (P.history_v1, P.history_v2, P.history_v3, P.history_tv)
 
     def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = plan(spark, sf_dir)
+        df = plan(spark, sf_dir, wanted=cols) if history else plan(spark, sf_dir)
         exprs = [spark_exprs[c]() if c in spark_exprs else F.col(c) for c in cols]
         return round_doubles(df.select([e.alias(c) for e, c in zip(exprs, cols)]))
 

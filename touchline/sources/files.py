@@ -8,7 +8,10 @@ not depend on the number of files.
 
 from __future__ import annotations
 
+import csv
 import uuid
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,26 +41,36 @@ def write_season_files(raw: DataFrame, root: str) -> str:
     return root
 
 
-def file_headers(spark: SparkSession, root: str) -> DataFrame:
-    """(path, season, header) of every file below `root`: one distributed read of all files, whatever their number.
+WHOLE_FILE = 1 << 40  # bytes of one partition of a header read: a file is not split
+GROUP = 64            # files of one header job
+
 
-    The first block of a file is read by one task in order, so the first value of its partial aggregate is
-    the header line."""
-    lines = spark.read.option("recursiveFileLookup", True).text(root).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    return lines.where("start = 0").groupBy("path").agg(F.first("value").alias("header")).select(
-        "path", F.regexp_extract("path", r"__season=(-?[0-9]+)", 1).cast("int").alias("season"), "header")
+def file_headers(spark: SparkSession, root: str) -> DataFrame:
+    """(path, season, columns) of every file with a line below `root`: the names in its first line, quotes resolved.
+
+    Each file is read with a limit of one line, which stops its task after the first buffer whatever the file's length, in one
+    partition (by a setting of a session made for this read). A job reads a group of files, a task each. The driver holds the
+    file list, as for any Spark read of these files, and their first lines."""
+    apart = spark.newSession()
+    apart.conf.set("spark.sql.files.maxPartitionBytes", str(WHOLE_FILE))
+    paths = sorted(apart.read.option("recursiveFileLookup", True).text(root).inputFiles())
+    rows = []
+    for k in range(0, len(paths), GROUP):
+        one = [apart.read.text(p).limit(1).select(F.lit(p).alias("path"), "value") for p in paths[k:k + GROUP]]
+        rows += [(r["path"], next(csv.reader([r["value"]]), [])) for r in reduce(DataFrame.unionByName, one).collect()]
+    return spark.createDataFrame(rows, "path STRING, columns ARRAY<STRING>").select(
+        "path", F.regexp_extract("path", r"__season=(-?[0-9]+)", 1).cast("int").alias("season"), "columns")
 
 
 def schema_audit(headers: DataFrame) -> DataFrame:
     """(column_name, n_files) - columns missing from some season's files show n_files < seasons."""
-    return headers.select("season", F.explode(F.split("header", ",")).alias("column_name")).groupBy(
+    return headers.select("season", F.explode("columns").alias("column_name")).groupBy(
         "column_name").agg(F.count_distinct("season").alias("n_files"))
 
 
-def read_files(spark: SparkSession, paths: list[str], header: str, types: dict[str, str]) -> DataFrame:
+def read_files(spark: SparkSession, paths: list[str], columns: Iterable[str], types: dict[str, str]) -> DataFrame:
     """One CSV read, with an explicit schema from the header, of all files that share it."""
-    schema = ", ".join(f"`{c}` {types.get(c, 'STRING')}" for c in header.split(","))
+    schema = ", ".join(f"`{c.replace('`', '``')}` {types.get(c, 'STRING')}" for c in columns)
     return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(paths)
             .withColumn("source_file", F.col("_metadata.file_path")))
 
@@ -74,10 +87,10 @@ def scan_season_files(spark: SparkSession, root: str, types: dict[str, str]) ->
     """Every season file, combined by name: one read for each distinct header.
 
     The driver holds the file list, as it does for any Spark read of these files."""
-    by_header: dict[str, list[str]] = {}
+    by_header: dict[tuple[str, ...], list[str]] = {}
     for r in file_headers(spark, root).orderBy("path").collect():
-        by_header.setdefault(r["header"], []).append(r["path"])
-    return union_by_name([read_files(spark, paths, header, types) for header, paths in sorted(by_header.items())])
+        by_header.setdefault(tuple(r["columns"]), []).append(r["path"])
+    return union_by_name([read_files(spark, paths, columns, types) for columns, paths in sorted(by_header.items())])
 
 
 def sink_combined(df: DataFrame, path: str) -> DataFrame:
@@ -88,6 +101,6 @@ def sink_combined(df: DataFrame, path: str) -> DataFrame:
 
 def shape_summary(df: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows, distinct columns of the files, number of seasons."""
-    columns = headers.select(F.explode(F.split("header", ",")).alias("c")).agg(F.count_distinct("c").alias("n_columns"))
+    columns = headers.select(F.explode("columns").alias("c")).agg(F.count_distinct("c").alias("n_columns"))
     rows = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("season").alias("n_files"))
     return rows.crossJoin(columns).select("n_rows", "n_columns", "n_files")
