@@ -38,7 +38,8 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFr
 
 
 def decode(encoded: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, ids, decoded) per row: the bytes that the ids stand for."""
+    """(doc_id, ids, decoded) per row: the bytes that the ids stand for. No ids, or null, stand for no bytes; repeated rows stay; an empty
+    table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec(path, pattern)
@@ -51,7 +52,9 @@ def decode(encoded: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> Dat
 
 
 def round_trip_digests(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode, digest, in one pass over the texts."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of `docs(doc_id, text, ...)`: encode, decode, digest, in one pass over
+    the texts. A null or empty text has no ids (the digests are those of nothing); repeated rows and null ids stay; equal
+    texts have equal digests; an empty table gives none; other columns are ignored."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
