@@ -26,12 +26,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the one with the smallest doc_id."""
+    """One document of each near-duplicate class stays: the one with the smallest doc_id. Null and empty texts are one class;
+    equal rows count once; an empty table stays empty."""
     return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none; repeated rows go or stay together; without items, or without
+    documents, nothing goes."""
     return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -41,7 +43,8 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of `documents`, the text's token ids and their number. The text is the one decoded from the ids."""
+    """The columns of `documents`, the text's token ids and their number. The text is the one decoded from the ids; an empty text has no
+    ids, repeated rows stay, an empty table stays empty."""
     return tokens.with_ids(docs)
 
 
