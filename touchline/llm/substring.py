@@ -18,7 +18,6 @@ the order of rows or on the attempt of a task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,15 +68,20 @@ def _slide(x: np.ndarray, width: int, pick: Callable, fill: np.uint64) -> np.nda
     return x
 
 
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode().split()
+
+
 class Texts:
     """The words of several texts in one array: hashes, text numbers, words left to the end of the text."""
 
     def __init__(self, texts: list[str | None], known: dict[bytes, int]):
-        self.words = [(t or "").encode().split() for t in texts]
-        size = np.array([len(w) for w in self.words], np.int64)
+        # the words of one text at a time: only their hashes stay
+        parts = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in map(split, texts)]
+        size = np.array([len(h) for h in parts], np.int64)
         ends = np.cumsum(size)
-        self.starts = ends - size
-        self.h = np.fromiter(map(known.__getitem__, chain.from_iterable(self.words)), np.uint64, int(size.sum()))
+        self.size, self.starts = size, ends - size
+        self.h = np.concatenate([np.zeros(0, np.uint64), *parts])
         self.doc = np.repeat(np.arange(len(size)), size)
         self.left = ends[self.doc] - np.arange(len(self.h))
 
@@ -231,7 +235,8 @@ def repeats(docs: DataFrame, length: int = 13) -> DataFrame:
         known = _Hashes()
         span = pa.struct([("start", pa.int64()), ("length", pa.int64())])
         for b in batches:
-            t = Texts(b.column(1).to_pylist(), known)
+            texts = b.column(1).to_pylist()
+            t = Texts(texts, known)
             at = np.flatnonzero(_holds(t, _stretches(t.h, length, STRETCH), b.column(2)) & (t.left >= length))
             step = np.zeros(len(t.h) + 1, np.int64)
             step[at] += 1
@@ -241,19 +246,19 @@ def repeats(docs: DataFrame, length: int = 13) -> DataFrame:
             begin = np.flatnonzero(new)
             of = t.doc[begin]
             size = np.add.reduceat(gone, begin, dtype=np.int64) if len(begin) else begin
-            lists = np.r_[0, np.cumsum(np.bincount(of, minlength=len(t.words)))]
+            lists = np.r_[0, np.cumsum(np.bincount(of, minlength=len(texts)))]
             spans = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays(
                 [pa.array(begin - t.starts[of]), pa.array(size)], fields=list(span)))
             touched = set(of.tolist())
             kept = []
-            for k, w in enumerate(t.words):
+            for k, w in enumerate(map(split, texts)):
                 if k in touched:
                     a = t.starts[k]
                     w = [w[i] for i in np.flatnonzero(~gone[a:a + len(w)]).tolist()]
                 kept.append(b" ".join(w))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(w) for w in t.words], pa.int64()), spans,
-                 pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "spans", "kept"])
+                [b.column(0), pa.array(t.size), spans, pa.array(kept, pa.binary()).cast(pa.string())],
+                ["doc_id", "n_words", "spans", "kept"])
 
     shared = _answers(own.mapInArrow(seeds, _QUESTION), smaller=False)
     gone = _answers(_with_keys(own, shared).mapInArrow(extended, _QUESTION), smaller=True)
