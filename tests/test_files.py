@@ -34,3 +34,22 @@ def test_quoted_names_and_missing_columns(spark, tmp_path):
     assert out.count() == 10 and out.where("`b, with comma` IS NULL").count() == 5
     audit = {r["column_name"]: r["n_files"] for r in FS.schema_audit(FS.file_headers(spark, str(tmp_path / "x"))).collect()}
     assert audit == {"a": 2, "b, with comma": 1, "c": 2}
+
+
+def test_a_header_read_takes_the_file_in_one_partition(spark, tmp_path):
+    root = _files(tmp_path / "long", 1_500_000)
+    plans = []
+    read = type(spark.read).text
+
+    def counted(reader, path, *args, **kwargs):
+        out = read(reader, path, *args, **kwargs)
+        if path.endswith(".csv"):
+            plans.append(out.rdd.getNumPartitions())
+        return out
+
+    type(spark.read).text = counted
+    try:
+        assert FS.file_headers(spark, root).count() == 2
+    finally:
+        type(spark.read).text = read
+    assert plans == [1, 1]  # a part of a file has no header of its own

@@ -45,14 +45,24 @@ WHOLE_FILE = 1 << 40  # bytes of one partition of a header read: a file is not s
 GROUP = 64            # files of one header job
 
 
+def _unsplit(spark: SparkSession) -> SparkSession:
+    """A session whose scans read a file in one partition, whatever its length and the cluster's cores.
+
+    The largest partition is the smaller one of `maxPartitionBytes` and the input's share of each of `minPartitionNum`
+    partitions, which is the number of cores unless it is set."""
+    apart = spark.newSession()
+    apart.conf.set("spark.sql.files.maxPartitionBytes", str(WHOLE_FILE))
+    apart.conf.set("spark.sql.files.minPartitionNum", "1")
+    return apart
+
+
 def file_headers(spark: SparkSession, root: str) -> DataFrame:
     """(path, season, columns) of every file with a line below `root`: the names in its first line, quotes resolved.
 
     Each file is read with a limit of one line, which stops its task after the first buffer whatever the file's length, in one
     partition (by a setting of a session made for this read). A job reads a group of files, a task each. The driver holds the
     file list, as for any Spark read of these files, and their first lines."""
-    apart = spark.newSession()
-    apart.conf.set("spark.sql.files.maxPartitionBytes", str(WHOLE_FILE))
+    apart = _unsplit(spark)
     paths = sorted(apart.read.option("recursiveFileLookup", True).text(root).inputFiles())
     rows = []
     for k in range(0, len(paths), GROUP):
