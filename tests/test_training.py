@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from touchline.operators import model as M
@@ -140,3 +141,33 @@ def test_search_draws_stay_apart(spark, sf, trained):
         assert len({r["drawn_trees"] for r in out}) == len({r["trees"] for r in out}) == 3 and sum(r["best"] for r in out) == 1
         assert max(out, key=lambda r: (r["mean_score"], -r["trial"]))["best"] == 1
         assert all(r["trees"] == max(1, round(r["drawn_trees"] * 0.01)) for r in out)
+
+
+def test_parts_hold_counts_and_shares_of_one_scan(spark):
+    def table(rows):
+        return spark.createDataFrame(rows, "match_id LONG, role STRING, test_fold INT, over_7_5_corners INT")
+
+    rows = [(i, "train", i % 4 - 1, None if i == 5 else int(i % 3 == 0)) for i in range(40)] + [(99, "test", None, 1)]
+    folds, train = T.parts(table(rows), [EASY, EASY], SPLITS)
+    for k, (before, tested) in enumerate(folds):
+        for part, own in ((before, [r for r in rows if r[1] == "train" and r[2] < k]), (tested, [r for r in rows if r[2] == k])):
+            known = [r[3] for r in own if r[3] is not None]
+            assert part.n == len(own) == part.rows.count() and part.share[EASY] == sum(known) / len(known)
+    assert train.n == 40 and train.share[EASY] == 14 / 39
+    # the same weights as those of a scan of the rows
+    want = M.class_weighted(train.rows, EASY).select("match_id", "__w").collect()
+    assert sorted(M.weighted(train.rows, EASY, train.share[EASY]).select("match_id", "__w").collect()) == sorted(want)
+    for none in ([], [(1, "train", 0, None)], [(1, "train", 0, 0)]):
+        _, part = T.parts(table(none), [EASY], SPLITS)
+        assert part.n == len(none) and [r["__w"] for r in M.weighted(part.rows, EASY, part.share[EASY]).collect()] == [1.0] * len(none)
+
+
+def test_fits_start_no_job_for_weights(spark, tmp_path):
+    """The jobs of a set of fits: one scan for all weights, and few tasks for few rows."""
+    rows = spark.range(400).selectExpr("id AS match_id", "'train' AS role", "CAST(id % 4 AS INT) - 1 AS test_fold",
+                                       "CAST(id % 3 = 0 AS INT) AS over_7_5_corners", "array(CAST(id % 7 AS DOUBLE), CAST(id % 5 AS DOUBLE)) AS x")
+    table = P.stage(rows.repartition(8).select("*", array_to_vector("x").alias("features")).drop("x"))
+    folds, train = T.parts(table, [EASY], SPLITS)
+    assert train.few_tasks.rdd.getNumPartitions() == 1
+    plan = M.weighted(folds[0][0].rows, EASY, folds[0][0].share[EASY])._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
