@@ -163,11 +163,11 @@ def test_parts_hold_counts_and_shares_of_one_scan(spark):
 
 
 def test_fits_start_no_job_for_weights(spark, tmp_path):
-    """The jobs of a set of fits: one scan for all weights, and few tasks for few rows."""
+    """A fit's rows carry their weights without a scan or a join, and keep their partitions; predictions of few rows take few tasks."""
     rows = spark.range(400).selectExpr("id AS match_id", "'train' AS role", "CAST(id % 4 AS INT) - 1 AS test_fold",
                                        "CAST(id % 3 = 0 AS INT) AS over_7_5_corners", "array(CAST(id % 7 AS DOUBLE), CAST(id % 5 AS DOUBLE)) AS x")
     table = P.stage(rows.repartition(8).select("*", array_to_vector("x").alias("features")).drop("x"))
     folds, train = T.parts(table, [EASY], SPLITS)
-    assert train.few_tasks.rdd.getNumPartitions() == 1
+    assert train.few_tasks.rdd.getNumPartitions() == 1 and train.rows.rdd.getNumPartitions() == table.rdd.getNumPartitions()
     plan = M.weighted(folds[0][0].rows, EASY, folds[0][0].share[EASY])._jdf.queryExecution().toString()
     assert "Join" not in plan and "Aggregate" not in plan
