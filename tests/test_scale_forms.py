@@ -153,3 +153,22 @@ def test_contingency_counts(spark):
                 want[t, f, k, y] = want.get((t, f, k, y), 0) + 1
     assert got == want
     assert SE.contingency(df.limit(0), ["a", "b"], ["flag"]).count() == 0
+
+
+def test_features_and_splits_share_one_cleaned_table(spark, sf, monkeypatch):
+    from touchline.plans import pipeline as P
+
+    written, write = [], P._write_stage
+
+    def counted(df):
+        written.append(df)
+        return write(df)
+
+    monkeypatch.setattr(P, "_write_stage", counted)
+    monkeypatch.setattr(P, "_STAGES", {})
+    for features, keys in ((P.features_v3, P.split_keys_v3), (P.features_v1, P.split_keys_v1)):
+        features(spark, sf)
+        before = len(written)
+        assert keys(spark, sf).count() > 0
+        assert len(written) == before  # no second cleaning
+    assert len(written) == 5  # raw; cleaned and features of each
