@@ -171,3 +171,40 @@ def test_fits_start_no_job_for_weights(spark, tmp_path):
     assert train.few_tasks.rdd.getNumPartitions() == 1 and train.rows.rdd.getNumPartitions() == table.rdd.getNumPartitions()
     plan = M.weighted(folds[0][0].rows, EASY, folds[0][0].share[EASY])._jdf.queryExecution().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_queries_fit_the_models_of_their_targets_alone(spark, tmp_path, monkeypatch):
+    """train_total needs no other target's model and no folds, importances no weights; what one query has fitted the next one reads."""
+    targets, d, feats = ["total_corners", EASY, HARD], str(tmp_path), feats_v3()
+    rows = spark.range(240).selectExpr(
+        "id AS match_id", "CASE WHEN id < 200 THEN 'train' ELSE 'test' END AS role", "CAST(id % 6 AS INT) - 1 AS test_fold",
+        "CAST(id % 13 AS DOUBLE) AS total_corners", f"CAST(id % 3 = 0 AS INT) AS {EASY}", f"CAST(id % 5 < 2 AS INT) AS {HARD}",
+        f"transform(sequence(1, {len(feats)}), k -> CAST(id * k % 17 AS DOUBLE)) AS x")
+    table = P.stage(rows.select("*", array_to_vector("x").alias("features")).drop("x"))
+    scores = spark.createDataFrame([(t, f, 1.0 / (k + 1)) for t in targets for k, f in enumerate(feats[:4])], "target STRING, feature STRING, mi DOUBLE")
+    small, fit, fitted = QT.specs, T.fit, []
+    for name, value in (("vectors", lambda s, _: table), ("mutual_information_v3", lambda s, _: scores), ("TARGETS_V3", targets),
+                        ("HARD", [HARD]), ("LINE_OF", {EASY: 7.5, HARD: 10.5}), ("specs", lambda own, ts: small(own, ts, 2, 2))):
+        monkeypatch.setattr(QT, name, value)
+    monkeypatch.setattr(T, "fit", lambda spec, *a: fitted.append((spec.target, spec.model)) or fit(spec, *a))
+
+    def took(query):
+        fitted.clear()
+        return query(), sorted(fitted)
+
+    members = [(HARD, "xgb_conservative"), (HARD, "xgb_optimized")]
+    got, by = took(lambda: QT.train_total_query(spark, d))
+    assert by == [("total_corners", "xgb")] and got.count() == 40
+    direct = fit(small({"total_corners": feats[:4]}, ["total_corners"], 2, 2)[0], table.where("role = 'train'"), feats)
+    want = direct.transform(T.sliced(table.where("role = 'test'"), feats, feats[:4])).select("match_id", F.col("prediction").alias("q"))
+    assert got.join(want, "match_id").where(F.abs(F.col("prediction") - F.col("q")) < 1e-9).count() == 40
+    got, by = took(lambda: QT.fitted_models(spark, d, [HARD]))
+    assert by == members and T.importances(got).count() == 8
+    got, by = took(lambda: QT.line_scores(spark, d))
+    assert by == sorted([(EASY, "xgb"), *members * QT.N_SPLITS])
+    assert got.where("line = 10.5 AND abs(w1 + w2 - 1) < 1e-9").count() == got.where("line = 7.5 AND w1 = 1").count() == 40
+    got, by = took(lambda: QT.out_of_fold(spark, d))  # all targets: those of the hard line are there
+    assert by == sorted([(EASY, "xgb"), ("total_corners", "xgb")] * QT.N_SPLITS)
+    assert got.groupBy("target", "model").count().count() == 4 and got.count() == 4 * table.where("role = 'train' AND test_fold >= 0").count() \
+        + 4 * table.where("role = 'test' AND test_fold >= 0").count()
+    assert QT.out_of_fold(spark, d, []).count() == 0
