@@ -172,3 +172,16 @@ def test_features_and_splits_share_one_cleaned_table(spark, sf, monkeypatch):
         assert keys(spark, sf).count() > 0
         assert len(written) == before  # no second cleaning
     assert len(written) == 5  # raw; cleaned and features of each
+
+
+def test_wide_plans_are_generated_in_methods_that_get_compiled(spark):
+    from touchline.session import prepare
+    key = "spark.sql.codegen.hugeMethodLimit"
+    try:
+        spark.conf.unset(key)
+        assert prepare(spark).conf.get(key) == "8000"
+        spark.conf.set(key, "5000")  # a cluster's own setting stays
+        assert prepare(spark).conf.get(key) == "5000"
+    finally:
+        spark.conf.unset(key)
+        prepare(spark)
