@@ -64,3 +64,39 @@ def test_unshared_queries_write_no_history(spark, sf):
         assert asked.columns == ["match_id", "h2h_avg_corners"] and "__chunk" not in _plan(asked)
     finally:
         spark.conf.set("touchline.stage.reuse", "true")
+
+
+def test_queries_that_name_columns_write_no_history(spark, sf, monkeypatch):
+    monkeypatch.setattr(P, "_STAGES", {})
+    asked = P.history_tv(spark, sf, wanted=["home_defensive_solidity"])
+    assert asked.columns == ["match_id", "home_defensive_solidity"] and _side_features(asked) == {"solidity_tv"}
+    rows = P.history_rows(spark, sf, P.history_tv, ["home_rest_days"], 50)
+    assert rows.columns == ["match_id", "date_gmt", "home_rest_days"] and rows.count() == P.history_tv(spark, sf).count() - 50
+    # the full-width table is read once it is there
+    assert "__chunk" not in _plan(P.history_tv(spark, sf, wanted=["home_rest_days"]))
+
+
+def test_queries_without_features_take_no_quantiles(spark, sf, monkeypatch):
+    from touchline.functions import quantiles
+    from touchline.plans.catalog import REGISTRY
+
+    P.features_v3(spark, sf), P.features_tv(spark, sf)
+    monkeypatch.setattr(P, "_STAGES", dict(P._STAGES))
+    for key in [k for k in P._STAGES if k[1].startswith(("matrix", "history", "expected"))]:
+        P._STAGES.pop(key)
+
+    def fail(*args):
+        raise AssertionError("quantiles of columns that the result does not depend on")
+
+    monkeypatch.setattr(quantiles, "_brackets", fail)
+    for key in ("one_hot", "cv_scores", "regression_metrics"):
+        assert REGISTRY[key].fn(spark, sf).count() > 0
+
+
+def test_narrow_history_has_the_rows_of_the_full_one(spark, sf):
+    f = P.features_tv(spark, sf).limit(40)
+    twice = f.unionByName(f.orderBy("match_id").limit(3))
+    full = H.history_features_tv(twice)
+    for wanted in (["season_period"], ["home_form_3"], ["h2h_avg_corners", "away_form_6"]):
+        narrow = H.history_features_tv(twice, wanted=wanted)
+        assert sorted(narrow.collect(), key=str) == sorted(full.select(narrow.columns).collect(), key=str)

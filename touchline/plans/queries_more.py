@@ -127,16 +127,15 @@ SELECT match_id, CASE WHEN home_team_name IN (SELECT t FROM keep) THEN home_team
 FROM ftv2"""))
 
     def summary(s, d):
-        h = P.history_v3(s, d)
-        feats = P.available(h, P.FEATURE_CANDIDATES_V3)
-        return R.feature_summary(C.skip_warmup(h, 30), feats)
+        feats = P.available(P.history_v3(s, d, wanted=P.FEATURE_CANDIDATES_V3), P.FEATURE_CANDIDATES_V3)
+        return R.feature_summary(P.history_rows(s, d, P.history_v3, [], 30), feats)
 
     register("feature_summary", summary, sql(H3, f"""
 SELECT CAST({len(P.FEATURE_CANDIDATES_V3)} AS INTEGER) AS n_features, count(*) AS n_rows,
   strftime(min(date_gmt), '%Y-%m-%d') AS first_date, strftime(max(date_gmt), '%Y-%m-%d') AS last_date
 FROM (SELECT * FROM h3 QUALIFY row_number() OVER (ORDER BY date_gmt, match_id) > 30)"""))
     register("skip_warmup",
-             lambda s, d: C.skip_warmup(P.history_v3(s, d), 30).select("match_id"),
+             lambda s, d: P.history_rows(s, d, P.history_v3, [], 30).select("match_id"),
              sql(H3, "SELECT match_id FROM h3 QUALIFY row_number() OVER (ORDER BY date_gmt, match_id) > 30"))
 
 
@@ -257,7 +256,7 @@ def _register_scoring():
                  "not_a_known_feature"]
 
     def requests(s, d):
-        return S.request_features(P.history_v3(s, d), req_feats)
+        return S.request_features(P.history_v3(s, d, wanted=[*S.FORM_DEFAULTS, *req_feats]), req_feats)
 
     fd = S.FORM_DEFAULTS
 
@@ -353,11 +352,11 @@ def _register_variants():
     avgs = [f"{s}_corners_avg_{n}" for s in ("home", "away") for n in (3, 6, 10)] + \
            [f"{s}_corners_against_avg_{n}" for s in ("home", "away") for n in (3, 6, 10)]
     projection("corner_avgs_tv", P.history_tv, ["match_id", *avgs], htv, "htv")
-    register("skip_warmup_tv", lambda s, d: C.skip_warmup(P.history_tv(s, d), 50).select("match_id"),
+    register("skip_warmup_tv", lambda s, d: P.history_rows(s, d, P.history_tv, [], 50).select("match_id"),
              sql(htv, "SELECT match_id FROM htv QUALIFY row_number() OVER (ORDER BY date_gmt, match_id) > 50"))
     from touchline.operators import model as M
     register("chrono_holdout_tv",
-             lambda s, d: M.chrono_holdout(C.skip_warmup(P.history_tv(s, d), 50), 0.80),
+             lambda s, d: M.chrono_holdout(P.history_rows(s, d, P.history_tv, [], 50), 0.80),
              sql(htv + ",\npp AS (SELECT match_id, row_number() OVER (ORDER BY date_gmt, match_id) - 1 AS position, "
                        "count(*) OVER () AS n FROM htv QUALIFY row_number() OVER (ORDER BY date_gmt, match_id) > 50)",
                  "SELECT match_id, position - 50 AS position, CASE WHEN position - 50 < floor(CAST(n - 50 AS DOUBLE) * 0.8::DOUBLE) "
