@@ -185,3 +185,23 @@ def test_wide_plans_are_generated_in_methods_that_get_compiled(spark):
     finally:
         spark.conf.unset(key)
         prepare(spark)
+
+
+def test_sketches_are_merged_by_blocks_and_cores(spark, monkeypatch):
+    from touchline.functions import quantiles as Q
+
+    monkeypatch.setattr(Q, "BLOCK", 2)
+    cores, names = spark.sparkContext.defaultParallelism, [f"c{k}" for k in range(5)]
+    df = spark.range(0, 4_000, 1, 6 * cores).selectExpr(*[f"CAST((id * {k + 7}) % 1009 AS DOUBLE) AS c{k}" for k in range(5)])
+    spark.sparkContext.setJobGroup("sketches", "sketches")
+    try:
+        size, _ = Q._brackets(df, names, [0.5], 10_000)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    track = spark.sparkContext.statusTracker()
+    tasks = [track.getStageInfo(i).numTasks for j in track.getJobIdsForGroup("sketches") for i in track.getJobInfo(j).stageIds
+             if track.getStageInfo(i)]
+    assert size == {c: 4_000 for c in names} and max(tasks) <= 2 * cores and len(tasks) >= 3
+    got = Q.exact_quantiles(df, names, [0.25, 0.5])
+    for k, c in enumerate(names):
+        assert np.allclose(got[c], np.quantile([(i * (k + 7)) % 1009 for i in range(4_000)], [0.25, 0.5]))
