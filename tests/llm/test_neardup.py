@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from tests.llm.cases import EDGE, documents, sf_rows
 from touchline.llm import neardup, simhash
+from touchline.llm.common import BATCH_ROWS
 
 
 def slow_fingerprint(text):
@@ -121,3 +123,20 @@ def test_long_chain_is_one_class(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "u long, v long")
     got = {r["node"]: r["root"] for r in neardup.components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_batches_stay_small_and_whole():
+    """What the JVM reads at once is bounded, whatever a group of words spreads to."""
+    rng = np.random.default_rng(5)
+    words = np.unique(rng.integers(-2**63, 2**63 - 1, 300))
+    masks = neardup._ball_masks(4)
+    given = pa.RecordBatch.from_arrays([pa.array(words)], ["fp"])
+    got = list(neardup._ball_rows([given], masks, 128))
+    assert max(b.num_rows for b in got) <= BATCH_ROWS < 128 * len(masks)
+    seen = [(c, f) for b in got for c, f, link in zip(*(x.to_pylist() for x in b.columns)) if not link]
+    assert len(seen) == len(set(seen)) and {c for c, _ in seen} == {int(w ^ m) for w in words for m in masks}
+    many = pa.RecordBatch.from_arrays([pa.array(rng.integers(-2**63, 2**63 - 1, 5000))], ["fp"])
+    keyed = list(neardup._key_rows([many]))
+    assert max(b.num_rows for b in keyed) <= BATCH_ROWS < sum(b.num_rows for b in keyed)
+    rows, keys = simhash.keys(many.column(0).to_numpy())
+    assert [k for b in keyed for k in b.column(0).to_pylist()] == keys.tolist()

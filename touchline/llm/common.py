@@ -46,6 +46,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+BATCH_ROWS = 50_000
+
+
+def in_slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows. The JVM reads a part into one buffer outside its heap; its allocator gives
+    freed buffers of tens of MB back late, so large batches add up beside the heap."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 def columns_in_chunks(batches: Iterable[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
     """The columns of many small batches as arrays of about `rows` values."""
     held: list[pa.RecordBatch] = []

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import simhash
-from touchline.llm.common import columns_in_chunks, small_batches, stage
+from touchline.llm.common import columns_in_chunks, in_slices, small_batches, stage
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -36,13 +36,14 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             .mapInArrow(run, "doc_id long, text_hash long, fp long"))
 
 
-def _keyed(fps: DataFrame) -> DataFrame:
-    def run(batches):
-        for (v,) in columns_in_chunks(batches, 20_000):
-            rows, keys = simhash.keys(v)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(v[rows])], ["key", "fp"])
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (v,) in columns_in_chunks(batches, 20_000):
+        rows, keys = simhash.keys(v)
+        yield from in_slices(pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(v[rows])], ["key", "fp"]))
 
-    return fps.select("fp").mapInArrow(run, "key int, fp long")
+
+def _keyed(fps: DataFrame) -> DataFrame:
+    return fps.select("fp").mapInArrow(_key_rows, "key int, fp long")
 
 
 def _forest(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -94,10 +95,10 @@ def _bucket_links(members: DataFrame, max_bits: int) -> DataFrame:
             keys, fps = np.concatenate((keys, k)), np.concatenate((fps, v))
             cut = int(np.searchsorted(keys, keys[-1]))  # the last run may go on
             if cut:
-                yield found(keys[:cut], fps[:cut])
+                yield from in_slices(found(keys[:cut], fps[:cut]))
                 keys, fps = keys[cut:], fps[cut:]
         if len(keys):
-            yield found(keys, fps)
+            yield from in_slices(found(keys, fps))
 
     return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
@@ -122,6 +123,41 @@ def _spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array(got, np.int64).reshape(-1, 2).T)
 
 
+def _ball_masks(max_bits: int) -> np.ndarray:
+    """All words of at most max_bits / 2 bits."""
+    if max_bits % 2:
+        raise ValueError("crowded buckets need an even max_bits")
+    masks = [0]
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    shell = np.array([0], np.uint64)
+    for _ in range(max_bits // 2):
+        shell = np.unique((shell[:, None] ^ bits[None, :]).ravel())
+        masks = np.union1d(np.array(masks, np.uint64), shell)
+    return np.asarray(masks, np.uint64).view(np.int64)
+
+
+def _centre_runs(centre: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(centres, their least words, links of the other words to these) of rows sorted by centre, then word."""
+    at = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
+    least = np.repeat(fp[at], np.diff(np.r_[at, len(fp)]))
+    more = fp > least
+    return centre[at], fp[at], *_spanning(fp[more], least[more])
+
+
+def _ball_rows(batches: Iterator[pa.RecordBatch], masks: np.ndarray, group: int) -> Iterator[pa.RecordBatch]:
+    """(centre, word, link) of `group` words at a time: each centre with its least word, and the group's forest, whose
+    links travel under their own word as rows that say so."""
+    for (v,) in columns_in_chunks(batches, group):
+        for k in range(0, len(v), group):
+            part = v[k:k + group]
+            centre, fp = (part[:, None] ^ masks[None, :]).ravel(), np.repeat(part, len(masks))
+            order = np.lexsort((fp, centre))
+            centre, least, a, b = _centre_runs(centre[order], fp[order])
+            yield from in_slices(pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[centre, a]), pa.array(np.r_[least, b]), pa.array(np.arange(len(centre) + len(a)) >= len(centre))],
+                ["centre", "fp", "link"]))
+
+
 def _ball_links(fps: DataFrame, max_bits: int, group: int = 1024) -> DataFrame:
     """Links of crowded buckets, exactly and without comparing pairs.
 
@@ -133,36 +169,10 @@ def _ball_links(fps: DataFrame, max_bits: int, group: int = 1024) -> DataFrame:
     a word has at most one link from its group and one from each partition of centres.
     For an odd max_bits the ball takes the next smaller radius and one-sided
     neighbours; only even values are accepted here."""
-    if max_bits % 2:
-        raise ValueError("crowded buckets need an even max_bits")
-    masks = [0]
-    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    shell = np.array([0], np.uint64)
-    for _ in range(max_bits // 2):
-        shell = np.unique((shell[:, None] ^ bits[None, :]).ravel())
-        masks = np.union1d(np.array(masks, np.uint64), shell)
-    masks = np.asarray(masks, np.uint64).view(np.int64)
-
-    def runs(centre: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(centres, their least words, links of the other words to these) of rows sorted by centre, then word."""
-        at = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
-        least = np.repeat(fp[at], np.diff(np.r_[at, len(fp)]))
-        more = fp > least
-        return centre[at], fp[at], *_spanning(fp[more], least[more])
-
-    def rows(centre, least, u, v):
-        # a link travels under its own word, as a row that says so
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[centre, u]), pa.array(np.r_[least, v]), pa.array(np.arange(len(centre) + len(u)) >= len(centre))],
-            ["centre", "fp", "link"])
+    masks = _ball_masks(max_bits)
 
     def balls(batches):
-        for (v,) in columns_in_chunks(batches, group):
-            for k in range(0, len(v), group):
-                part = v[k:k + group]
-                centre, fp = (part[:, None] ^ masks[None, :]).ravel(), np.repeat(part, len(masks))
-                order = np.lexsort((fp, centre))
-                yield rows(*runs(centre[order], fp[order]))
+        return _ball_rows(batches, masks, group)
 
     def meet(batches):
         held = None
@@ -172,7 +182,7 @@ def _ball_links(fps: DataFrame, max_bits: int, group: int = 1024) -> DataFrame:
             centre, fp, u, v = centre[own], fp[own], centre[link], fp[link]
             if len(centre):
                 order = np.lexsort((fp, centre))
-                *_, a, b = runs(centre[order], fp[order])
+                *_, a, b = _centre_runs(centre[order], fp[order])
                 u, v = np.r_[u, a], np.r_[v, b]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in _spanning(u, v)], ["u", "v"])
 
@@ -180,10 +190,10 @@ def _ball_links(fps: DataFrame, max_bits: int, group: int = 1024) -> DataFrame:
             held = part if held is None else [np.concatenate(x) for x in zip(held, part)]
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last centre may go on
             if cut:
-                yield found(*[x[:cut] for x in held])
+                yield from in_slices(found(*[x[:cut] for x in held]))
                 held = [x[cut:] for x in held]
         if held is not None:
-            yield found(*held)
+            yield from in_slices(found(*held))
 
     dealt = fps.mapInArrow(balls, "centre long, fp long, link boolean").repartition("centre").sortWithinPartitions("centre")
     return dealt.mapInArrow(meet, "u long, v long")
@@ -235,10 +245,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, bucket_c
     own = stage(fingerprints(docs, width), "simhash-fps")
     least = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     root = components(links(least.select("fp"), max_bits, bucket_cap))
-    linked = least.join(root.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp"))
+    # written, so that no task holds the sorts of all joins from the links to the rows, and the first is made once
+    linked = stage(least.join(root.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp")), "simhash-linked")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = linked.join(named.hint("merge"), "root").select("fp", "root", "component_id")
+    by_fp = stage(linked.join(named.hint("merge"), "root").select("fp", "root", "component_id"), "simhash-classes")
     return _spread_join(own, by_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
