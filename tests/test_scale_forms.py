@@ -187,6 +187,39 @@ def test_wide_plans_are_generated_in_methods_that_get_compiled(spark):
         prepare(spark)
 
 
+def test_stages_are_written_without_long_generated_loops(spark):
+    from touchline.plans import pipeline as P
+    from touchline.session import prepare
+    key, seen = "spark.sql.codegen.hugeMethodLimit", []
+
+    class Stage:
+        """A frame whose write notes the limit it runs under."""
+        sparkSession = spark
+
+        class write:
+            @staticmethod
+            def mode(_):
+                return Stage.write
+
+            @staticmethod
+            def parquet(_):
+                seen.append(spark.conf.get(key))
+
+    try:
+        for own in (None, "5000"):
+            spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+            before = prepare(spark).conf.get(key)
+            P._write_stage(Stage)
+            assert spark.conf.get(key) == before
+        assert seen == ["2000", "5000"]
+        wide = spark.range(0, 3_000, 1, 3).selectExpr("id", *[f"nullif(id % {k + 2}, 1) AS c{k}" for k in range(80)])
+        got = P.stage(wide.repartition(4, "id"))
+        assert got.exceptAll(wide).count() == 0 and got.count() == 3_000
+    finally:
+        spark.conf.unset(key)
+        prepare(spark)
+
+
 def test_sketches_are_merged_by_blocks_and_cores(spark, monkeypatch):
     from touchline.functions import quantiles as Q
 
