@@ -208,3 +208,39 @@ def test_queries_fit_the_models_of_their_targets_alone(spark, tmp_path, monkeypa
     assert got.groupBy("target", "model").count().count() == 4 and got.count() == 4 * table.where("role = 'train' AND test_fold >= 0").count() \
         + 4 * table.where("role = 'test' AND test_fold >= 0").count()
     assert QT.out_of_fold(spark, d, []).count() == 0
+
+
+def _small_set(spark, monkeypatch, feats, n_rows=240):
+    """A vector table of a few rows, and scores that select the first four features, in place of those of the queries."""
+    targets = ["total_corners", EASY, HARD]
+    rows = spark.range(n_rows).selectExpr(
+        "id AS match_id", "CASE WHEN id % 6 < 5 THEN 'train' ELSE 'test' END AS role", "CAST(id % 7 AS INT) - 1 AS test_fold",
+        "CAST(id % 13 AS DOUBLE) AS total_corners", f"CAST(id % 3 = 0 AS INT) AS {EASY}", f"CAST(id % 5 < 2 AS INT) AS {HARD}",
+        f"transform(sequence(1, {len(feats)}), k -> CAST(id * k % 17 AS DOUBLE)) AS x")
+    table = P.stage(rows.select("*", array_to_vector("x").alias("features")).drop("x"))
+    scores = spark.createDataFrame([(t, f, 1.0 / (k + 1)) for t in targets for k, f in enumerate(feats[:4])], "target STRING, feature STRING, mi DOUBLE")
+    for name, value in (("vectors", lambda s, _: table), ("mutual_information_v3", lambda s, _: scores), ("TARGETS_V3", targets),
+                        ("HARD", [HARD]), ("STANDARD", [EASY]), ("LINE_OF", {EASY: 7.5, HARD: 10.5}), ("N_SPLITS", 2)):
+        monkeypatch.setattr(QT, name, value)
+    return table
+
+
+def test_queries_fit_at_the_presets_sizes(spark, tmp_path, monkeypatch):
+    """Every fit that a registered query asks for has the trees and the depth of its preset, and the results say so."""
+    _small_set(spark, monkeypatch, feats_v3())
+    fit, asked = T.fit, {}
+
+    def small(spec, *a):
+        asked[spec.target, spec.model] = (spec.sizes["trees"], spec.sizes["max_depth"])
+        held = {**spec.sizes, "trees": 2, "max_depth": 2}
+        return fit(T.Spec(spec.target, spec.model, spec.features, tuple(sorted(held.items())), spec.regression), *a)
+
+    monkeypatch.setattr(T, "fit", small)
+    d, want = str(tmp_path), {("total_corners", "xgb"): (2000, 12), (EASY, "xgb"): (700, 8), (HARD, "xgb_optimized"): (1700, 12),
+                              (HARD, "xgb_conservative"): (1000, 12)}
+    QT.out_of_fold(spark, d)
+    assert asked == want
+    asked.clear()
+    sizes = [{(r["trees"], r["max_depth"]) for r in q(spark, d).collect()} for q in (
+        QT.train_total_query, QT.train_lines_query, QT.train_ensemble_query)]
+    assert asked == want and sizes == [{(2000, 12)}, {(700, 8)}, {(1700, 12)}]
