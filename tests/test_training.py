@@ -244,3 +244,21 @@ def test_queries_fit_at_the_presets_sizes(spark, tmp_path, monkeypatch):
     sizes = [{(r["trees"], r["max_depth"]) for r in q(spark, d).collect()} for q in (
         QT.train_total_query, QT.train_lines_query, QT.train_ensemble_query)]
     assert asked == want and sizes == [{(2000, 12)}, {(700, 8)}, {(1700, 12)}]
+
+
+def test_searches_run_every_trial_at_its_drawn_size(spark, tmp_path, monkeypatch):
+    """The registered searches fit the reference's number of trials, each with the drawn trees and depth on every fold."""
+    _small_set(spark, monkeypatch, feats_v3(), 60)
+    asked = []
+
+    class Zero:
+        transform = staticmethod(lambda rows: rows.withColumn("prediction", F.lit(0.0)))
+
+    monkeypatch.setattr(T, "fit", lambda spec, *a: asked.append((spec.model, spec.sizes["trees"], spec.sizes["max_depth"])) or Zero)
+    for mode, target, trials in (("classification", HARD, 30), ("regression", "total_corners", 50)):
+        asked.clear()
+        out = QT.search(mode, target)(spark, str(tmp_path)).collect()
+        drawn = [(f"trial_{t}", p["maxIter"], p["maxDepth"]) for t, p in enumerate(M.draw_params(mode, t) for t in range(trials))]
+        assert sorted(asked) == sorted(drawn * 2)  # two folds
+        assert [(r["trees"], r["max_depth"]) for r in sorted(out, key=lambda r: r["trial"])] == [(n, k) for _, n, k in drawn]
+        assert all((r["drawn_trees"], r["drawn_depth"]) == (r["trees"], r["max_depth"]) for r in out) and sum(r["best"] for r in out) == 1
