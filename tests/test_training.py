@@ -253,6 +253,7 @@ def test_searches_run_every_trial_at_its_drawn_size(spark, tmp_path, monkeypatch
 
     class Zero:
         transform = staticmethod(lambda rows: rows.withColumn("prediction", F.lit(0.0)))
+        close = staticmethod(lambda: None)
 
     monkeypatch.setattr(T, "fit", lambda spec, *a: asked.append((spec.model, spec.sizes["trees"], spec.sizes["max_depth"])) or Zero)
     for mode, target, trials in (("classification", HARD, 30), ("regression", "total_corners", 50)):
